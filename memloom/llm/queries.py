@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import decontam, langid
 from .common import table
 
 
@@ -19,5 +20,9 @@ def op3_concat_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_digest(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {"op3_concat_cut": op3_concat_cut}
-SQL: dict[str, str] = {}
+QUERIES = {
+    "op3_concat_cut": op3_concat_cut,
+    "op6_cross_parsing": langid.op6_cross_parsing,
+    "op9_aho_corasick": decontam.op9_aho_corasick,
+}
+SQL: dict[str, str] = {"op9_aho_corasick": decontam.SQL}
