@@ -21,54 +21,66 @@ from pyspark.sql import types as T
 
 from .common import written
 
-#: Words a worker remembers with their ids; beyond this it starts afresh (about 100 MB).
+#: Words a worker remembers with their ids, in each of two generations (about 80 MB each); frequent words move to the new one.
 CACHE_WORDS = 400_000
 #: Tokens kept in one stored row; longer documents take several rows, so that no row is unbounded.
 SLAB_TOKENS = 16 * 2048
 #: Words encoded by one call of the tokenizer.
-GROUP = 256
+GROUP = 1024
+MARKS = ".,;:!?#$%&*()-\"/"
 _ENCODERS: dict = {}
 
 
 class Encoder:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes.
 
-    ``by_word`` is for tokenizers whose pre-tokenizer drops white space: each white-space-separated chunk then encodes
-    alone, and distinct chunks are encoded once.
+    ``by_word`` is for tokenizers that drop white space, lower-case, part letters from other signs and close every part
+    with an end-of-word token: each white-space-separated chunk then encodes alone, and chunks seen before are looked up.
+    Chunks of Latin letters with marks behind skip the normaliser; all others take the tokenizer's whole path.
     """
 
-    MARK = "\x01"
-
     def __init__(self, path: str, by_word: bool):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
         self.tok.encode_special_tokens = True
         self.by_word = by_word
-        self.cache: dict[bytes, bytes] = {}
-        mark = self.tok.encode(self.MARK, add_special_tokens=False).ids
-        self.mark = mark[0] if len(mark) == 1 else None
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        if by_word:
+            self.plain = Tokenizer.from_file(path)
+            self.plain.encode_special_tokens = True
+            self.plain.normalizer = normalizers.Sequence([])
+            self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            vocab = self.tok.get_vocab()
+            self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+            self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, words: list[bytes]) -> None:
-        alone, grouped = [], []
-        for w in words:
-            (alone if self.mark is None or b"\x01" in w else grouped).append(w)
-        for w in alone:
-            self.cache[w] = self._whole(w.decode())
-        between = f" {self.MARK} "
-        for i in range(0, len(grouped), GROUP):
-            part = grouped[i : i + GROUP]
-            ids = np.array(self.tok.encode_batch_fast([between.join(w.decode() for w in part)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.flatnonzero(ids == self.mark)
-            raw, ends, at = ids.tobytes(), (ends * 4).tolist() + [4 * len(ids)], 0
-            for w, end in zip(part, ends, strict=True):
-                self.cache[w] = raw[at:end]
-                at = end + 4
+    def _learn(self, chunks: list[bytes]) -> None:
+        parts: dict[bytes, tuple[str, ...]] = {}
+        for w in chunks:
+            c = w.decode()
+            s = c.rstrip(MARKS)
+            if s.isalpha() and (s.isascii() or max(s) < "\u0250"):
+                parts[w] = (s.lower(), c[len(s) :]) if len(s) < len(c) else (s.lower(),)
+            else:
+                self.new[w] = self._whole(c)
+        ids, pieces = {}, list({p for ps in parts.values() for p in ps})
+        for i in range(0, len(pieces), GROUP):
+            mine = pieces[i : i + GROUP]
+            got = np.array(self.plain.encode_batch_fast([" ".join(mine)], add_special_tokens=False)[0].ids, dtype="<u4")
+            stops = ((np.flatnonzero(self.ends[got]) + 1) * 4).tolist()
+            raw, at = got.tobytes(), 0
+            for piece, stop in zip(mine, stops, strict=True):
+                ids[piece] = raw[at:stop]
+                at = stop
+        for w, ps in parts.items():
+            self.new[w] = b"".join([ids[p] for p in ps])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
@@ -78,10 +90,16 @@ class Encoder:
             b = t.encode()
             # The tokenizer lower-cases after composing accents: lower-case first only where no combining mark follows a letter.
             lists.append((b if b"\xcc" in b or b"\xcd" in b else b.lower()).split())
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        self._learn(list(set().union(*lists).difference(self.cache)))
-        get = self.cache.__getitem__
+        if len(self.new) > CACHE_WORDS:
+            self.old, self.new = self.new, {}
+        fresh = []
+        for w in set().union(*lists).difference(self.new):
+            if w in self.old:
+                self.new[w] = self.old[w]
+            else:
+                fresh.append(w)
+        self._learn(fresh)
+        get = self.new.__getitem__
         return [b"".join(map(get, words)) for words in lists]
 
 
