@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, neardup, pii
+from . import capfilter, decontam, langid, neardup, pii
 from .common import table
 
 
@@ -26,5 +26,6 @@ QUERIES = {
     "op6_cross_parsing": langid.op6_cross_parsing,
     "op8_chosen_path": neardup.op8_chosen_path,
     "op9_aho_corasick": decontam.op9_aho_corasick,
+    "op10_cap_filters": capfilter.op10_cap_filters,
 }
 SQL: dict[str, str] = {"op9_aho_corasick": decontam.SQL}
