@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import capfilter, decontam, langid, neardup, pii
+from . import capfilter, decontam, hmm, langid, neardup, pii
 from .common import table
 
 
@@ -23,6 +23,7 @@ def op3_concat_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_concat_cut": op3_concat_cut,
     "op4_checked_patterns": pii.op4_checked_patterns,
+    "op5_hidden_markov": hmm.op5_hidden_markov,
     "op6_cross_parsing": langid.op6_cross_parsing,
     "op8_chosen_path": neardup.op8_chosen_path,
     "op9_aho_corasick": decontam.op9_aho_corasick,
