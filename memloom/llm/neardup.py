@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import table, written
 from .components import components
 
-COORDS, TREES, DEPTH, DEEPER, LEAF = 128, 10, 4, 3, 24
+COORDS, TREES, DEPTH, DEEPER, LEAF = 128, 10, 4, 6, 256
 #: Bits of the map that picks the rows whose sets are needed: a fixed size; more rows than bits only weaken the filter.
 MAP_BITS = 26
 WORD_TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -176,11 +176,39 @@ def labelled(front: DataFrame, links: DataFrame) -> DataFrame:
     return written(rows.join(mixed, "node"))
 
 
-def leaf_pairs(front: DataFrame) -> DataFrame:
-    """Pairs of different components in the small nodes; a node has LEAF classes at most."""
-    small = front.where(F.col("n") <= LEAF)
-    a, b = small.select("node", F.col("c").alias("a"), F.col("label").alias("p")), small.select("node", F.col("c").alias("b"), F.col("label").alias("q"))
-    return a.join(b, "node").where("a < b and p != q").select("a", "b").distinct()
+def leaf_pairs(front: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of different components in the small nodes whose minwise values agree as often as a linked pair's can.
+
+    A linked pair agrees on ``threshold`` of the coordinates on average; 4.5 standard deviations below that are allowed.
+    """
+    least = COORDS * threshold - 4.5 * (COORDS * threshold * (1 - threshold)) ** 0.5
+
+    def pairs(rows: pd.DataFrame) -> pd.DataFrame:
+        c, label = rows["c"].to_numpy(), rows["label"].to_numpy()
+        sig = np.frombuffer(b"".join(rows["sig"]), dtype=np.uint32).reshape(len(rows), COORDS)
+        i, j = np.nonzero(np.triu(label[:, None] != label[None, :], 1))
+        ok = np.zeros(len(i), dtype=bool)
+        for lo in range(0, len(i), 10_000):
+            ok[lo : lo + 10_000] = (sig[i[lo : lo + 10_000]] == sig[j[lo : lo + 10_000]]).sum(1) >= least
+        a, b = c[i[ok]], c[j[ok]]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    def run(batches):
+        rest = None
+        for pdf in batches:
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            node = pdf["node"].to_numpy()
+            if not len(node):
+                continue
+            cuts = [0, *(np.flatnonzero(node[1:] != node[:-1]) + 1).tolist(), len(node)]
+            for lo, hi in zip(cuts[:-2], cuts[1:-1], strict=True):
+                yield pairs(pdf.iloc[lo:hi])
+            rest = pdf.iloc[cuts[-2] :]
+        if rest is not None and len(rest):
+            yield pairs(rest)
+
+    small = front.where(F.col("n") <= LEAF).select("node", "c", "label").join(classes.select("c", "sig"), "c")
+    return small.select("node", "c", "label", "sig").repartition("node").sortWithinPartitions("node").mapInPandas(run, "a long, b long").distinct()
 
 
 def pivot_pairs(front: DataFrame) -> DataFrame:
@@ -211,7 +239,7 @@ def links_between(docs: DataFrame, rows: DataFrame, *, k: int, threshold: float,
     front = labelled(front, links)
     while front.limit(1).count():
         large = front.where(F.col("n") > LEAF)
-        pairs = leaf_pairs(front)
+        pairs = leaf_pairs(front, classes, threshold)
         deep = bool(large.limit(1).count())
         if deep:
             pairs = pairs.unionByName(pivot_pairs(large)).distinct()

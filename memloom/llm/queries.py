@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import capfilter, decontam, hmm, langid, neardup, pii
+from . import capfilter, chat, decontam, hmm, langid, neardup, pii
 from .common import table
 
 
@@ -21,6 +21,7 @@ def op3_concat_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_perspective_rotation": chat.op2_perspective_rotation,
     "op3_concat_cut": op3_concat_cut,
     "op4_checked_patterns": pii.op4_checked_patterns,
     "op5_hidden_markov": hmm.op5_hidden_markov,
@@ -29,4 +30,4 @@ QUERIES = {
     "op9_aho_corasick": decontam.op9_aho_corasick,
     "op10_cap_filters": capfilter.op10_cap_filters,
 }
-SQL: dict[str, str] = {"op9_aho_corasick": decontam.SQL}
+SQL: dict[str, str] = {"op2_perspective_rotation": chat.SQL, "op9_aho_corasick": decontam.SQL}
