@@ -20,7 +20,14 @@ def op3_concat_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_digest(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "pipeline": pipeline,
     "op2_perspective_rotation": chat.op2_perspective_rotation,
     "op3_concat_cut": op3_concat_cut,
     "op4_checked_patterns": pii.op4_checked_patterns,
