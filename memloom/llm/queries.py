@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import capfilter, chat, decontam, hmm, langid, neardup, pii
+from . import capfilter, chat, decontam, hmm, html, langid, neardup, pii
 from .common import table
 
 
@@ -28,6 +28,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "pipeline": pipeline,
+    "op1_block_labeller": html.op1_block_labeller,
     "op2_perspective_rotation": chat.op2_perspective_rotation,
     "op3_concat_cut": op3_concat_cut,
     "op4_checked_patterns": pii.op4_checked_patterns,
