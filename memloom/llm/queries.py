@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import capfilter, chat, decontam, hmm, html, langid, neardup, pii
+from . import capfilter, chat, decontam, hmm, html, langid, neardup, pii, warc
 from .common import table
 
 
@@ -34,8 +34,9 @@ QUERIES = {
     "op4_checked_patterns": pii.op4_checked_patterns,
     "op5_hidden_markov": hmm.op5_hidden_markov,
     "op6_cross_parsing": langid.op6_cross_parsing,
+    "op7_merkle_audit": warc.op7_merkle_audit,
     "op8_chosen_path": neardup.op8_chosen_path,
     "op9_aho_corasick": decontam.op9_aho_corasick,
     "op10_cap_filters": capfilter.op10_cap_filters,
 }
-SQL: dict[str, str] = {"op2_perspective_rotation": chat.SQL, "op9_aho_corasick": decontam.SQL}
+SQL: dict[str, str] = {"op2_perspective_rotation": chat.SQL, "op7_merkle_audit": warc.SQL, "op9_aho_corasick": decontam.SQL}
