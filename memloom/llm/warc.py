@@ -108,15 +108,15 @@ def page_records(pages: DataFrame, html: Column) -> DataFrame:
 
 
 def op7_merkle_audit(spark, sf_dir: str) -> DataFrame:
-    """Audit of a replica of ``pages`` in which every 97th page has lost its first byte and every 89th has its letters raised."""
+    """Audit of a replica of ``pages`` in which every 97th page has lost its first byte and every 89th has each e raised."""
     pages = table(spark, sf_dir, "pages")
-    damaged = F.when(F.col("page_id") % 97 == 5, F.substr("html", F.lit(2))).when(F.col("page_id") % 89 == 3, F.upper("html")).otherwise(F.col("html"))
+    damaged = F.when(F.col("page_id") % 97 == 5, F.substr("html", F.lit(2))).when(F.col("page_id") % 89 == 3, F.replace(F.col("html"), F.lit("e"), F.lit("E"))).otherwise(F.col("html"))
     return audit(written(tree(page_records(pages, F.col("html")))), written(tree(page_records(pages, damaged))))
 
 
 SQL = r"""
 WITH p AS (SELECT page_id, coalesce(url, '') AS u, coalesce(html, '') AS a,
-  coalesce(CASE WHEN page_id % 97 = 5 THEN substr(html, 2) WHEN page_id % 89 = 3 THEN upper(html) ELSE html END, '') AS b FROM pages),
+  coalesce(CASE WHEN page_id % 97 = 5 THEN substr(html, 2) WHEN page_id % 89 = 3 THEN replace(html, 'e', 'E') ELSE html END, '') AS b FROM pages),
 r AS (SELECT page_id // 1000 AS file, page_id, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || u || chr(13) || chr(10) || 'Content-Length: ' AS h, a, b FROM p),
 l AS (SELECT file, page_id, a <> b AS apart, strlen(h) + length(CAST(strlen(a) AS VARCHAR)) + strlen(a) + 8 AS length, strlen(h) + length(CAST(strlen(b) AS VARCHAR)) + strlen(b) + 8 AS other_length FROM r),
 o AS (SELECT file, row_number() OVER w - 1 AS record, sum(length) OVER w - length AS start, length, sum(other_length) OVER w - other_length AS other_start, other_length, apart FROM l WINDOW w AS (PARTITION BY file ORDER BY page_id))
