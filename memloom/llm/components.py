@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from .common import written
 
+#: Links a task handles; small tables needn't be spread over all partitions.
+TASK_LINKS = 20_000
+
 
 def _mark(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
@@ -21,15 +24,17 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     hi, lo = F.greatest(F.col(a), F.col(b)), F.least(F.col(a), F.col(b))
     links = written(links.where(F.col(a) != F.col(b)).select(hi.alias("u"), lo.alias("v")).distinct())
     before = _mark(links)
+    tasks = before[0] // TASK_LINKS + 1  # no step has more rows than twice the links
+    stored = lambda df: written(df.coalesce(tasks))
     while before[0]:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Large star: each node's larger neighbours go to the least of the node and its neighbours.
-        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
-        large = written(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
+        large = stored(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         # Small star: each node and its smaller neighbours go to the least of these.
-        least = written(large.groupBy("u").agg(F.min("v").alias("m")))
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(least.select("u", F.col("m").alias("v")))
-        links = written(small.distinct())
+        links = stored(small.distinct())
         after = _mark(links)
         if after == before:
             break

@@ -10,7 +10,8 @@ Work in a node never grows with the square of its size:
 
 1. every class of a node is compared with the node's pivot (its least class), and links are confirmed on full sets;
 2. nodes whose classes are now in one component are finished;
-3. small nodes (``LEAF`` classes at most) compare the classes of different components exhaustively;
+3. small nodes (``LEAF`` classes at most, in pairs of chunks of ``CHUNK``) compare the classes of different components
+   exhaustively, minwise values first, then full sets;
 4. larger nodes get a pivot again and are branched further, until none is left.
 
 Defined cases: null or wordless texts have an empty set, link with nothing and are kept; texts with fewer words than a
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import table, written
 from .components import components
 
-COORDS, TREES, DEPTH, DEEPER, LEAF = 128, 10, 4, 6, 256
+COORDS, TREES, DEPTH, DEEPER, LEAF, CHUNK = 128, 10, 4, 6, 4096, 1024
 #: Bits of the map that picks the rows whose sets are needed: a fixed size; more rows than bits only weaken the filter.
 MAP_BITS = 26
 WORD_TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -104,8 +105,8 @@ def classes_of(docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
             for i, t in zip(pdf["key"], pdf["text"]):
                 s = shingles(t, k)
                 rows.append((i, len(s), class_of(s), minwise(s).tobytes()) if len(s) else (i, 0, None, None))
-            out = pd.DataFrame(rows, columns=["key", "n", "c", "sig"])
-            yield out.assign(key=pdf["key"].values, c=pd.array(out["c"], dtype="Int64"))
+            # Nullable integers: a column of floats would round the hashes.
+            yield pd.DataFrame({"key": pdf["key"].values, "n": [r[1] for r in rows], "c": pd.array([r[2] for r in rows], dtype="Int64"), "sig": [r[3] for r in rows]})
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(run, f"key {kind}, n long, c long, sig binary")
@@ -146,15 +147,7 @@ def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            keep = []
-            for x, y in zip(pdf["x"], pdf["y"]):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                if 10_000 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    keep.append(False)
-                    continue
-                small, large = (x, y) if len(x) < len(y) else (y, x)
-                both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
-                keep.append(10_000 * both >= percent * (len(x) + len(y) - both))
+            keep = [reaches(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64), percent) for x, y in zip(pdf["x"], pdf["y"])]
             yield pdf.loc[np.array(keep, dtype=bool), ["a", "b"]]
 
     one, other = sets.select(F.col("c").alias("a"), F.col("s").alias("x")), sets.select(F.col("c").alias("b"), F.col("s").alias("y"))
@@ -176,39 +169,124 @@ def labelled(front: DataFrame, links: DataFrame) -> DataFrame:
     return written(rows.join(mixed, "node"))
 
 
-def leaf_pairs(front: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of different components in the small nodes whose minwise values agree as often as a linked pair's can.
-
-    A linked pair agrees on ``threshold`` of the coordinates on average; 4.5 standard deviations below that are allowed.
-    """
-    least = COORDS * threshold - 4.5 * (COORDS * threshold * (1 - threshold)) ** 0.5
-
-    def pairs(rows: pd.DataFrame) -> pd.DataFrame:
-        c, label = rows["c"].to_numpy(), rows["label"].to_numpy()
-        sig = np.frombuffer(b"".join(rows["sig"]), dtype=np.uint32).reshape(len(rows), COORDS)
-        i, j = np.nonzero(np.triu(label[:, None] != label[None, :], 1))
-        ok = np.zeros(len(i), dtype=bool)
-        for lo in range(0, len(i), 10_000):
-            ok[lo : lo + 10_000] = (sig[i[lo : lo + 10_000]] == sig[j[lo : lo + 10_000]]).sum(1) >= least
-        a, b = c[i[ok]], c[j[ok]]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+def by_node(rows: DataFrame, work, schema: str) -> DataFrame:
+    """``work`` on the rows of each (node, i, j); a group has two chunks at most, so it fits in a task."""
 
     def run(batches):
         rest = None
         for pdf in batches:
             pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-            node = pdf["node"].to_numpy()
-            if not len(node):
+            ids = pdf[["node", "i", "j"]].to_numpy()
+            if not len(ids):
                 continue
-            cuts = [0, *(np.flatnonzero(node[1:] != node[:-1]) + 1).tolist(), len(node)]
+            cuts = [0, *(np.flatnonzero((ids[1:] != ids[:-1]).any(1)) + 1).tolist(), len(ids)]
             for lo, hi in zip(cuts[:-2], cuts[1:-1], strict=True):
-                yield pairs(pdf.iloc[lo:hi])
+                yield work(pdf.iloc[lo:hi])
             rest = pdf.iloc[cuts[-2] :]
         if rest is not None and len(rest):
-            yield pairs(rest)
+            yield work(rest)
+
+    keys = [F.col(c) for c in ("node", "i", "j")]
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
+
+
+def likely(rows: pd.DataFrame, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of different components whose minwise values agree as often as a linked pair's can.
+
+    A linked pair agrees on ``threshold`` of the coordinates on average; 4 standard deviations below that are allowed.
+    """
+    least = COORDS * threshold - 4 * (COORDS * threshold * (1 - threshold)) ** 0.5
+    label, chunk = rows["label"].to_numpy(), rows["chunk"].to_numpy()
+    may = np.triu(label[:, None] != label[None, :], 1)
+    if rows["i"].iat[0] != rows["j"].iat[0]:
+        may &= chunk[:, None] != chunk[None, :]
+    sig = np.frombuffer(b"".join(rows["sig"]), dtype=np.uint32).reshape(len(rows), COORDS)
+    # Six of the first sixteen values first: a pair at the threshold misses that about once in 100,000 (0.8) or less.
+    agree = np.zeros(may.shape, dtype=np.uint8)
+    for k in range(16):
+        agree += sig[:, k, None] == sig[None, :, k]
+    i, j = np.nonzero(may & (agree >= 6))
+    ok = np.zeros(len(i), dtype=bool)
+    for lo in range(0, len(i), 10_000):
+        ok[lo : lo + 10_000] = (sig[i[lo : lo + 10_000]] == sig[j[lo : lo + 10_000]]).sum(1) >= least
+    return i[ok], j[ok]
+
+
+def reaches(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the threshold, in hundredths of a percent."""
+    small, large = (x, y) if len(x) < len(y) else (y, x)
+    if 10_000 * len(small) < percent * len(large):
+        return False
+    both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+    return 10_000 * both >= percent * (len(x) + len(y) - both)
+
+
+def confirmed(s: list[np.ndarray], i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that reach the threshold, from products of 0/1 matrices over the shingles that several sets share."""
+    sizes = np.array([len(x) for x in s])
+    terms, at, df = np.unique(np.concatenate(s), return_inverse=True, return_counts=True)
+    of = np.repeat(np.arange(len(s)), sizes)
+    shared = np.flatnonzero(df > 1)
+    place = np.full(len(terms), -1)
+    place[shared] = np.arange(len(shared))
+    both = np.zeros((len(s), len(s)), dtype=np.float32)
+    for lo in range(0, len(shared), 4096):
+        m = (place[at] >= lo) & (place[at] < lo + 4096)
+        grid = np.zeros((len(s), 4096), dtype=np.float32)
+        grid[of[m], place[at[m]] - lo] = 1
+        both += grid @ grid.T
+    both = both[i, j].astype(np.int64)
+    ok = 10_000 * both >= percent * (sizes[i] + sizes[j] - both)
+    return i[ok], j[ok]
+
+
+def active(front: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """(node, i, j, chunk, c, label): the classes of small nodes that have a likely partner there, by minwise values alone.
+
+    A node of more than CHUNK classes is dealt out as pairs of chunks, so no task holds a large node.
+    """
+    rows = front.where(F.col("n") <= LEAF).withColumn("k", F.ceil(F.col("n") / CHUNK)).withColumn("chunk", F.pmod(F.xxhash64("c"), "k"))
+    dealt = rows.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))).select("node", F.least("chunk", "o").alias("i"), F.greatest("chunk", "o").alias("j"), "chunk", "c", "label")
+
+    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = likely(pdf, threshold)
+        return pdf.iloc[np.unique(np.concatenate([i, j]))].drop(columns="sig")
+
+    full = dealt.join(classes.select("c", "sig"), "c").select("node", "i", "j", "chunk", "c", "label", "sig")
+    return written(by_node(full, pick, "node long, i long, j long, chunk long, c long, label long"))
 
-    small = front.where(F.col("n") <= LEAF).select("node", "c", "label").join(classes.select("c", "sig"), "c")
-    return small.select("node", "c", "label", "sig").repartition("node").sortWithinPartitions("node").mapInPandas(run, "a long, b long").distinct()
+
+def leaf_links(front: DataFrame, classes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links between different components in the nodes of at most LEAF classes, confirmed on full sets.
+
+    Only classes with a likely partner bring their sets; pairs that earlier links have joined needn't be compared.
+    """
+    percent = round(threshold * 10_000)
+
+    def confirm(pdf: pd.DataFrame) -> pd.DataFrame:
+        c, root = pdf["c"].to_numpy(), {x: x for x in pdf["label"]}
+        label, found = pdf["label"].to_numpy(), []
+
+        def find(x):
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        s = [np.frombuffer(b, dtype=np.uint64) for b in pdf["s"]]
+        first, second = likely(pdf, threshold)
+        many = len(first) > 2000
+        if many:
+            first, second = confirmed(s, first, second, percent)
+        for i, j in zip(first.tolist(), second.tolist(), strict=True):
+            p, q = find(label[i]), find(label[j])
+            if p != q and (many or reaches(s[i], s[j], percent)):
+                root[p] = q
+                found.append((min(c[i], c[j]), max(c[i], c[j])))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    full = active(front, classes, threshold).join(classes.select("c", "sig"), "c").join(sets, "c").select("node", "i", "j", "chunk", "c", "label", "sig", "s")
+    return written(by_node(full, confirm, "a long, b long").distinct())
 
 
 def pivot_pairs(front: DataFrame) -> DataFrame:
@@ -233,20 +311,20 @@ def links_between(docs: DataFrame, rows: DataFrame, *, k: int, threshold: float,
             yield pd.DataFrame({"node": path.view(np.int64), "c": pdf["c"].to_numpy()[row]})
 
     front = front_of(classes.select("c", "sig").mapInPandas(branch, "node long, c long"))
+    # Classes that merely met by chance go before any set is read.
+    near = active(front.withColumn("label", F.col("c")), classes, threshold).select("node", "c").distinct()
+    front = front_of(near.unionByName(front.where(F.col("n") > LEAF).select("node", "c")))
     sets = sets_of(docs, k, key, text, front.select("c").distinct().join(classes.select("c", F.col("rep").cast("long")), "c"))
     tried = written(pivot_pairs(front))
     links = similar(tried, sets, threshold)
     front = labelled(front, links)
     while front.limit(1).count():
+        links = links.unionByName(leaf_links(front, classes, sets, threshold))
         large = front.where(F.col("n") > LEAF)
-        pairs = leaf_pairs(front, classes, threshold)
-        deep = bool(large.limit(1).count())
-        if deep:
-            pairs = pairs.unionByName(pivot_pairs(large)).distinct()
-        fresh = written(pairs.join(tried, ["a", "b"], "left_anti"))
-        links = links.unionByName(similar(fresh, sets, threshold))
-        if not deep:
+        if not large.limit(1).count():
             break
+        fresh = written(pivot_pairs(large).join(tried, ["a", "b"], "left_anti"))
+        links = links.unionByName(similar(fresh, sets, threshold))
         tried = tried.unionByName(fresh)
         below = large.select("node", "c").join(classes.select("c", "sig"), "c").select("node", "c", "sig").mapInPandas(lambda b: branch(b, DEEPER), "node long, c long")
         front = labelled(front_of(below), links)

@@ -59,6 +59,7 @@ def rows(spark, docs):
 
 def test_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(neardup, "LEAF", 40)  # so that nodes of the small corpus branch on
+    monkeypatch.setattr(neardup, "CHUNK", 10)
     docs = corpus()
     for k, percent in ((3, 85), (5, 80)):
         got = sorted(tuple(r) for r in neardup.near_duplicates(rows(spark, docs), k=k, threshold=percent / 100).collect())
