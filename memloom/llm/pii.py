@@ -30,8 +30,9 @@ PATTERNS = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
-#: A text without the sign or digits a kind needs isn't searched for it.
+#: A text without the sign or digits a kind needs isn't searched for it; every hint is implied by the kind's pattern.
 NEEDS = {"email": "@", "ip": ".", "phone": "+", "ssn": "-"}
+HINTS = {"card": r"[0-9][\x20-]?[0-9]", "iban": "[0-9]{2}"}
 SCORES = {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.3}
 WORDS = {
     "email": "e-?mail|contact|write",
@@ -92,7 +93,7 @@ def matches(text: Column, kind: str) -> Column:
 
     none = F.array().cast(SPANS)
     spans = F.filter(F.transform(placed, scored), lambda s: F.lit(kind in BASE) | (s["score"] >= MIN_SCORE)).cast(SPANS)
-    hint = text.contains(NEEDS[kind]) if kind in NEEDS else text.rlike("[0-9]{2}")
+    hint = text.contains(NEEDS[kind]) if kind in NEEDS else text.rlike(HINTS[kind])
     return F.when(hint & text.rlike(PATTERNS[kind]), spans).otherwise(none)
 
 

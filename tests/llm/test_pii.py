@@ -47,6 +47,13 @@ def test_base_spans_equal_brute_force(spark):
         assert (r.found, r.kind) == (",".join(brute(rows[r.doc_id][1])), "clash"), rows[r.doc_id][1][:200]
 
 
+def test_cards_without_two_adjacent_digits(spark):
+    for sign in " -":
+        text = f"pay with {sign.join('4111111111111111')} now"
+        (r,) = pii.redact(pii.find(spark.createDataFrame([(1, text, None, None)], SCHEMA))).select("text", pii.joined(F.col("pii")).alias("found")).collect()
+        assert (r.found, r.text) == (",".join(brute(text)), "pay with [CARD] now")
+
+
 def test_added_kinds_and_scores(spark):
     text = "IBAN GB82 WEST 1234 5698 7654 32, not GB82 WEST 1234 5698 7654 33. SSN: 123-45-6789. " + "x" * 60 + " 123-45-6780 " + "y" * 60 + " call +1 (702) 555-0742"
     (r,) = pii.find(spark.createDataFrame([(1, text, None, None)], SCHEMA)).collect()
