@@ -6,13 +6,19 @@ coordinates are drawn from the node's own path (1 / threshold of them on average
 about one common child), and a class goes to the child named by its minwise value there.  Dissimilar classes part
 quickly.  ``TREES`` independent trees bring the chance of missing a pair at the threshold below 1 in 1,000.
 
-Work in a node never grows with the square of its size:
+Nodes are worked on in this order:
 
 1. every class of a node is compared with the node's pivot (its least class), and links are confirmed on full sets;
 2. nodes whose classes are now in one component are finished;
 3. small nodes (``LEAF`` classes at most, in pairs of chunks of ``CHUNK``) compare the classes of different components
    exhaustively, minwise values first, then full sets;
-4. larger nodes get a pivot again and are branched further, until none is left.
+4. the classes of larger nodes meet again by an exact prefix filter, whatever node they came from: shingles are ordered
+   by the number of these classes that hold them, rarest first, and two sets that reach the threshold share one of the
+   first n - ceil(threshold * n) + 1 shingles of each.  Classes that share such a shingle are compared as in 3.  Branching
+   on from a large node instead would lose pairs, as the chance of a common path falls with every level.
+
+So work grows with the square of a group only for at most ``LEAF`` classes of a node, and for classes that share even
+one of their rarest shingles without being in one component.
 
 Defined cases: null or wordless texts have an empty set, link with nothing and are kept; texts with fewer words than a
 shingle count as one shingle; repeated rows share a class; rows with the same id but other texts are compared like any
@@ -26,12 +32,13 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import table, written
 from .components import components
 
-COORDS, TREES, DEPTH, DEEPER, LEAF, CHUNK = 128, 10, 4, 6, 4096, 1024
+COORDS, TREES, DEPTH, LEAF, CHUNK = 128, 10, 4, 4096, 1024
 #: Bits of the map that picks the rows whose sets are needed: a fixed size; more rows than bits only weaken the filter.
 MAP_BITS = 26
 WORD_TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -240,12 +247,31 @@ def confirmed(s: list[np.ndarray], i: np.ndarray, j: np.ndarray, percent: int) -
     return i[ok], j[ok]
 
 
+def prefix_front(front: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(node, c, n, pivot): the classes of ``front`` that share a shingle (node) of their prefixes; no linked pair is missed."""
+    percent = round(threshold * 10_000)
+
+    def spread(batches):
+        for pdf in batches:
+            for lo in range(0, len(pdf), 100):
+                s = [np.frombuffer(b, dtype=np.int64) for b in pdf["s"].iloc[lo : lo + 100]]
+                size = [len(x) for x in s]
+                yield pd.DataFrame({"c": np.repeat(pdf["c"].to_numpy()[lo : lo + 100], size), "size": np.repeat(size, size), "node": np.concatenate(s)})
+
+    each = written(front.select("c").distinct().join(sets, "c")).mapInPandas(spread, "c long, size long, node long")
+    # Shingles of one class alone come first in its order and meet nothing.
+    df = written(each.groupBy("node").agg(F.count("*").alias("df")).where("df > 1"))
+    shared, of = written(each.join(df, "node")), W.partitionBy("c")
+    first = F.col("size") - F.ceil(F.col("size") * percent / 10_000) + 1 - (F.col("size") - F.count("*").over(of))
+    return front_of(shared.withColumn("first", first).withColumn("place", F.row_number().over(of.orderBy("df", "node"))).where("place <= first").select("node", "c"))
+
+
 def active(front: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """(node, i, j, chunk, c, label): the classes of small nodes that have a likely partner there, by minwise values alone.
+    """(node, i, j, chunk, c, label): the classes of ``front`` that have a likely partner in their node, by minwise values alone.
 
     A node of more than CHUNK classes is dealt out as pairs of chunks, so no task holds a large node.
     """
-    rows = front.where(F.col("n") <= LEAF).withColumn("k", F.ceil(F.col("n") / CHUNK)).withColumn("chunk", F.pmod(F.xxhash64("c"), "k"))
+    rows = front.withColumn("k", F.ceil(F.col("n") / CHUNK)).withColumn("chunk", F.pmod(F.xxhash64("c"), "k"))
     dealt = rows.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))).select("node", F.least("chunk", "o").alias("i"), F.greatest("chunk", "o").alias("j"), "chunk", "c", "label")
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -257,7 +283,7 @@ def active(front: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
 
 
 def leaf_links(front: DataFrame, classes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Links between different components in the nodes of at most LEAF classes, confirmed on full sets.
+    """Links between different components in the nodes of ``front``, confirmed on full sets.
 
     Only classes with a likely partner bring their sets; pairs that earlier links have joined needn't be compared.
     """
@@ -297,37 +323,27 @@ def links_between(docs: DataFrame, rows: DataFrame, *, k: int, threshold: float,
     """Links (a, b) between classes that join all linked classes into components; ``rows`` as from ``classes_of``."""
     classes = written(rows.where("c is not null").groupBy("c").agg(F.min("key").alias("rep"), F.first("sig").alias("sig")))
 
-    def branch(batches, levels=DEPTH):
+    def branch(batches):
         roots = mix(np.arange(1, TREES + 1, dtype=np.uint64))
         for pdf in batches:
             if not len(pdf):
                 continue
             sig = np.frombuffer(b"".join(pdf["sig"]), dtype=np.uint32).reshape(len(pdf), COORDS)
-            if "node" in pdf:
-                start, row = pdf["node"].to_numpy().view(np.uint64), np.arange(len(pdf))
-            else:
-                start, row = np.tile(roots, len(pdf)), np.repeat(np.arange(len(pdf)), TREES)
-            path, row = descend(start, row, sig, threshold, levels)
+            path, row = descend(np.tile(roots, len(pdf)), np.repeat(np.arange(len(pdf)), TREES), sig, threshold, DEPTH)
             yield pd.DataFrame({"node": path.view(np.int64), "c": pdf["c"].to_numpy()[row]})
 
     front = front_of(classes.select("c", "sig").mapInPandas(branch, "node long, c long"))
     # Classes that merely met by chance go before any set is read.
-    near = active(front.withColumn("label", F.col("c")), classes, threshold).select("node", "c").distinct()
+    near = active(front.where(F.col("n") <= LEAF).withColumn("label", F.col("c")), classes, threshold).select("node", "c").distinct()
     front = front_of(near.unionByName(front.where(F.col("n") > LEAF).select("node", "c")))
     sets = sets_of(docs, k, key, text, front.select("c").distinct().join(classes.select("c", F.col("rep").cast("long")), "c"))
-    tried = written(pivot_pairs(front))
-    links = similar(tried, sets, threshold)
+    links = similar(written(pivot_pairs(front)), sets, threshold)
     front = labelled(front, links)
-    while front.limit(1).count():
-        links = links.unionByName(leaf_links(front, classes, sets, threshold))
-        large = front.where(F.col("n") > LEAF)
-        if not large.limit(1).count():
-            break
-        fresh = written(pivot_pairs(large).join(tried, ["a", "b"], "left_anti"))
-        links = links.unionByName(similar(fresh, sets, threshold))
-        tried = tried.unionByName(fresh)
-        below = large.select("node", "c").join(classes.select("c", "sig"), "c").select("node", "c", "sig").mapInPandas(lambda b: branch(b, DEEPER), "node long, c long")
-        front = labelled(front_of(below), links)
+    links = links.unionByName(leaf_links(front.where(F.col("n") <= LEAF), classes, sets, threshold))
+    large = front.where(F.col("n") > LEAF)
+    if large.limit(1).count():
+        met = labelled(prefix_front(large, sets, threshold), links)
+        links = links.unionByName(leaf_links(met, classes, sets, threshold))
     return links
 
 

@@ -66,6 +66,19 @@ def test_equals_brute_force(spark, monkeypatch):
         assert got == sorted(brute(docs, k, percent))
 
 
+def pairs_in_one_passage(n, passage, pair, own):
+    """Pairs of texts with similarity (passage + pair) / (passage + pair + 2 own), which all share a passage; words in no order."""
+    say = lambda name, k: " ".join(f"{name}x{i}" for i in range(k))
+    return [(2 * i + j, f"{say('all', passage)} {say(f'pair{i}', pair)} {say(f'own{i}y{j}', own)}") for i in range(n) for j in (0, 1)]
+
+
+def test_pairs_at_the_threshold_in_large_nodes(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "LEAF", 10)
+    monkeypatch.setattr(neardup, "CHUNK", 50)
+    got = neardup.near_duplicates(rows(spark, pairs_in_one_passage(200, 148, 12, 20)), k=1, threshold=0.8).collect()
+    assert len(got) == 400 and [r.doc_id for r in got if r.component_id != r.doc_id // 2 * 2] == []
+
+
 def test_empty_table(spark):
     assert neardup.near_duplicates(rows(spark, [])).collect() == []
 
