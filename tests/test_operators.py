@@ -63,6 +63,16 @@ def test_nearest_equals_brute_force(spark):
         assert [got[q, k + 1] for k in range(5)] == [i for _, i in best]
 
 
+def test_nearest_ties_go_to_the_least_ids(spark):
+    r = random.Random(3)
+    ids = r.sample(range(1, 400), 120)
+    data = [(0, [1.0, 2.0, 3.0, 4.0])] + [(i, [s * (x + 1e-10 * r.random()) for x in (1.0, 2.0, 3.0, 4.5)]) for i in ids for s in [r.uniform(0.1, 9)]] + [(None, [1.0, 2.0, 3.0, 4.0])] * 20
+    for parts in (1, 3):
+        rows = spark.createDataFrame(data, "id long, embedding array<double>").coalesce(1).repartition(parts)
+        got = search.nearest(rows, rows.where("id = 0"), k=10).orderBy("rank").collect()
+        assert [x.id for x in got] == sorted(ids)[:10] and len({x.similarity for x in got}) == 1
+
+
 def test_lineage(spark):
     rows = spark.createDataFrame([(1, 2), (2, 3), (3, None), (4, 5), (5, 4), (6, 99)], "id long, superseded_by long")
     got = {r.id: (r.terminal_id, r.depth) for r in lineage.chains(rows).collect()}
