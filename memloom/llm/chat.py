@@ -2,12 +2,13 @@
 
 For every participant of a conversation the dialogue is rendered once with that speaker as the assistant and all others
 as named users.  A turn's text stands between header and end marks; the mask holds one character range per own turn, so
-that only the chosen speaker's words (and their end mark) are trained on.  System turns open every rendering and are
-nobody's perspective.
+that only the chosen speaker's words (and their end mark) are trained on.  System turns open the renderings of their
+part and are nobody's perspective.
 
-Built-in functions only.  Turns meet in one sorted array per conversation, which perspectives then explode.  A
-conversation is a unit of output, so its turns must meet; one that holds a third of all rows is cut into windows of
-``max_turns`` turns first (windows of a conversation are separate dialogues, in order), so no group is unbounded.
+Built-in functions only.  A conversation is cut into windows of ``max_turns`` turn numbers, and a window with more rows
+than that into parts of ``max_turns`` rows.  Each part is a dialogue of its own, as in the query's SQL: its speakers and
+system turns are those that occur in it.  Turns meet in one sorted array per part, which perspectives then explode; rows
+of windows that hold several parts are numbered by prefix sums over range partitions, so no group is unbounded.
 
 Defined cases: null texts are empty turns; null roles speak as ``unknown``; a null turn number sorts first; ties in the
 turn number are ordered by role and text; repeated rows are repeated turns; a null conversation id is one conversation;
@@ -17,9 +18,10 @@ conversations of system turns alone, and empty tables, give no rows; other colum
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 
@@ -29,6 +31,24 @@ def windows(turns: DataFrame, max_turns: int) -> DataFrame:
     return turns.withColumn("window", F.floor(F.coalesce("turn", F.lit(0)) / max_turns))
 
 
+def in_parts(t: DataFrame, max_turns: int) -> DataFrame:
+    """Part number of each turn: its place by turn, role and text among the rows of its window, div ``max_turns``."""
+    full = written(t.groupBy("conv", "window").agg(F.count("*").alias("n")).where(F.col("n") > max_turns).select(F.col("conv").alias("c"), F.col("window").alias("w")))
+    if not full.limit(1).count():
+        return t.withColumn("part", F.lit(0))
+    same = F.col("conv").eqNullSafe(F.col("c")) & (F.col("window") == F.col("w"))
+    # Rows that are alike in all columns may part, too; written, so that every step sees the same numbers.
+    many = written(t.join(full, same, "left_semi").withColumn("tie", F.monotonically_increasing_id()))
+    dealt = written(many.repartitionByRange("conv", "window", "turn", "role", "text", "tie").withColumn("range", F.spark_partition_id()))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("conv", "window").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    totals = dealt.groupBy("conv", "window", "range").agg(F.count("*").alias("n")).select(F.col("conv").alias("c"), F.col("window").alias("w"), F.col("range").alias("r"), before.alias("before"))
+    place = F.row_number().over(W.partitionBy("conv", "window", "range").orderBy("turn", "role", "text", "tie")) - 1
+    numbered = dealt.withColumn("place", place).join(totals, same & (F.col("range") == F.col("r")))
+    cut = numbered.withColumn("part", F.floor((F.col("before") + F.col("place")) / max_turns).cast("int"))
+    columns = [*t.columns, "part"]
+    return t.join(full, same, "left_anti").withColumn("part", F.lit(0)).select(columns).unionByName(cut.select(columns))
+
+
 def rotate(
     turns: DataFrame, *, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", max_turns: int = 1024
 ) -> DataFrame:
@@ -37,12 +57,9 @@ def rotate(
     ``mask`` is array<struct<start, end>> over code points of the rendering.
     """
     t = turns.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.coalesce(role, F.lit("unknown")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
-    groups = windows(t, max_turns).groupBy("conv", "window").agg(
+    parts = in_parts(windows(t, max_turns), max_turns).groupBy("conv", "window", "part").agg(
         F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns")
     )
-    # Rows that share one turn number beyond any window still meet; slices keep each rendering bounded.
-    slices = F.transform(F.sequence(F.lit(0), F.floor((F.size("turns") - 1) / max_turns).cast("int")), lambda i: F.slice("turns", i * max_turns + 1, max_turns))
-    parts = groups.select("conv", "window", F.posexplode(slices).alias("part", "turns"))
     speakers = F.array_sort(F.array_distinct(F.filter(F.transform("turns", lambda x: x["role"]), lambda r: r != "system")))
     views = parts.withColumn("speaker", F.explode(speakers))
 

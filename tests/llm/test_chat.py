@@ -1,3 +1,5 @@
+import re
+
 from pyspark.sql import types as T
 
 from memloom.llm import chat
@@ -28,3 +30,20 @@ def test_defined_cases(spark):
 def test_long_conversations_are_cut(spark):
     got = run(spark, [(1, i, "uv"[i % 2], str(i)) for i in range(25)] + [(2, 0, "u", str(i)) for i in range(25)], max_turns=10)
     assert sorted((r.conv_id, r.window, r.part, r.n_turns) for r in got if r.speaker == "u") == [(1, 0, 0, 10), (1, 1, 0, 10), (1, 2, 0, 5), (2, 0, 0, 10), (2, 0, 1, 10), (2, 0, 2, 5)]
+
+
+def test_a_hot_window_is_numbered_in_ranges(spark):
+    rows = [(None, None, "uv"[i % 2], str(i % 700)) for i in range(2500)] + [(1, 7, "u", "same")] * 2500 + [(1, 8, "v", "x"), (3, 0, "u", "y")]
+    data = spark.createDataFrame([(*r, "clash") for r in rows], SCHEMA)
+    t = chat.windows(data.select(data.conv_id.alias("conv"), "turn", "role", "text"), 1000)
+    want, order = [], lambda r: (r[1] is not None, r[1] or 0, r[2], r[3])
+    for conv in (None, 1, 3):
+        mine = sorted((r for r in rows if r[0] == conv), key=order)
+        want += [(*r, k // 1000) for k, r in enumerate(mine)]
+    got = [(r.conv, r.turn, r.role, r.text, r.part) for r in chat.in_parts(t, 1000).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    # Arrays hold the rows of one part.
+    out = chat.rotate(data, max_turns=1000)
+    assert re.search(r"Aggregate \[conv#\w+, window#\w+, part#\w+\]", out._jdf.queryExecution().analyzed().toString())
+    sizes = {(r.conv_id, r.part, r.speaker, r.n_turns) for r in out.collect()}
+    assert sizes == {(1, 0, "u", 1000), (1, 1, "u", 1000), (1, 2, "u", 501), (1, 2, "v", 501), (3, 0, "u", 1), (None, 0, "u", 1000), (None, 1, "u", 1000), (None, 1, "v", 1000), (None, 2, "v", 500)}
