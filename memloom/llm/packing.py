@@ -36,7 +36,8 @@ class Encoder:
 
     ``by_word`` is for tokenizers that drop white space, lower-case, part letters from other signs and close every part
     with an end-of-word token: each white-space-separated chunk then encodes alone, and chunks seen before are looked up.
-    Chunks of Latin letters with marks behind skip the normaliser; all others take the tokenizer's whole path.
+    Chunks of Latin letters with marks behind skip the normaliser; all others take the tokenizer's whole path, and so do
+    whole texts that hold the string of an added token, which the tokenizer reads as that token.
     """
 
     def __init__(self, path: str, by_word: bool):
@@ -45,13 +46,12 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.tok.encode_special_tokens = True
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.by_word = by_word
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         if by_word:
             self.plain = Tokenizer.from_file(path)
-            self.plain.encode_special_tokens = True
             self.plain.normalizer = normalizers.Sequence([])
             self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
             vocab = self.tok.get_vocab()
@@ -66,8 +66,10 @@ class Encoder:
         for w in chunks:
             c = w.decode()
             s = c.rstrip(MARKS)
-            if s.isalpha() and (s.isascii() or max(s) < "\u0250"):
-                parts[w] = (s.lower(), c[len(s) :]) if len(s) < len(c) else (s.lower(),)
+            low = s.lower()
+            # A letter that becomes letter and combining mark is parted there.
+            if low.isalpha() and (s.isascii() or max(s) < "\u0250"):
+                parts[w] = (low, c[len(s) :]) if len(s) < len(c) else (low,)
             else:
                 self.new[w] = self._whole(c)
         ids, pieces = {}, list({p for ps in parts.values() for p in ps})
@@ -83,8 +85,13 @@ class Encoder:
             self.new[w] = b"".join([ids[p] for p in ps])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.by_word:
-            return [self._whole(t) for t in texts]
+        special = [not self.by_word or any(a in t for a in self.added) for t in texts]
+        if any(special):
+            rest = iter(self._by_word([t for t, q in zip(texts, special, strict=True) if not q]))
+            return [self._whole(t) if q else next(rest) for t, q in zip(texts, special, strict=True)]
+        return self._by_word(texts)
+
+    def _by_word(self, texts: list[str]) -> list[bytes]:
         lists = []
         for t in texts:
             b = t.encode()

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -18,13 +19,14 @@ TEXTS = [
     "same text",
     "same text",
     "x" * 5000,
+    "İstanbul İ. ŉa ǅ ß ſ Ⅷ",
+    "<|startoftext|>a<|ENDOFTEXT|> b<|endoftext|><|endoftext|>İ",
+    "don't Ü'S we'LL Ǆ!! e\u0301E\u0301 K\u212a \u1e9e",
 ]
 
 
 def direct(text):
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids
+    return Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids
 
 
 def test_word_cache_equals_direct_encoding():
@@ -33,6 +35,15 @@ def test_word_cache_equals_direct_encoding():
         assert np.frombuffer(raw, "<u4").tolist() == direct(text)
 
 
+def test_every_letter_below_0x250_and_random_strings():
+    r = random.Random(3)
+    letters = [chr(c) for c in range(0x20, 0x250)] + ["\u0307", "\u0301", "\u03a3", "\u2028", "\u00a0", "'s", "<|endoftext|>"]
+    texts = [f"a{c}b {c} {c}{c}." for c in letters] + ["".join(r.choices(letters, k=40)) for _ in range(400)]
+    one = Tokenizer.from_file(PATH)
+    for text, raw in zip(texts, packing.Encoder(PATH, True).encode(texts), strict=True):
+        assert np.frombuffer(raw, "<u4").tolist() == one.encode(text, add_special_tokens=False).ids, text
+
+
 def test_pieces_rebuild_every_document(spark):
     rows = [(i, t, "clash", 7) for i, t in enumerate(TEXTS)] + [(5, "same text", "clash", 7), (None, "no id", None, None)]
     out = packing.pack(spark.createDataFrame(rows, SCHEMA).repartition(3), PATH, length=64).collect()
