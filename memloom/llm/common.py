@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 _OWN: list[str] = []
@@ -16,20 +17,76 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own only where none is set (tests)."""
+    """The cluster's shared folder; a folder of our own only where none is set and all tasks run on this machine (tests)."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _OWN:
         _OWN.append("file://" + tempfile.mkdtemp(prefix="memloom-"))
     return _OWN[0]
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here, and lost executors cost nothing done so far."""
+def written(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends here, and lost executors cost nothing done so far.
+
+    ``by``: columns that name folders, so that a filter on them reads its folders only.
+    """
     path = f"{scratch_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path).select(df.columns)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def added(df: DataFrame, name: str, col: Column) -> DataFrame:
+    """``df`` with a new column; a column of that name is never replaced."""
+    if fresh(df, name) != name:
+        raise ValueError(f"the table has a column {name} already")
+    return df.withColumn(name, col)
+
+
+def running(rows: DataFrame, group: list[str], order: list[str], **sums: str) -> DataFrame:
+    """``rows`` with ``place``, their number within the group from 0, and prefix sums: ``name=column`` adds up the rows before.
+
+    Two passes, so that no group needs one task: range partitions are numbered on their own, and their totals (one row a
+    group and range) are summed up before.  Rows that are alike in all columns of the order stand in any order.
+    """
+    tied = written(rows.withColumn("__tie", F.monotonically_increasing_id()))
+    dealt = written(tied.repartitionByRange(*group, *order, "__tie").withColumn("__range", F.spark_partition_id()))
+    discard(tied)
+    within = W.partitionBy(*group, "__range").orderBy(*order, "__tie")
+    mine = within.rowsBetween(W.unboundedPreceding, -1)
+    ahead = W.partitionBy(*group).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    nil = F.lit(0).cast("long")
+    totals = dealt.groupBy(*group, "__range").agg(F.count("*").alias("__n"), *[F.sum(c).alias(f"__{name}") for name, c in sums.items()])
+    before = totals.select(
+        *[F.col(c).alias(f"__g{i}") for i, c in enumerate(group)], F.col("__range").alias("__r"),
+        F.coalesce(F.sum("__n").over(ahead), nil).alias("__b"), *[F.coalesce(F.sum(f"__{name}").over(ahead), nil).alias(f"__b_{name}") for name in sums],
+    )
+    same = F.col("__range") == F.col("__r")
+    for i, c in enumerate(group):
+        same &= F.col(c).eqNullSafe(F.col(f"__g{i}"))
+    inside = dealt.withColumns({"place": F.row_number().over(within).cast("long") - 1} | {name: F.coalesce(F.sum(c).over(mine), nil) for name, c in sums.items()})
+    out = inside.join(before, same).withColumns({"place": F.col("place") + F.col("__b")} | {name: F.col(name) + F.col(f"__b_{name}") for name in sums})
+    return out.select(*rows.columns, "place", *sums)
 
 
 def ascii_lower(col):
