@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 from pyspark.sql import types as T
@@ -13,10 +14,54 @@ PAGE = (
 )
 
 
+def holds(bits, tag, *names):
+    want = html.path_bits(tag, list(names))
+    return bits & want == want
+
+
 def test_blocks_carry_their_paths():
     got = html.blocks(PAGE)
-    assert [t for _, t in got] == ["T", "Home", "Buy this now.", "Fish & chips", "Two words here.", "Second paragraph of the story.", "First!", "© me"]
-    assert got[2][0][-2:] == ["div", ".ad"] and "article" in got[5][0] and "article" not in got[6][0]
+    assert [t for _, t, _ in got] == ["Home", "Buy this now.", "Fish & chips", "Two words here.", "Second paragraph of the story.", "First!", "© me"]
+    assert holds(got[1][0], "div", "ad") and holds(got[4][0], "article") and not holds(got[5][0], "article") and holds(got[5][0], "div", "comments")
+    assert [linked for _, _, linked in got] == [1, 0, 0, 0, 0, 0, 0]
+
+
+def test_broken_markup_loses_no_text():
+    text = lambda h: [t for _, t, _ in html.blocks(h)]
+    assert text("<p>a</p><svg width=1 /><p>b</p><svg><g/><svg/><svg></svg></svg><p>c<template><p>x</p></template></p><svg><p>d</p>") == ["a", "b", "c", "d"]
+    assert text("<p title=it's>it's fine</p><p class='x>text</p><p>more</p>") == ["it's fine", "text", "more"]
+    assert text('<p title="a > b">x</p> 1 < 2 <3 <!doctype x><? y ?></ z>') == ["x", "1 < 2 <3"]
+    assert text("<!--><p>a</p><!-- <p>b</p> --!><p>c</p><!-- open <p>d</p>") == ["a", "c"]
+    assert text("<div>a<b>b</span>c<p>d</b>e<p>f</div>g<script>h</script >i<script>j") == ["abc", "de", "f", "gi"]
+    assert text("<TITLE>t</TITLE><title>no end<p>a") == ["no end", "a"]
+
+
+def test_reading_takes_linear_time():
+    n, began = 40_000, time.process_time()
+    for page in ("<a " * n, "<div>" * n + "x" + "</div>" * n, "<p title='" * n, "<b><i>" * n + "</u></i>" * n, "<svg>" * n, "<a b=" * n, "&" * n, "<!--" * n, "<a" + " " * n + "b" + " " * n, "<" * n, "<template>" * n + "</template>" * 100):
+        html.blocks(page)
+    deep = html.blocks("<div>" * n + "".join(f"<p>{i}</p>" for i in range(n)))
+    assert len(deep) == n and time.process_time() - began < 60
+
+
+def test_long_pages_are_labelled_in_steps(monkeypatch):
+    page = "<nav>" + "<a href=x>y</a>" * 9 + "</nav><article>" + "".join(f"<p>Word number {i} stands here.</p>" for i in range(300)) + "</article>"
+    m, read = html.trained(), html.blocks(page)
+    want = m.main_of([read])
+    monkeypatch.setattr(html, "STEP", 7)
+    assert m.main_of([read]) == want and len(want[0]) == 300
+
+
+def test_other_languages_and_layout_tables():
+    german = "<html><body><div class=hauptnavigation><ul><li><a href=/>Start</a></li><li><a href=/b>Berichte</a></li></ul></div><div class=inhalt><h1>Ein Fund im Wald</h1><p>Am Morgen fanden Kinder einen alten Krug aus Ton.</p><p>Er ist nun im Museum.</p></div><div class=werbung>Jetzt kaufen!</div><div class=fusszeile>&copy; Bote</div></body></html>"
+    table = "<html><body><table><tr><td><a href=/>Home</a><br><a href=/n>News</a></td><td><h1>A find in the wood</h1><p>In the morning children found an old jar made of clay.</p><p>It is in the museum now.</p></td></tr></table><footer>&copy; Herald</footer></body></html>"
+    got = html.trained().main_of([html.blocks(german), html.blocks(table)])
+    assert got == [["Ein Fund im Wald", "Am Morgen fanden Kinder einen alten Krug aus Ton.", "Er ist nun im Museum."], ["A find in the wood", "In the morning children found an old jar made of clay.", "It is in the museum now."]]
+
+
+def test_the_words_behind_the_sixtieth_count():
+    one, other = ([(1, "x " * 80 + w, 0.0)] for w in ("alpha.", "beta."))
+    assert (html.features(one) != html.features(other)).any()
 
 
 def test_gradient_is_the_slope():
@@ -41,8 +86,8 @@ def test_held_out_pages():
     read = [html.blocks(p) for p in pages]
     got = m.main_of(read)
     assert sum(g == w for g, w in zip(got, want, strict=True)) >= 190
-    one = [(m.probabilities(html.features(p))[0] >= 0.5).tolist() for p in read if p]
-    assert one == [[t in g for _, t in p] for p, g in zip(read, got, strict=True)] or sum(map(sum, one)) == sum(map(len, got))
+    one = [[t for (_, t, _), q in zip(p, m.probabilities(html.features(p))[0], strict=True) if q >= 0.5] for p in read]
+    assert sum(a != b for a, b in zip(one, got, strict=True)) <= 1  # single and double precision may part at one half
 
 
 def test_defined_cases(spark):
