@@ -5,12 +5,14 @@ Texts are lower-cased (A-Z) and cut into words of digits, letters a-z and non-AS
 are word numbers, so one scan of a document's word numbers finds every pattern; hit words are mapped back to code-point
 spans of the original text.  Documents never move: the patterns go to the documents.
 
-The benchmark is a stated query set.  It is streamed through the driver in shards of at most ``shard_words`` words,
-one automaton each, so that no automaton or broadcast grows with it; more shards mean more scans in the same pass.
+The benchmark is a stated query set.  It is streamed through the driver in shards of at most ``shard_words`` words
+(longer items are cut into overlapping pieces); a pass over the documents scans for one shard and adds its hits to those
+of the passes before, so a worker holds one automaton whatever the benchmark's size, and spans are always those of the
+union of all hits.  A benchmark of one shard, the usual case, is one scan.
 
 Defined cases: a null or wordless text has no words and no hits; a null or wordless item matches nothing; a null
 item_id counts for hits but is not listed; repeated items and ids are listed once; empty tables give empty results;
-other columns are kept as they are.
+other columns are kept as they are, and a table that has a column named like ``into`` is refused.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import added, table, written
 
 #: Bytes that are no word characters become blanks, A-Z become a-z; bytes of non-ASCII characters stay.
 TABLE = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
@@ -58,22 +60,24 @@ class Automaton:
             self.trie.make_automaton()
         self.any = bool(at)
 
-    def scan(self, text: str | None) -> tuple:
+    def scan(self, text: str | None, items: set, before: list) -> tuple:
+        """Items and hit words of ``text``, with those of earlier scans."""
         raw = (text or "").encode()
         clean = raw.translate(TABLE)
         ws = clean.split()
         get = self.vocab.get
         ids = tuple([get(w, 0) for w in ws])
         found = list(self.trie.iter(ids)) if self.any and ids else []
-        if not found:
-            return len(ws), 0, [], [], []
-        edge, items = np.zeros(len(ws) + 1, dtype=np.int64), set()
+        if not found and not before:
+            return len(ws), 0, sorted(items), [], []
+        edge = np.zeros(len(ws) + 1, dtype=np.int64)
         for end, k in found:
             n, of = self.patterns[k]
             edge[end - n + 1] += 1
             edge[end + 1] -= 1
             items |= of
         hit = np.cumsum(edge[:-1]) > 0
+        hit[before] = True
         at = [m.span() for m in WORD.finditer(clean)]
         point = np.concatenate([[0], np.cumsum((np.frombuffer(raw, dtype=np.uint8) & 0xC0) != 0x80)])
         turns = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]])))
@@ -81,15 +85,18 @@ class Automaton:
         return len(ws), int(hit.sum()), sorted(items), np.flatnonzero(hit).tolist(), spans
 
 
-def shards(benchmark: DataFrame, item_id: str, text: str, shard_words: int) -> Iterator[list]:
+def shards(benchmark: DataFrame, item_id: str, text: str, window: int, shard_words: int) -> Iterator[list]:
     part, n = [], 0
+    step = max(1, shard_words - window + 1)  # pieces of a long item share window - 1 words, so that no window is cut
     for item, t in benchmark.select(F.col(item_id).cast("string"), F.col(text)).toLocalIterator():
-        if ws := words(t):
-            part.append((item, ws))
-            n += len(ws)
-        if n >= shard_words:
-            yield part
-            part, n = [], 0
+        ws = words(t)
+        for lo in range(0, max(1, len(ws) - window + 1), step):
+            if piece := ws[lo : lo + step + window - 1]:
+                part.append((item, piece))
+                n += len(piece)
+            if n >= shard_words:
+                yield part
+                part, n = [], 0
     if part:
         yield part
 
@@ -100,14 +107,14 @@ def scanner(spark, items: list, window: int):
     sent, name = spark.sparkContext.broadcast(items), uuid.uuid4().hex
 
     @F.pandas_udf(RESULT)
-    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         if name not in _AUTOMATA:
-            if len(_AUTOMATA) > 8:  # workers live on between queries
-                _AUTOMATA.clear()
+            _AUTOMATA.clear()  # workers live on between passes and queries
             _AUTOMATA[name] = Automaton(sent.value, window)
         automaton = _AUTOMATA[name]
-        for texts in batches:
-            yield pd.DataFrame([automaton.scan(t) for t in texts], columns=["n_words", "n_hit", "items", "hit_words", "spans"])
+        for texts, seen, hits in batches:
+            rows = [automaton.scan(t, set(() if i is None else i), [] if h is None else list(h)) for t, i, h in zip(texts, seen, hits, strict=True)]
+            yield pd.DataFrame(rows, columns=["n_words", "n_hit", "items", "hit_words", "spans"])
 
     return scan
 
@@ -124,15 +131,17 @@ def decontaminate(
     into: str = "overlap",
 ) -> DataFrame:
     """``docs`` with a struct column ``into``: n_words, n_hit, items, hit_words, spans, contaminated (at least 5 % of the words hit)."""
-    spark = docs.sparkSession
-    found = [scanner(spark, s, window)(F.col(text)) for s in shards(benchmark, item_id, item_text, shard_words)] or [scanner(spark, [], window)(F.col(text))]
-    out = docs.select("*", *[f.alias(f"__scan{i}") for i, f in enumerate(found)])
-    one = F.col("__scan0")
-    if len(found) > 1:
-        both = lambda c: F.array_sort(F.array_distinct(F.concat(*[F.col(f"__scan{i}")[c] for i in range(len(found))])))
-        hits = both("hit_words")
-        one = F.struct(one["n_words"].alias("n_words"), F.size(hits).cast("long").alias("n_hit"), both("items").alias("items"), hits.alias("hit_words"), both("spans").alias("spans"))
-    out = out.withColumn(into, one).drop(*[f"__scan{i}" for i in range(len(found))])
+    spark, out, so_far = docs.sparkSession, docs, None
+    nothing = (F.lit(None).cast("array<string>"), F.lit(None).cast("array<int>"))
+    for shard in shards(benchmark, item_id, item_text, window, shard_words):
+        if so_far is not None:
+            out = written(out)
+        hits = nothing if so_far is None else (F.col(into)["items"], F.col(into)["hit_words"])
+        found = scanner(spark, shard, window)(F.col(text), *hits)
+        out = added(out, into, found) if so_far is None else out.withColumn(into, found)
+        so_far = shard
+    if so_far is None:
+        out = added(out, into, scanner(spark, [], window)(F.col(text), *nothing))
     r = F.col(into)
     return out.withColumn(into, r.withField("contaminated", (r["n_hit"] > 0) & (r["n_hit"] * 20 >= r["n_words"])))
 

@@ -7,10 +7,10 @@ match only where a run starts (or where the last match ended).
 
 Kinds: email, ip, card (Luhn), phone, and two that the method adds: iban (mod 97) and ssn (kept only with a word of
 its kind nearby).  Scores start at the kind's own and gain ``CONTEXT_GAIN`` when a context word stands within
-``CONTEXT`` characters; spans under ``MIN_SCORE`` are dropped.  The first four always stay.
+``CONTEXT`` characters before or behind the span; spans under ``MIN_SCORE`` are dropped.  The first four always stay.
 
 Defined cases: null is the empty text; no span gives empty lists; repeated rows are judged one by one; empty tables give
-no rows; other columns are kept as they are.
+no rows; other columns are kept as they are, and a table that has a column named like ``into`` is refused.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import added, table
 
 BASE = ("email", "ip", "card", "phone")
 PATTERNS = {
@@ -86,8 +86,9 @@ def matches(text: Column, kind: str) -> Column:
     placed = F.filter(F.aggregate(pairs, start, add, lambda acc: acc["out"]), lambda x: valid(kind, x["m"]))
 
     def scored(x: Column) -> Column:
+        # The match itself is no context: a blank stands for it.
         lo = F.greatest(x["start"] - CONTEXT, F.lit(0))
-        around = F.substr(text, lo + 1, x["end"] - lo + CONTEXT)
+        around = F.concat(F.substr(text, lo + 1, x["start"] - lo), F.lit(" "), F.substr(text, x["end"] + 1, F.lit(CONTEXT)))
         gain = F.when(around.rlike(rf"(?i)(?<![A-Za-z])(?:{WORDS[kind]})(?![A-Za-z])"), CONTEXT_GAIN + 0.1 * (kind == "ssn")).otherwise(0.0)
         return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.round(SCORES[kind] + gain, 2).alias("score"))
 
@@ -100,7 +101,7 @@ def matches(text: Column, kind: str) -> Column:
 def find(docs: DataFrame, *, text: str = "text", into: str = "pii") -> DataFrame:
     """``docs`` with a column ``into``: all spans, by kind and then by start."""
     t = F.coalesce(F.col(text), F.lit(""))
-    return docs.withColumn(into, F.concat(*[matches(t, k) for k in PATTERNS]))
+    return added(docs, into, F.concat(*[matches(t, k) for k in PATTERNS]))
 
 
 def redact(docs: DataFrame, *, text: str = "text", spans: str = "pii") -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import types as T
 
 from memloom.llm import decontam
@@ -40,11 +41,27 @@ def frames(spark, docs, items):
 def test_equals_brute_force_in_one_or_many_shards(spark):
     docs, items = cases()
     d, b = frames(spark, docs, items)
+    spans = []
     for shard_words in (200_000, 16):
         rows = decontam.decontaminate(d, b, shard_words=shard_words).collect()
+        spans.append(sorted((r.doc_id, r.text or "", [tuple(s) for s in r.overlap.spans], list(r.overlap.hit_words)) for r in rows))
         got = sorted((r.doc_id, r.text or "", r.overlap.n_words, r.overlap.n_hit, list(r.overlap["items"]), r.overlap.contaminated) for r in rows)
         assert got == sorted((i, t or "", *brute(t, items)) for i, t in docs)
         assert all(r["items"] == "clash" and r["n_hit"] == 5 for r in rows)
+    assert spans[0] == spans[1]
+
+
+def test_long_items_are_cut_with_their_windows_whole(spark):
+    _, b = frames(spark, [], [(1, " ".join(f"w{i}" for i in range(50))), (2, "a b")])
+    got = [piece for shard in decontam.shards(b, "item_id", "text", 13, 20) for piece in shard]
+    runs = {tuple(p[i : i + 13]) for item, p in got if item == "1" for i in range(len(p) - 12)}
+    assert runs == {tuple(f"w{i}".encode() for i in range(k, k + 13)) for k in range(38)} and all(len(p) <= 20 for _, p in got)
+
+
+def test_a_column_is_never_replaced(spark):
+    d, b = frames(spark, [(1, "a")], [])
+    with pytest.raises(ValueError, match="n_hit"):
+        decontam.decontaminate(d, b, into="n_hit")
 
 
 def test_spans_point_into_the_original(spark):

@@ -60,6 +60,12 @@ def test_added_kinds_and_scores(spark):
     assert [(s.kind, text[s.start : s.end], s.score) for s in r.pii] == [("phone", "+1 (702) 555-0742", 0.8), ("iban", "GB82 WEST 1234 5698 7654 32", 1.0), ("ssn", "123-45-6789", 0.6)]
 
 
+def test_the_match_is_no_context(spark):
+    text = "contact@x.example, " + "z" * 60 + " write to a@b.example"
+    (r,) = pii.find(spark.createDataFrame([(1, text, None, None)], SCHEMA)).collect()
+    assert [s.score for s in r.pii] == [0.8, 1.0]
+
+
 def test_redaction(spark):
     rows = [(1, "é a@b.example, 😀 +1 (702) 555-0742!", None, None), (2, "clean", None, None), (3, None, None, None), (4, "a@1.2.3.4 x", None, None)]
     got = {r.doc_id: r.text for r in pii.redact(pii.find(spark.createDataFrame(rows, SCHEMA))).collect()}
