@@ -1,10 +1,11 @@
 """Near-duplicate vectors by spherical-cap filters.
 
 Filter directions come from random product codes: after a random rotation the space is cut into two blocks with a
-codebook each, and a direction joins one word of each.  A vector is list-decoded to every direction whose cap holds it,
-and to its ``LEAST`` best ones where fewer do, in each of several independent codes.  Vectors that share a direction are
-compared; a pair counts only at its first common direction.  A pair at the threshold shares about eight directions and is
-missed less than once in 1,000 (measured in the tests).
+codebook each, and a direction joins one word of each.  A vector is list-decoded: each block's words are sorted by their
+scores, and only sums above the cap are walked, so the work follows the list and not the code.  It goes to every
+direction whose cap holds it, and to its ``LEAST`` best ones where fewer do, in each of several independent codes.
+Vectors that share a direction are compared; a pair counts only at its first common direction.  A pair at the threshold
+shares about nine directions and is missed less than once in 1,000 (measured in the tests).
 
 Equal vectors form one class first.  The code grows with the number of classes, so that a direction keeps about
 ``BUCKET`` of them; a direction with more is cut into chunks of ``CHUNK`` rows, and pairs of chunks are compared, so no
@@ -18,6 +19,7 @@ has another; empty tables give no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -25,10 +27,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import discard, table, written
 from .components import components
 
-CODES, LEAST, BUCKET, CHUNK = 4, 4, 64, 256
+LEAST, BUCKET, CHUNK = 4, 128, 512
+#: Chance that a pair at the threshold shares no direction in any code.
+MISS = 2e-4
 #: float32 products may err by this much before the exact check in double precision.
 SLACK = 1e-4
 
@@ -52,27 +56,63 @@ def tail(p: float) -> float:
     return lo
 
 
-def decode(x: np.ndarray, code: int, words: int) -> list[np.ndarray]:
-    """Directions of each unit vector: all whose cap holds it, and the LEAST best."""
-    dim = x.shape[1]
+def decode(x: np.ndarray, code: int, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, direction) of each unit vector, in order: all directions whose cap holds it, and the LEAST best."""
+    n, dim = x.shape
     turn, books = codebook(code, dim, words)
     y, at, scores = x @ turn, 0, []
     for b in books:
         scores.append(y[:, at : at + b.shape[1]] @ b.T)
         at += b.shape[1]
+    if len(books) == 1:
+        scores.append(np.zeros((n, 1)))
     total = words ** len(books)
     cap = tail(min(0.4, LEAST / total)) * math.sqrt(len(books) / dim)
-    out = []
-    step = max(1, 4_000_000 // total)
-    for lo in range(0, len(x), step):
-        s = scores[0][lo : lo + step]
-        if len(books) == 2:
-            s = (s[:, :, None] + scores[1][lo : lo + step][:, None, :]).reshape(len(s), -1)
-        best = np.argpartition(-s, min(LEAST, total) - 1, axis=1)[:, :LEAST]
-        inside = s >= cap
-        np.put_along_axis(inside, best, True, axis=1)
-        out += [np.flatnonzero(row) for row in inside]
-    return out
+    one, other = scores
+    order = np.argsort(-other, axis=1)
+    falling = np.take_along_axis(other, order, 1)
+    width, last = other.shape[1], other.shape[1] - 1
+    # List decoding: words of the first block that the best word of the second lifts over the cap, each with the second
+    # block's words in falling order for as long as the sum stays above it.
+    row, i = np.nonzero(one >= cap - falling[:, :1])
+    least, rows, found, k = cap - one[row, i], [], [], 0
+    while len(row):
+        inside = falling[row, k] >= least
+        row, i, least = row[inside], i[inside], least[inside]
+        rows.append(row)
+        found.append(i * width + order[row, k])
+        k += 1
+        if k > last:
+            break
+    # The best sums lie among the best words of both blocks.
+    top, few = np.argsort(-one, axis=1)[:, :LEAST], order[:, :LEAST]
+    sums = (np.take_along_axis(one, top, 1)[:, :, None] + falling[:, None, : few.shape[1]]).reshape(n, -1)
+    best = np.argsort(-sums, axis=1, kind="stable")[:, :LEAST]
+    where = (top[:, :, None] * width + few[:, None, :]).reshape(n, -1)
+    rows.append(np.repeat(np.arange(n), best.shape[1]))
+    found.append(np.take_along_axis(where, best, 1).ravel())
+    both = np.unique(np.concatenate(rows).astype(np.int64) * total + np.concatenate(found))
+    return both // total, both % total
+
+
+def near_pairs(dim: int, threshold: float, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Random unit vectors, and others at the threshold from them."""
+    r = np.random.default_rng([20240302, dim, n])
+    x, e = r.normal(size=(2, n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    e -= (e * x).sum(1, keepdims=True) * x
+    e /= np.maximum(np.linalg.norm(e, axis=1, keepdims=True), 1e-300)
+    return x, threshold * x + math.sqrt(max(0.0, 1 - threshold**2)) * e
+
+
+@functools.lru_cache(maxsize=64)
+def codes_for(dim: int, words: int, threshold: float) -> int:
+    """Independent codes that bring the chance of a miss at the threshold to ``MISS``, from one code's misses on 1,000 random pairs."""
+    x, y = near_pairs(dim, threshold, 1000)
+    total = words ** min(2, dim)
+    (i, a), (j, b) = decode(x, 0, words), decode(y, 0, words)
+    met = len(np.unique(np.intersect1d(i * total + a, j * total + b) // total))
+    return max(1, math.ceil(math.log(MISS) / math.log((1003 - met) / 1003.0001)))
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -81,58 +121,62 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def filtered(classes: DataFrame, words: int, codes: int, width: str) -> DataFrame:
+def filtered(classes: DataFrame, words: int, threshold: float, width: str) -> DataFrame:
     """(f, c, m, v, fs): one row for each class and direction; fs holds all directions of the class."""
     kind = np.dtype(width)
 
     def run(batches):
         for pdf in batches:
             vectors = [np.asarray(v, dtype=kind) for v in pdf["v"]]
-            for dim in sorted({len(v) for v in vectors}):
-                mine = [i for i, v in enumerate(vectors) if len(v) == dim]
-                for lo in range(0, len(mine), 500):
-                    part = mine[lo : lo + 500]
+            sizes, c, m = np.array([len(v) for v in vectors], dtype=np.int64), pdf["c"].to_numpy(), pdf["m"].to_numpy()
+            for dim in np.unique(sizes).tolist():
+                same, codes = np.flatnonzero(sizes == dim), codes_for(dim, words, threshold)
+                for lo in range(0, len(same), 1000):
+                    part = same[lo : lo + 1000]
                     x = unit(np.stack([vectors[i] for i in part]))
                     lists = [decode(x, code, words) for code in range(codes)]
-                    rows = []
-                    for k, i in enumerate(part):
-                        fs = np.concatenate([np.int64((dim * codes + code) * words * words) + lists[code][k] for code in range(codes)])
-                        raw, v = np.sort(fs).astype("<i8").tobytes(), vectors[i].tobytes()
-                        rows += [(f, pdf["c"].iat[i], pdf["m"].iat[i], v, raw) for f in fs.tolist()]
-                    yield pd.DataFrame(rows, columns=["f", "c", "m", "v", "fs"])
+                    of = np.concatenate([r for r, _ in lists])
+                    f = np.concatenate([np.int64((dim * 4096 + code) * words * words) + d for code, (_, d) in enumerate(lists)])
+                    by = np.lexsort((f, of))
+                    of, f = of[by], f[by]
+                    edge, raw = np.searchsorted(of, np.arange(len(part) + 1)) * 8, f.astype("<i8").tobytes()
+                    v = np.array([vectors[i].tobytes() for i in part] + [None], dtype=object)[:-1]
+                    fs = np.array([raw[edge[k] : edge[k + 1]] for k in range(len(part))] + [None], dtype=object)[:-1]
+                    yield pd.DataFrame({"f": f, "c": c[part][of], "m": m[part][of], "v": v[of], "fs": fs[of]})
 
     return classes.mapInPandas(run, "f long, c long, m long, v binary, fs binary")
 
 
-def compare(rows: pd.DataFrame, cross: bool, threshold: float, kind: np.dtype) -> pd.DataFrame:
-    """(c, n, root) of one direction's rows: new partners, and the least class linked here."""
-    x = unit(np.stack([np.frombuffer(v, dtype=kind) for v in rows["v"]]))
-    c, m, f = rows["c"].to_numpy(), rows["m"].to_numpy(), rows["f"].iat[0]
+def compare(rows: dict[str, np.ndarray], lo: int, hi: int, cross: bool, threshold: float, kind: np.dtype) -> tuple[np.ndarray, ...] | None:
+    """(c, n, root) of one direction's rows ``lo`` to ``hi``: new partners, and the least class linked here; None without links."""
+    x = unit(np.frombuffer(b"".join(rows["v"][lo:hi]), dtype=kind).reshape(hi - lo, -1))
     low = x.astype(np.float32)
-    near = np.triu(low @ low.T >= threshold - SLACK, 1)
+    near = low @ low.T >= threshold - SLACK
+    if np.count_nonzero(near) <= hi - lo:  # each with itself alone
+        return None
+    near = np.triu(near, 1)
     if cross:
-        chunk = rows["chunk"].to_numpy()
+        chunk = rows["chunk"][lo:hi]
         near &= chunk[:, None] != chunk[None, :]
     i, j = np.nonzero(near)
     ok = np.zeros(len(i), dtype=bool)
-    for lo in range(0, len(i), 100_000):
-        ok[lo : lo + 100_000] = np.einsum("ij,ij->i", x[i[lo : lo + 100_000]], x[j[lo : lo + 100_000]]) >= threshold
+    for k in range(0, len(i), 100_000):
+        ok[k : k + 100_000] = np.einsum("ij,ij->i", x[i[k : k + 100_000]], x[j[k : k + 100_000]]) >= threshold
     i, j = i[ok], j[ok]
     if not len(i):
-        return pd.DataFrame({"c": [], "n": [], "root": []}, dtype="int64")
-    fs = [np.frombuffer(b, dtype="<i8") for b in rows["fs"]]
+        return None
+    c, m, f = rows["c"][lo:hi], rows["m"][lo:hi], rows["f"][lo]
+    fs = [np.frombuffer(b, dtype="<i8") for b in rows["fs"][lo:hi]]
     grid = np.full((len(fs), max(map(len, fs))), -1, dtype=np.int64)
     for k, row in enumerate(fs):
         grid[k, : len(row)] = row
     grid[grid >= f] = -1  # only earlier directions matter: a pair that shares one was counted there
     first = np.ones(len(i), dtype=bool)
-    for lo in range(0, len(i), 20_000):
-        a, b = grid[i[lo : lo + 20_000]], grid[j[lo : lo + 20_000]]
+    for k in range(0, len(i), 20_000):
+        a, b = grid[i[k : k + 20_000]], grid[j[k : k + 20_000]]
         for col in range(grid.shape[1]):
-            first[lo : lo + 20_000] &= ~((a[:, col : col + 1] == b) & (b >= 0)).any(1)
-    n = np.zeros(len(c), dtype=np.int64)
-    np.add.at(n, i[first], m[j[first]])
-    np.add.at(n, j[first], m[i[first]])
+            first[k : k + 20_000] &= ~((a[:, col : col + 1] == b) & (b >= 0)).any(1)
+    n = np.bincount(i[first], weights=m[j[first]], minlength=len(c)) + np.bincount(j[first], weights=m[i[first]], minlength=len(c))
     root = c.copy()
     while True:
         before = root.copy()
@@ -142,7 +186,7 @@ def compare(rows: pd.DataFrame, cross: bool, threshold: float, kind: np.dtype) -
             break
     touched = np.zeros(len(c), dtype=bool)
     touched[i] = touched[j] = True
-    return pd.DataFrame({"c": c, "n": n, "root": root})[touched]
+    return c[touched], n[touched].astype(np.int64), root[touched]
 
 
 def near_vectors(vectors: DataFrame, *, threshold: float = 0.95, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -151,12 +195,14 @@ def near_vectors(vectors: DataFrame, *, threshold: float = 0.95, key: str = "vec
     sound = (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
     width = "float64" if vectors.schema[vector].dataType.elementType.simpleString() == "double" else "float32"
     kind = np.dtype(width)
-    rows = vectors.select(F.col(key).alias("key"), F.when(sound, v).alias("v")).withColumn("c", F.when(F.col("v").isNotNull(), F.xxhash64("v")))
-    classes = written(rows.where("c is not null").groupBy("c").agg(F.count("*").alias("m"), F.min("key").alias("rep"), F.first("v").alias("v")))
+    # Two hashes of 64 bits name a class; a number of 64 bits stands for it in all joins but the last.
+    hashes = {"h": F.xxhash64("v"), "g": F.xxhash64(F.lit(1), "v")}
+    rows = vectors.select(F.col(key).alias("key"), F.when(sound, v).alias("v")).withColumns({k: F.when(F.col("v").isNotNull(), x) for k, x in hashes.items()})
+    classes = rows.where("v is not null").groupBy("h", "g").agg(F.count("*").alias("m"), F.min("key").alias("rep"), F.first("v").alias("v"))
+    classes = written(classes.withColumn("c", F.monotonically_increasing_id()))
     # Directions in proportion to the classes, as words ** 2.
-    words = int(min(1024, max(8, 2 ** round(math.log2(max(1, classes.count()) * LEAST / BUCKET) / 2))))
-    codes = CODES + max(0, int(math.log2(words)) - 7)
-    caps = written(filtered(classes.select("c", "m", "v"), words, codes, width))
+    words = int(max(8, 2 ** round(math.log2(max(1, classes.count()) * LEAST / BUCKET) / 2)))
+    caps = written(filtered(classes.select("c", "m", "v"), words, threshold, width))
     sizes = written(caps.groupBy("f").count().where("count > 1").withColumn("k", F.ceil(F.col("count") / CHUNK)).select("f", "k"))
     chunked = caps.join(sizes, "f").withColumn("chunk", F.pmod(F.xxhash64("c"), "k"))
     # Chunk i meets every other chunk once; a direction of one chunk is compared as it is.
@@ -168,24 +214,32 @@ def near_vectors(vectors: DataFrame, *, threshold: float = 0.95, key: str = "vec
         rest = None
         for pdf in batches:
             pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-            ids = pdf[["f", "i", "j"]].to_numpy()
-            if not len(ids):
+            if not len(pdf):
                 continue
-            cuts = [0, *(np.flatnonzero((ids[1:] != ids[:-1]).any(1)) + 1).tolist(), len(ids)]
-            for lo, hi in zip(cuts[:-2], cuts[1:-1], strict=True):
-                if hi - lo > 1:
-                    yield compare(pdf.iloc[lo:hi], ids[lo, 1] != ids[lo, 2], threshold, kind)
-            rest = pdf.iloc[cuts[-2] :]
+            rest, done = None, []
+            rows = {k: pdf[k].to_numpy() for k in pdf.columns}
+            ids = np.stack([rows[k] for k in "fij"], axis=1)
+            cuts = [0, *(np.flatnonzero((ids[1:] != ids[:-1]).any(1)) + 1).tolist()]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                done.append(compare(rows, lo, hi, ids[lo, 1] != ids[lo, 2], threshold, kind) if hi - lo > 1 else None)
+            rest = pdf.iloc[cuts[-1] :]
+            yield from result(done)
         if rest is not None and len(rest) > 1:
-            yield compare(rest, rest["i"].iat[0] != rest["j"].iat[0], threshold, kind)
+            rows = {k: rest[k].to_numpy() for k in rest.columns}
+            yield from result([compare(rows, 0, len(rest), rows["i"][0] != rows["j"][0], threshold, kind)])
+
+    def result(done):
+        if done := [x for x in done if x]:
+            yield pd.DataFrame({k: np.concatenate([x[n] for x in done]) for n, k in enumerate(("c", "n", "root"))})
 
     found = written(dealt.repartition(F.col("f"), F.col("i"), F.col("j")).sortWithinPartitions("f", "i", "j").mapInPandas(run, "c long, n long, root long"))
+    discard(caps, sizes)
     label = components(found.select(F.col("c").alias("a"), F.col("root").alias("b")).distinct()).select(F.col("id").alias("c"), F.col("component_id").alias("label"))
     partners = found.groupBy("c").agg(F.sum("n").alias("n"))
-    known = written(classes.select("c", "m", "rep").join(partners, "c", "left").join(label, "c", "left").withColumn("label", F.coalesce("label", "c")))
+    known = written(classes.select("c", "h", "g", "m", "rep").join(partners, "c", "left").join(label, "c", "left").withColumn("label", F.coalesce("label", "c")))
     least = known.groupBy("label").agg(F.min("rep").alias("component_id"))
-    known = written(known.join(least, "label").select("c", (F.col("m") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component_id"))
-    out = rows.select("key", "c").join(known, "c", "left")
+    known = written(known.join(least, "label").select("h", "g", (F.col("m") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component_id"))
+    out = rows.select("key", "h", "g").join(known, ["h", "g"], "left")
     component = F.coalesce("component_id", "key")
     return out.select(F.col("key").alias(key), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("key") == component, F.lit(True)).alias("kept"))
 

@@ -4,9 +4,13 @@ A word's *form* (first two and last three bytes, hashed to one of ``FORMS`` symb
 word itself is drawn from its form by the corpus counts: P(text) = HMM(forms) x prod (c + 0.1) / (C + 0.1 (V + 1)), with
 c the word's count, C and V the tokens and distinct words of its form.  Every document ends in an end token.
 
-Training: Baum-Welch.  A bounded sample of ``WARM_ROWS`` segments starts the parameters off; then ``rounds`` full rounds sum
-expected counts over all training documents, symbol by symbol, across partitions.  A training sequence is a segment of
-``SEGMENT`` tokens.  Scoring runs the scaled forward recursion over whole documents, so the likelihood is exact.
+Training: Baum-Welch.  Expected counts are summed symbol by symbol across partitions.  The first rounds go over the
+corpus once, each over another share of its documents (``SHARES``, small ones first, since early parameters needn't many
+counts); then ``rounds`` rounds sum over all training documents.  A training sequence is a segment of ``SEGMENT`` tokens,
+so that segments are worked on side by side; each begins with the last token of the one before, which counts as the
+state's context only, so every transition of a document counts once.  The state before that token is taken from the
+chain's long run: this is the one approximation in training.  Scoring runs the scaled forward recursion over whole
+documents, so the likelihood is exact.
 
 Counts are never held in one place: each input partition is cut into blocks of about ``BLOCK_BYTES`` of text, tokenised
 once; a block asks for its distinct words, a join answers with corpus counts, and a block's documents (as word numbers)
@@ -29,7 +33,9 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, table, written
 
-STATES, FORMS, SEGMENT, WARM_ROWS, WARM_ROUNDS = 8, 4096, 64, 20_000, 12
+STATES, FORMS, SEGMENT = 8, 4096, 64
+#: Shares of the corpus, in 32nds, that the first rounds see; together they are the corpus.
+SHARES = (1,) * 8 + (2,) * 4 + (4,) * 4
 END, END_FORM = b"", FORMS
 COLUMNS = ["block", "key", "held_out", "ids", "s", "w", "i", "form", "c"]
 BLOCK_BYTES = 16_000_000
@@ -58,34 +64,41 @@ def start() -> dict[str, np.ndarray]:
 
 
 def expected(model: dict, segments: np.ndarray, opening: np.ndarray) -> dict[str, np.ndarray]:
-    """Baum-Welch counts of segments (rows of SEGMENT symbols, -1 after the end); ``opening``: those that begin a document."""
+    """Baum-Welch counts of segments: rows of a context symbol and SEGMENT symbols, -1 after the end.
+
+    ``opening``: segments that begin a document; their context is none and is passed over.
+    """
     emit = np.vstack([model["emit"].T, np.ones(STATES)]).astype(np.float32)  # symbol -1 is certain
     move = model["move"].astype(np.float32)
-    n = len(segments)
-    # A segment inside a document starts from the chain's long-run state.
-    steady = np.linalg.matrix_power(model["move"], 256)[0]
-    a = np.where(opening[:, None], model["first"], steady).astype(np.float32)
-    alpha = np.empty((SEGMENT, n, STATES), dtype=np.float32)
-    for t in range(SEGMENT):
-        a = (a if t == 0 else a @ move) * emit[segments[:, t]]
+    n, first = len(segments), model["first"].astype(np.float32)
+    steady = np.linalg.matrix_power(model["move"], 256)[0].astype(np.float32)
+    a = steady * emit[segments[:, 0]]
+    alpha = np.empty((SEGMENT + 1, n, STATES), dtype=np.float32)
+    for t in range(SEGMENT + 1):
+        if t:
+            a = a @ move
+            if t == 1:
+                a[opening] = first
+            a *= emit[segments[:, t]]
         a /= a.sum(1, keepdims=True)
         alpha[t] = a
     out = {"first": np.zeros(STATES), "move": np.zeros((STATES, STATES)), "emit": np.zeros((FORMS + 1, STATES))}
     beta = np.ones((n, STATES), dtype=np.float32)
-    for t in range(SEGMENT - 1, -1, -1):
+    for t in range(SEGMENT, 0, -1):
         live = segments[:, t] >= 0
         gamma = alpha[t] * beta
         gamma /= gamma.sum(1, keepdims=True)
         gamma[~live] = 0
         for k in range(STATES):
             out["emit"][:, k] += np.bincount(segments[live, t], weights=gamma[live, k], minlength=FORMS + 1)
-        if t == 0:
+        inner = live
+        if t == 1:
             out["first"] += gamma[opening].sum(0)
-            break
+            inner = live & ~opening
         ahead = emit[segments[:, t]] * beta
         back = ahead @ move.T
         scale = (alpha[t - 1] * back).sum(1, keepdims=True)
-        weight = np.where(live[:, None], alpha[t - 1] / scale, 0)
+        weight = np.where(inner[:, None], alpha[t - 1] / scale, 0)
         out["move"] += (weight.T @ ahead) * model["move"]
         beta = back / back.sum(1, keepdims=True)
         beta[~live] = 1
@@ -121,22 +134,26 @@ def forward(model: dict, rows: list[np.ndarray]) -> np.ndarray:
 
 
 def cut(symbols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Segments of the sequences, and which of them begin one."""
+    """Segments of the sequences, each after its context symbol, and which of them begin one."""
     n = np.array([-(-len(s) // SEGMENT) for s in symbols])
-    grid = np.full((int(n.sum()), SEGMENT), -1, dtype=np.int64)
+    grid = np.full((int(n.sum()), SEGMENT + 1), -1, dtype=np.int64)
     at = 0
     for s, k in zip(symbols, n, strict=True):
-        grid[at : at + k].ravel()[: len(s)] = s
+        whole = np.full(k * SEGMENT, -1, dtype=np.int64)
+        whole[: len(s)] = s
+        grid[at : at + k, 1:] = whole.reshape(k, SEGMENT)
         at += k
     opening = np.zeros(len(grid), dtype=bool)
     opening[np.cumsum(n) - n] = True
+    grid[1:, 0] = grid[:-1, -1]
+    grid[opening, 0] = -1
     return grid, opening
 
 
 def blocks_of(docs: DataFrame, kind: str) -> DataFrame:
-    """Documents (block, key, held_out, ids, s) and their blocks' words (block, w, i, form, c) in one table.
+    """Documents (block, key, held_out, ids, s, i) and their blocks' words (block, w, i, form, c) in one table.
 
-    ids: word numbers within the block; s: forms; c: the word's count in the block's training documents.
+    i: number of the document in its partition, or of the word in its block; ids: word numbers within the block; s: forms; c: the word's count in the block's training documents.
     """
 
     def run(batches):
@@ -144,10 +161,10 @@ def blocks_of(docs: DataFrame, kind: str) -> DataFrame:
 
         block, forms = TaskContext.get().partitionId() << 24, Forms()
         number: dict[bytes, int] = {}
-        mine, rows, size = [], [], 0
+        mine, rows, size, at = [], [], 0, 0
 
         def docs_out():
-            out = pd.DataFrame(rows, columns=["key", "held_out", "ids", "s"]).assign(block=block, w=None, i=None, form=None, c=None)
+            out = pd.DataFrame(rows, columns=["key", "held_out", "ids", "s", "i"]).assign(block=block, w=None, form=None, c=None)
             rows.clear()
             return out[COLUMNS]
 
@@ -162,7 +179,8 @@ def blocks_of(docs: DataFrame, kind: str) -> DataFrame:
             for k, out, t in zip(pdf["key"], pdf["held_out"], pdf["text"]):
                 ws = tokens(t)
                 ids = np.array([number.setdefault(w, len(number)) for w in ws], dtype="<u4")
-                rows.append((k, out, ids.tobytes(), np.array([forms[w] for w in ws], dtype="<u2").tobytes()))
+                rows.append((k, out, ids.tobytes(), np.array([forms[w] for w in ws], dtype="<u2").tobytes(), at))
+                at += 1
                 if not out:
                     mine.append(ids)
                 size += len(t)
@@ -180,17 +198,16 @@ def blocks_of(docs: DataFrame, kind: str) -> DataFrame:
     return docs.mapInPandas(run, f"block long, key {kind}, held_out boolean, ids binary, s binary, w binary, i int, form int, c long")
 
 
-def train(symbols: DataFrame, rounds: int) -> dict[str, np.ndarray]:
-    spark = symbols.sparkSession
-    model = start()
-    sample = [np.frombuffer(r.s, dtype="<u2").astype(np.int64)[: 8 * SEGMENT] for r in symbols.orderBy(F.xxhash64("s")).limit(WARM_ROWS // 8).select(F.substring("s", 1, 16 * SEGMENT).alias("s")).collect()]
-    if not sample:
-        return model
-    grid, opening = cut(sample)
-    for _ in range(WARM_ROUNDS):
-        model = better(expected(model, grid, opening))
+def train(texts: DataFrame, rounds: int) -> dict[str, np.ndarray]:
+    """Parameters from ``texts`` (block, i, s)."""
+    spark, model = texts.sparkSession, start()
     columns = [f"g{k}" for k in range(STATES)]
-    for _ in range(rounds):
+    # Block and number make a row's hash, so copies of a text spread over the shares.
+    share, at, rows_of = F.pmod(F.xxhash64("block", "i"), F.lit(sum(SHARES))), 0, []
+    for width in SHARES:
+        rows_of.append(texts.where((share >= at) & (share < at + width)))
+        at += width
+    for symbols in [*rows_of, *[texts] * rounds]:
         sent = spark.sparkContext.broadcast(model)
 
         def run(batches, sent=sent):
@@ -205,10 +222,12 @@ def train(symbols: DataFrame, rounds: int) -> dict[str, np.ndarray]:
                 rows = np.vstack([total["emit"], total["move"], total["first"]])
                 yield pd.DataFrame(rows, columns=columns).assign(i=range(len(rows)))[["i", *columns]]
 
-        sums = symbols.mapInPandas(run, "i int, " + ", ".join(f"{c} double" for c in columns)).groupBy("i").agg(*[F.sum(c).alias(c) for c in columns])
+        sums = symbols.select("s").mapInPandas(run, "i int, " + ", ".join(f"{c} double" for c in columns)).groupBy("i").agg(*[F.sum(c).alias(c) for c in columns])
         # One row a symbol and state, however large the corpus.
         rows = sums.toPandas().sort_values("i")[columns].to_numpy()
-        model = better({"emit": rows[: FORMS + 1], "move": rows[FORMS + 1 : FORMS + 1 + STATES], "first": rows[-1]})
+        if len(rows):  # a small corpus has no document in some shares
+            model = better({"emit": rows[: FORMS + 1], "move": rows[FORMS + 1 : FORMS + 1 + STATES], "first": rows[-1]})
+        sent.destroy()
     return model
 
 
@@ -231,7 +250,7 @@ def score(docs: DataFrame, *, rounds: int = 2, key: str = "doc_id", text: str =
     in_form, kinds = np.zeros(FORMS + 1), np.zeros(FORMS + 1)
     in_form[forms["s"].astype(int)], kinds[forms["s"].astype(int)] = forms["c"], forms["v"]
     total, distinct = int(in_form.sum()), int(kinds.sum())
-    model = train(texts.where("not held_out").select("s"), rounds)
+    model = train(texts.where("not held_out").select("block", "i", "s"), rounds)
     sent = spark.sparkContext.broadcast((model, np.log10(in_form + 0.1 * (kinds + 1))))
     whole = math.log10(total + 0.1 * (distinct + 1))
 
@@ -250,7 +269,9 @@ def score(docs: DataFrame, *, rounds: int = 2, key: str = "doc_id", text: str =
         return pd.concat([docs_[["key", "held_out"]].reset_index(drop=True), done], axis=1).assign(train_tokens=total)[["key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]]
 
     answered = words.join(counts, "w", "left").select("block", "i", "form", F.coalesce("total", F.lit(0)).alias("total"))
-    mine = texts.select(F.col("block").alias("b"), "key", "held_out", "ids").groupBy("b").cogroup(answered.groupBy("block"))
+    # Twice as many partitions as blocks, so that few of them hold several.
+    tasks = 2 * read.agg(F.count_distinct("block")).first()[0] + 1
+    mine = texts.select(F.col("block").alias("b"), "key", "held_out", "ids").repartition(tasks, "b").groupBy("b").cogroup(answered.repartition(tasks, "block").groupBy("block"))
     scored = mine.applyInPandas(run, f"key {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return scored.withColumnRenamed("key", key)
 

@@ -49,15 +49,41 @@ def test_equals_brute_force(spark):
     assert sorted(tuple(r) for r in got) == brute(rows)
 
 
+def exhaustive(x, code, words):
+    """All directions above the cap and the LEAST best, from the scores of every direction."""
+    turn, books = capfilter.codebook(code, x.shape[1], words)
+    y, at, total = x @ turn, 0, np.zeros((len(x), 1))
+    for b in books:
+        total = (total[:, :, None] + (y[:, at : at + b.shape[1]] @ b.T)[:, None, :]).reshape(len(x), -1)
+        at += b.shape[1]
+    cap = capfilter.tail(min(0.4, capfilter.LEAST / total.shape[1])) * np.sqrt(len(books) / x.shape[1])
+    return total, [set(np.flatnonzero(s >= cap)) | set(np.argsort(-s)[: capfilter.LEAST]) for s in total]
+
+
+def test_list_decoding_equals_all_scores():
+    r = np.random.default_rng(2)
+    for dim, words in ((64, 32), (16, 8), (3, 8), (2, 4), (1, 8)):
+        x = r.normal(size=(200, dim))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        row, f = capfilter.decode(x, 1, words)
+        scores, want = exhaustive(x, 1, words)
+        for i in range(200):  # directions may tie, their scores not
+            assert np.allclose(sorted(scores[i, f[row == i]]), sorted(scores[i, list(want[i])])), dim
+
+
 def test_pairs_at_the_threshold_are_found():
     r = np.random.default_rng(9)
     x = r.normal(size=(3000, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    y, hit = near(x, 0.95, r), np.zeros(3000, dtype=bool)
-    for code in range(capfilter.CODES):
-        for i, (a, b) in enumerate(zip(capfilter.decode(x, code, 64), capfilter.decode(y, code, 64), strict=True)):
-            hit[i] |= bool(set(a) & set(b))
-    assert hit.mean() >= 0.999
+    y = near(x, 0.95, r)
+    for words in (16, 64, 512, 2048):  # up to more than 100 million classes
+        hit, lists = np.zeros(3000, dtype=bool), 0
+        for code in range(capfilter.codes_for(64, words, 0.95)):
+            (i, a), (j, b) = capfilter.decode(x, code, words), capfilter.decode(y, code, words)
+            both = np.intersect1d(i * words**2 + a, j * words**2 + b)
+            hit[both // words**2] = True
+            lists += len(a) / 3000
+        assert hit.mean() >= 0.998 and lists < 12 * capfilter.codes_for(64, words, 0.95), words
 
 
 def test_empty_and_null_ids(spark):

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import types as T
 
 from memloom.llm import langid
@@ -32,6 +33,23 @@ def test_phrases_equal_brute_force():
         assert row.tolist() == [brute_phrases(t, passages[k], 10**9) for k in ("p", "q")]
 
 
+def test_wide_alphabets_stay_small():
+    r = random.Random(5)
+    signs = lambda n: "".join(chr(r.randint(0x4E00, 0x9FA5)) for _ in range(n))
+    passages = {"zh": [signs(600) for _ in range(64)], "en": ["the quick brown fox and the dog " * 18 for _ in range(64)]}
+    m = langid.CrossParser(passages)
+    assert sum(x.nbytes for x in (m.base, m.owner, m.target, m.of, m.root)) < 8_000_000
+    texts = [passages["zh"][3][100:160], "the brown dog", signs(50) + " fox", "ж", "the 中"]
+    assert m.predict(texts)[0][:2] == ["zh", "en"]
+    for t, row in zip(texts, m.phrases([m.symbols(t) for t in texts]), strict=True):
+        assert row.tolist() == [brute_phrases(t, [p.lower() for p in passages[k]], 10**9) for k in m.langs]
+
+
+def test_ties_go_to_the_first_language():
+    names, score = langid.CrossParser({"b": ["same words"], "a": ["same words"]}).predict(["same", "words same"])
+    assert (names, score.tolist()) == (["a", "a"], [0, 0])
+
+
 def test_long_texts_are_cut_into_lanes():
     m = langid.CrossParser({"p": ["ab ab ba"], "q": ["zz"]})
     assert m.predict(["ab " * 20_000 + "zz", None])[0] == ["p", "und"]
@@ -51,6 +69,14 @@ def test_defined_cases(spark):
     assert alone[0].language.lang == "und"
 
 
+def test_null_keys_teach_and_columns_stay(spark):
+    docs = spark.createDataFrame([(None, "only text here", "en", None)], SCHEMA)
+    assert langid.fit_and_identify(docs).first().language.lang == "en"
+    assert docs.select(langid.held_out(docs.doc_id).alias("x")).first().x is False
+    with pytest.raises(ValueError, match="score"):
+        langid.fit_and_identify(docs, into="score")
+
+
 def test_sample_is_bounded(spark):
     rows = [(i, f"word{i} " * 500, "en", None) for i in range(400)]
     p = langid.labelled_passages(spark.createDataFrame(rows, SCHEMA), 64, 600, key="doc_id", text="text", lang="lang")
