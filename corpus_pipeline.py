@@ -1,7 +1,11 @@
 """The document pipeline: five stages, each a DataFrame of documents in and out.
 
-Each stage judges every document its predecessor kept.  ``lang`` labels of the documents themselves teach the language
-stage; the benchmark table feeds the decontamination stage.
+Each stage judges every row its predecessor kept.  ``lang`` labels of the documents themselves teach the language
+stage; the benchmark table feeds the decontamination stage.  Columns that a stage needs get names that the documents
+don't have, so extra columns pass through whatever their names.
+
+Defined cases, for every stage: an empty table gives an empty table; rows are judged one by one, so repeated rows and
+ids, and null ids, are documents like any others; texts are read whole.
 """
 
 from __future__ import annotations
@@ -10,39 +14,55 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memloom.llm import decontam, langid, neardup, packing, pii
-from memloom.llm.common import table, written
+from memloom.llm.common import fresh, table, written
 from memloom.llm.queries import tokenizer_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any letter (``und``) go."""
-    return langid.fit_and_identify(docs, into="__language").where(F.col("__language.lang") != "und").drop("__language")
+    """Documents without text or without any letter go; ``lang`` becomes the language found.
+
+    Where no document is labelled there is nothing to learn: every document with a letter stays, its ``lang`` null.
+    """
+    found = fresh(docs, "language")
+    judged = langid.fit_and_identify(docs, into=found).where((F.col(found)["lang"] != "und") | F.col("text").rlike(langid.LETTER))
+    lang = F.when(F.col(found)["lang"] != "und", F.col(found)["lang"]).otherwise(F.col("lang"))
+    return judged.withColumn("lang", lang.cast(docs.schema["lang"].dataType)).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the least id; five-word shingles, similarity 0.8."""
-    judged = neardup.near_duplicates(docs, k=5, threshold=0.8)
-    gone = judged.where(~F.col("kept")).select("doc_id").distinct()
-    # A row without words links with nothing; repeated rows of a kept document are one document.
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(docs.columns)
+    """One row of each group of near-duplicates stays: the one with the least id; five-word shingles, similarity 0.8.
+
+    Groups are groups of rows: copies under one id, or under none, are copies, and a row that merely shares its id with
+    one that goes stays.  Null ids come last, and rows of one id are taken in the order of the table.  Rows without words
+    link with nothing and stay.
+    """
+    row = fresh(docs, "row")
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()))
+    judged = neardup.near_duplicates(rows, k=5, threshold=0.8, key=row)
+    group = written(judged.select(F.col(row).alias("r"), "component_id").join(rows.select(F.col(row).alias("r"), F.col("doc_id").alias("id")), "r"))
+    stays = group.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "r")).alias("least")).select(F.col("least.r").alias("stays"))
+    return rows.join(stays, F.col(row) == F.col("stays"), "left_semi").select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with at least 5 % of their words inside benchmark windows go."""
-    return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"), into="__overlap").where("not __overlap.contaminated").drop("__overlap")
+    """Documents with at least 5 % of their words inside benchmark windows go; those without words stay."""
+    found = fresh(docs, "overlap")
+    judged = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"), into=found)
+    return judged.where(~F.col(found)["contaminated"]).select(docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every span found is replaced by its kind; n_chars follows the text."""
-    found = pii.find(docs, into="__pii")
-    clean = pii.redact(found, spans="__pii")
+    """Every span found is replaced by its kind; ``n_chars`` follows the text; a null text stays null."""
+    found = fresh(docs, "pii")
+    clean = pii.redact(pii.find(docs, into=found), spans=found)
     if "n_chars" in docs.columns:
-        clean = clean.withColumn("n_chars", F.when(F.size("__pii") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return clean.drop("__pii")
+        kind = docs.schema["n_chars"].dataType
+        clean = clean.withColumn("n_chars", F.when(F.size(found) > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return clean.select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the token windows, with the ids' checksum."""
+    """Pieces of the token windows, with the ids' checksum; one set of pieces a row."""
     return packing.pack_digest(docs, tokenizer_path())
 
 
