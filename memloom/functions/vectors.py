@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Raw cosine -> score, linear between.
@@ -33,9 +33,41 @@ def calibrate(c: Column) -> Column:
 
 
 def valid(v: Column, dim: int | None = None) -> Column:
-    """Finite, of the wanted length, and not constant."""
-    sound = (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x)) & (F.array_max(v) - F.array_min(v) >= 1e-9)
-    return sound if dim is None else sound & (F.size(v) == dim)
+    """Finite, of the wanted length, and not constant; null vectors are not valid."""
+    sound = (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (F.array_max(v) - F.array_min(v) >= 1e-9)
+    return F.coalesce(sound if dim is None else sound & (F.size(v) == dim), F.lit(False))
+
+
+def sparse(v: Column) -> Column:
+    """Fewer than twelve of the first 64 components are other than zero: such a vector's cosine isn't calibrated."""
+    head = F.slice(v, 1, 64)
+    return F.coalesce(F.size(F.filter(head, lambda x: F.abs(x) > 1e-7)) < F.least(F.lit(12), F.size(head)), F.lit(False))
+
+
+def hashed(text: Column, dim: int) -> Column:
+    """A vector of the text's SHA-256: two bytes a component, round and round; unit length, 6 decimals; zeros for no text."""
+    digest = F.sha2(text, 256)
+    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.conv(F.substr(digest, (i % 16) * 4 + 1, F.lit(4)), 16, 10).cast("double") / 65535 * 2 - 1)
+    size = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
+    return F.when(F.coalesce(text, F.lit("")) == "", F.array_repeat(F.lit(0.0), dim)).otherwise(F.transform(raw, lambda x: F.round(x / size, 6)))
+
+
+def token_hashed(tokens: Column, dim: int) -> Column:
+    """A vector of words: each adds 1, 0.6 and -0.4 at three hashed places; unit length."""
+    place = lambda w, k: F.pmod(F.xxhash64(w, F.lit(k)), F.lit(dim)).cast("int")
+    add = lambda v, w: F.transform(v, lambda x, i: x + F.when(place(w, 0) == i, 1.0).otherwise(0.0) + F.when(place(w, 1) == i, 0.6).otherwise(0.0) - F.when(place(w, 2) == i, 0.4).otherwise(0.0))
+    raw = F.aggregate(tokens, F.array_repeat(F.lit(0.0), dim), add)
+    return F.when(norm(raw) > 0, F.transform(raw, lambda x: x / norm(raw))).otherwise(raw)
+
+
+def centroids(rows: DataFrame, *, by: str, vector: str = "embedding", weight: Column | None = None) -> DataFrame:
+    """(by, centroid, n): the weighted sum of each group's valid vectors, at unit length; sums are partial in each task."""
+    w = F.lit(1.0) if weight is None else weight
+    each = rows.where(valid(F.col(vector))).select(by, w.alias("w"), F.posexplode(vector).alias("i", "x"))
+    sums = each.groupBy(by, "i").agg(F.sum(F.col("x").cast("double") * F.col("w")).alias("s"), F.count("*").alias("n"))
+    whole = sums.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("i", "s"))).alias("a"), F.max("n").alias("n"))
+    sizes = whole.select(by, "n", F.transform("a", lambda x: x["s"]).alias("v"))
+    return sizes.withColumn("size", norm(F.col("v"))).select(by, F.when(F.col("size") > 1e-12, F.transform("v", lambda x: x / F.col("size"))).alias("centroid"), "n")
 
 
 def residual(h: Column, q: Column, beta: float) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ latest today active across sessions session step steps after since""".split()
 GENERIC_WORDS = """policy rule rules system service project server node nodes port version config configuration setting settings status
 mode default cluster data use used using uses run running runs set value exactly strictly only just about around roughly approximately
 nearly almost least most more less over under than remain remains each every""".split()
+META_WORDS = """many much want wanted trying try tried make made sure need needed help helped implement implemented implementing feature
+features aspect aspects conversation conversations discussion discussions throughout mention mentioned items item summary summarize
+comprehensive progressed progress handled handle handling suggest suggested take taken looking planning plan planned bring brought
+different various overall consider considering based specific specifically provide provided walk through explain explained approach
+approached work worked working develop developing development developed far time times recommend recommended passed between ever""".split()
 TECH_TOKENS = "db ip ui ci cd os ha io vm gc pr qa ai ml id".split()
 SECRETS = [
     ("OpenRouter API Key", r"\bsk-or-v1-[A-Za-z0-9_-]{20,}\b"),
@@ -36,20 +43,24 @@ def tokens(text: Column) -> Column:
 
 
 def stem(w: Column) -> Column:
-    """Suffix stripping: one of -ies, -ing, -ed, -es, -s, then a final e."""
+    """Suffix stripping: one of -ies, -ing, -ed, -es, -s, then a final e.
+
+    Every stem but those in -y is a prefix of its word, so only the prefix's length is worked out, without any pattern.
+    """
     n = F.length(w)
-    single = lambda c: F.regexp_replace(c, r"(.)\1$", "$1")
-    cut = lambda k: F.substr(w, F.lit(1), n - k)
-    base = (
-        F.when((n > 4) & w.endswith("ies"), F.concat(cut(3), F.lit("y")))
-        .when((n > 5) & w.endswith("ing"), single(cut(3)))
-        .when((n > 4) & w.endswith("ed"), single(cut(2)))
-        .when((n > 4) & w.endswith("es") & ~w.rlike("(tes|les|res|ves)$"), cut(2))
-        .when(w.endswith("s") & ~w.rlike("(ss|us|is)$"), cut(1))
-        .otherwise(w)
+    ends = lambda *tails: functools.reduce(lambda x, y: x | y, [w.endswith(t) for t in tails])
+    at = lambda k: F.substr(w, k, F.lit(1))
+    # The rest before -ing or -ed loses one of two equal last letters.
+    single = lambda k: n - k - (at(n - k) == at(n - k - 1)).cast("int")
+    keep = (
+        F.when((n > 5) & ends("ing"), single(3))
+        .when((n > 4) & ends("ed"), single(2))
+        .when((n > 4) & ends("es") & ~ends("tes", "les", "res", "ves"), n - 2)
+        .when(ends("s") & ~ends("ss", "us", "is"), n - 1)
+        .otherwise(n)
     )
-    bare = F.when((F.length(base) > 4) & base.endswith("e") & ~base.endswith("ee"), F.regexp_replace(base, "e$", "")).otherwise(base)
-    return F.when(n <= 3, w).otherwise(bare)
+    bare = keep - ((keep > 4) & (at(keep) == "e") & (at(keep - 1) != "e")).cast("int")
+    return F.when(n <= 3, w).when((n > 4) & ends("ies"), F.concat(F.substr(w, F.lit(1), n - 3), F.lit("y"))).otherwise(F.substr(w, F.lit(1), bare))
 
 
 def stems(text: Column) -> Column:
@@ -61,18 +72,33 @@ def token_estimate(text: Column) -> Column:
 
 
 def query_terms(query: Column) -> Column:
-    """Terms of a question: dots and hyphens inside words stay; short words only with a digit or where technical."""
+    """Words of a question: dots and hyphens inside words stay; short words only with a digit or where technical."""
     words = F.transform(F.split(F.lower(query), "[^a-z0-9_.-]+"), lambda w: F.regexp_replace(w, "^[.-]+|[.-]+$", ""))
     return F.array_distinct(F.filter(words, lambda w: (F.length(w) > 2) | w.rlike("[0-9]") | w.isin(*TECH_TOKENS)))
 
 
+def asked_terms(query: Column) -> Column:
+    """Words of a question that are no stop words; none may be left."""
+    return F.filter(query_terms(query), lambda w: ~w.isin(*STOP_WORDS))
+
+
+def without(terms: Column, *lists: list[str]) -> Column:
+    """Terms that are in none of the lists; a list that would leave none is skipped."""
+
+    def fewer(a: Column, words: Column) -> Column:
+        left = F.array_except(a, F.split(words, " "))
+        return F.when(F.size(left) > 0, left).otherwise(a)
+
+    return F.aggregate(F.array(*[F.lit(" ".join(w)) for w in lists]), terms, fewer)
+
+
+def domain_terms(query: Column) -> Column:
+    return without(asked_terms(query), TEMPORAL_CUES, META_WORDS)
+
+
 def distinctive_terms(query: Column) -> Column:
-    """Terms without stop, cue and generic words; each step that would leave none is skipped."""
-    terms = query_terms(query)
-    for words in (STOP_WORDS, TEMPORAL_CUES, GENERIC_WORDS):
-        fewer = F.array_except(terms, F.array(*map(F.lit, words)))
-        terms = F.when(F.size(fewer) > 0, fewer).otherwise(terms)
-    return terms
+    """Terms without cue, meta and generic words."""
+    return without(asked_terms(query), TEMPORAL_CUES, META_WORDS, GENERIC_WORDS)
 
 
 def secret(text: Column) -> Column:

@@ -6,31 +6,67 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import paths
+
+
+HUNK = r"^@@ -([0-9]+)(?:,([0-9]+))? \+([0-9]+)(?:,([0-9]+))? @@"
+
 
 def lines(diffs: DataFrame, *, key: str = "diff_id", text: str = "diff") -> DataFrame:
-    """(key, n, line, file): every line with the file it belongs to."""
-    t = diffs.select(F.col(key), F.posexplode(F.split(F.col(text), "\n")).alias("n", "line"))
-    named = F.when(F.col("line").rlike(r"^\+\+\+ b/"), F.substr("line", F.lit(7))).when(F.col("line").rlike("^--- a/"), F.substr("line", F.lit(7)))
-    return t.withColumn("file", F.last(named, ignorenulls=True).over(W.partitionBy(key).orderBy("n")))
+    """(key, n, line, kind, old_file, file): every line of a diff; kind is head, hunk, or the sign of a line inside a hunk.
+
+    What stands inside a hunk is counted by the hunk's own header, so lines that merely look like a file's header are lines;
+    a whole header (``---``, ``+++`` and a hunk behind one another) ends a hunk even if lines of it are lacking.
+    """
+    t = diffs.select(F.col(key), F.posexplode(F.split(F.col(text), "\r?\n")).alias("n", "line"))
+    by = W.partitionBy(key).orderBy("n")  # the lines of one diff: one row's text
+    number = lambda g: F.coalesce(F.regexp_extract("line", HUNK, g).try_cast("long"), F.lit(1))
+    opens = F.col("line").rlike(HUNK)  # no line inside a hunk begins like this
+    t = t.withColumn("__hunk", F.sum(opens.cast("int")).over(by)).withColumn("__opens", opens)
+    for side in (2, 4):
+        t = t.withColumn(f"__{side}", F.max(F.when(F.col("__opens"), number(side))).over(W.partitionBy(key, "__hunk")))
+    sign = F.substring("line", 1, 1)
+    before = W.partitionBy(key, "__hunk").orderBy("n").rowsBetween(W.unboundedPreceding, -1)
+    seen = lambda other: F.coalesce(F.sum((~F.col("__opens") & ~sign.isin(other, "\\")).cast("int")).over(before), F.lit(0))
+    inside = ~F.col("__opens") & (F.col("__hunk") > 0) & ((seen("+") < F.col("__2")) | (seen("-") < F.col("__4")))
+    whole = lambda k: F.lead("line", k).over(by).startswith("--- ") & F.lead("line", k + 1).over(by).startswith("+++ ") & F.lead("line", k + 2).over(by).rlike(HUNK)
+    header = F.coalesce(whole(0), F.lit(False)) | F.coalesce(whole(-1), F.lit(False))
+    kind = F.when(F.col("__opens"), "hunk").when(header, "head").when(inside, F.when(sign.isin("+", "-", "\\"), sign).otherwise(" ")).otherwise("head")
+    t = t.withColumn("kind", kind).drop("__hunk", "__opens", "__2", "__4")
+    head = F.col("kind") == "head"
+    named = lambda p: F.when(head & F.col("line").rlike(f"^{p}"), paths.relative(paths.unquoted(F.regexp_replace(F.regexp_replace("line", f"^{p}", ""), r"\t.*$", ""))))
+    fresh = F.sum((head & F.col("line").startswith("diff --git ")).cast("int") + (head & F.col("line").startswith("--- ")).cast("int")).over(by)
+    t = t.withColumn("__part", fresh).withColumn("__old", named(r"(?:--- |rename from |copy from )")).withColumn("__new", named(r"(?:\+\+\+ |rename to |copy to )"))
+    here = W.partitionBy(key, "__part").orderBy("n")
+    t = t.withColumn("old_file", F.last("__old", ignorenulls=True).over(here)).withColumn("file", F.last("__new", ignorenulls=True).over(here))
+    return t.drop("__part", "__old", "__new").withColumn("file", F.coalesce("file", "old_file"))
 
 
 def touched(diffs: DataFrame, **names) -> DataFrame:
+    """(key, file): files on either side of a diff; renames and copies count with both names, /dev/null not."""
     key = names.get("key", "diff_id")
-    return lines(diffs, **names).where(F.col("line").rlike(r"^(\+\+\+ b|--- a)/")).select(key, F.substr("line", F.lit(7)).alias("file")).distinct()
+    t = lines(diffs, **names).where("kind = 'head'")
+    return t.select(key, F.explode(F.array("old_file", "file")).alias("file")).where("file is not null").distinct()
 
 
 def hunks(diffs: DataFrame, *, most: int = 200, **names) -> DataFrame:
     """(key, file, first, last): old-side line ranges, at most ``most`` lines each."""
-    key, head = names.get("key", "diff_id"), r"^@@ -([0-9]+)(?:,([0-9]+))? "
-    h = lines(diffs, **names).where(F.col("line").rlike(head))
-    first = F.regexp_extract("line", head, 1).cast("long")
-    n = F.coalesce(F.regexp_extract("line", head, 2).try_cast("long"), F.lit(1))
+    key = names.get("key", "diff_id")
+    h = lines(diffs, **names).where("kind = 'hunk'")
+    first = F.regexp_extract("line", HUNK, 1).cast("long")
+    n = F.coalesce(F.regexp_extract("line", HUNK, 2).try_cast("long"), F.lit(1))
     return h.select(key, "file", first.alias("first"), (first + F.greatest(F.least(n, F.lit(most)), F.lit(1)) - 1).alias("last"))
 
 
 def added(diffs: DataFrame, **names) -> DataFrame:
     key = names.get("key", "diff_id")
-    return lines(diffs, **names).where(F.col("line").rlike(r"^\+(?!\+\+ )")).select(key, "file", "n", F.substr("line", F.lit(2)).alias("line"))
+    return lines(diffs, **names).where("kind = '+'").select(key, "file", "n", F.substr("line", F.lit(2)).alias("line"))
+
+
+def surviving(diffs: DataFrame, **names) -> DataFrame:
+    """(key, file, n, line): lines that stand after the change: added and unchanged ones."""
+    key = names.get("key", "diff_id")
+    return lines(diffs, **names).where("kind in ('+', ' ')").select(key, "file", "n", F.substr("line", F.lit(2)).alias("line"))
 
 
 def overlapping(spans: DataFrame, hunks_: DataFrame) -> DataFrame:

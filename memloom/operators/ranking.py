@@ -34,9 +34,27 @@ def z_unit(score, by):
 
 
 def pack(items: DataFrame, *, budget: int, by: str = "query_id", order: str = "rank", text: str = "content") -> DataFrame:
-    """``items`` with n_tokens and used, cut at the first item that overflows the budget."""
+    """``items`` with n_tokens and used, cut at the first item that overflows the budget.
+
+    A group of many items needs no task of its own: each of a row's tokens counts at least once, so only the first ``budget``
+    items with tokens can fit, and every task cuts to as many before the running sum.
+    """
     t = items.withColumn("n_tokens", words.token_estimate(F.coalesce(F.col(text), F.lit(""))))
-    return t.withColumn("used", F.sum("n_tokens").over(W.partitionBy(by).orderBy(order))).where(F.col("used") <= budget)
+    place = F.row_number().over(W.partitionBy(by).orderBy(order))
+    some = t.where("n_tokens > 0").withColumn("__place", place).where(F.col("__place") <= budget + 1).drop("__place")
+    summed = some.unionByName(t.where("n_tokens = 0")).withColumn("used", F.sum("n_tokens").over(W.partitionBy(by).orderBy(order)))
+    return summed.where(F.col("used") <= budget)
+
+
+TIERS = [(8, 680), (20, 440)]  # fixed values: places, and characters of a body up to there; 320 beyond
+
+
+def tiered(items: DataFrame, *, budget: int, by: str = "query_id", order: str = "rank", text: str = "content") -> DataFrame:
+    """``items`` whose bodies are cut by their place, where there are 30 items or more and the budget is 4,000 tokens or more."""
+    place = F.row_number().over(W.partitionBy(by).orderBy(order))
+    many = (F.count("*").over(W.partitionBy(by)) >= 30) & F.lit(budget >= 4000)
+    most = F.when(~many, 4000).when(place <= TIERS[0][0], TIERS[0][1]).when(place <= TIERS[1][0], TIERS[1][1]).otherwise(320)
+    return items.withColumn(text, F.substr(F.coalesce(F.col(text), F.lit("")), F.lit(1), most))
 
 
 def round_robin(items: DataFrame, *, by: str = "query_id", session: str = "session_id", order: str = "rank") -> DataFrame:
@@ -45,20 +63,29 @@ def round_robin(items: DataFrame, *, by: str = "query_id", session: str = "sessi
     return t.withColumn("turn", F.row_number().over(W.partitionBy(by).orderBy("nth", order))).drop("nth")
 
 
-def suppress(pool: DataFrame, *, by: str = "query_id", order: str = "rank", text: str = "content", threshold: float = 0.88) -> DataFrame:
-    """The pool without items whose words (over two letters) match an earlier kept item's; pools are bounded by their k."""
+def suppress(pool: DataFrame, *, by: str = "query_id", order: str = "rank", text: str = "content", threshold: float = 0.88, exempt: str | None = None) -> DataFrame:
+    """The pool without items whose words (over two letters) match an earlier kept item's; pools are bounded by their k.
+
+    Of a dialogue turn only the USER clause counts, and only if it has six such words; ``exempt`` names a boolean column of
+    items that always stay and suppress nothing.
+    """
+    clause = words.user_clause(F.coalesce(F.col(text), F.lit("")))
+    of = F.when(clause != "", clause).otherwise(F.coalesce(F.col(text), F.lit("")))
+    ws = F.array_distinct(F.filter(F.split(F.lower(of), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 2))
+    free = F.col(exempt) if exempt else F.lit(False)
+    t = pool.withColumns({"__words": ws, "__least": F.when(clause != "", 6).otherwise(1), "__free": free})
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
         kept, keep = [], []
-        for t in (pdf := pdf.sort_values(order))[text]:
-            s = {w for w in "".join(c if c.isalnum() else " " for c in (t or "").lower()).split() if len(w) > 2}
-            same = any(len(s & k) > threshold * len(s | k) for k in kept) if s else False
+        for r in (pdf := pdf.sort_values(order))[["__words", "__least", "__free"]].itertuples(index=False):
+            s = set(r[0])
+            same = not r[2] and len(s) >= r[1] and any(len(s & k) > threshold * len(s | k) for k in kept)
             keep.append(not same)
-            if not same:
+            if not same and not r[2]:
                 kept.append(s)
-        return pdf[keep]
+        return pdf[keep].drop(columns=["__words", "__least", "__free"])
 
-    return pool.groupBy(by).applyInPandas(greedy, pool.schema)
+    return t.groupBy(by).applyInPandas(greedy, pool.schema)
 
 
 def recall(found: DataFrame, truth: DataFrame, ks: tuple[int, ...] = (10, 20, 30, 50)) -> DataFrame:

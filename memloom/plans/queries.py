@@ -123,17 +123,15 @@ def smoothed_scores(spark, sf_dir):
 
 @query(
     BM25
-    + """, o AS (SELECT item_id, doc_id, count(*) AS c FROM q JOIN p USING (term) GROUP BY ALL),
+    + """, o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY c DESC, doc_id) AS rank FROM (SELECT item_id, doc_id, count(*) AS c FROM q JOIN p USING (term) GROUP BY ALL)) WHERE rank <= 100),
 a AS (SELECT item_id, doc_id, 1.0 / (60 + row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)) AS s FROM (SELECT * FROM r WHERE rank <= 100) WHERE score > 1e-6 UNION ALL SELECT item_id, doc_id, 1.0 / (60 + row_number() OVER (PARTITION BY item_id ORDER BY c DESC, doc_id)) FROM o),
 g AS (SELECT item_id, doc_id, round(sum(s) / (2.0 / 61), 6) AS fused, count(*) AS n_arms FROM a GROUP BY ALL),
 k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY fused DESC, doc_id) AS rank FROM g)
 SELECT item_id AS query_id, doc_id AS id, fused, n_arms, rank FROM k WHERE rank <= 20"""
 )
 def fused_ranking(spark, sf_dir):
-    rows, items = memories(spark, sf_dir), table(spark, sf_dir, "benchmark")
-    best = search.bm25(rows, items, k=100, query_key="item_id", query_text="text").select("query_id", "id", "score")
-    shared = search.postings(rows).join(search.query_stems(items, key="item_id", text="text"), "term").groupBy("query_id", "id").agg(F.count("*").alias("score"))
-    return ranking.fuse({"bm25": best, "overlap": shared}, k=20)
+    m = search.matches(memories(spark, sf_dir), table(spark, sf_dir, "benchmark"), query_key="item_id", query_text="text")
+    return ranking.fuse({"bm25": search.best(m, "score", 100, F.desc("id")), "overlap": search.best(m.withColumn("score", F.col("n_terms")), "score", 100, "id")}, k=20)
 
 
 @query(
@@ -206,14 +204,6 @@ def spans_touched_by_diffs(spark, sf_dir):
     return diffs.overlapping(spans, diffs.hunks(diff_of(pages))).select("id", "file", "first", "last")
 
 
-@query(None)
-def suppressed_pools(spark, sf_dir):
-    """The twenty best rows of each query without near-duplicates of better ones."""
-    rows = memories(spark, sf_dir)
-    best = search.bm25(rows, table(spark, sf_dir, "benchmark"), k=20, query_key="item_id", query_text="text")
-    return ranking.suppress(best.join(rows.select("id", "content"), "id").select("query_id", "id", "rank", "content")).select("query_id", "id", "rank")
-
-
 @query(
     f"""SELECT doc_id AS id, len(list_distinct({STEMMED})) AS n_stems, CAST(ceil(length(coalesce(text, '')) / 4) AS BIGINT) AS n_tokens FROM documents"""
 )

@@ -40,7 +40,12 @@ def tag_list(tags: Column) -> Column:
 
 
 def merge(local: DataFrame, remote: DataFrame, *, key: str, content: str = "content") -> DataFrame:
-    """Local rows, with remote values where the key is known, and remote rows whose key and content are both new."""
+    """Local rows, with remote values where the key is known, and remote rows whose key and content are both new.
+
+    A key that the remote copy gives several times counts once, with its greatest content.
+    """
+    others = [c for c in remote.columns if c not in (key, content)]
+    remote = remote.groupBy(key).agg(F.max(F.struct(content, *others)).alias("__r")).select(key, F.col(f"__r.{content}").alias(content), *[F.col(f"__r.{c}").alias(c) for c in others])
     r = remote.select(F.col(key), F.col(content).alias("__new"))
     known = local.join(r, key, "left").withColumn(content, F.coalesce("__new", content)).drop("__new")
     fresh = remote.join(local.select(key), key, "left_anti").join(local.select(F.lower(F.trim(content)).alias("__same")).distinct(), F.lower(F.trim(F.col(content))) == F.col("__same"), "left_anti")
