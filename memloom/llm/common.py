@@ -2,17 +2,31 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 _OWN: list[str] = []
+_OPEN: contextvars.ContextVar[list[DataFrame] | None] = contextvars.ContextVar("open", default=None)
+#: Bytes of rows that go to a Python worker at once, unless the session says otherwise: long texts and sets make small batches.
+BATCH_BYTES = 32_000_000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the bytes of Arrow batches, not their rows alone, unless the session sets a bound of its own."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name, "2147483647")) >= 2**31 - 1:
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -33,13 +47,31 @@ def written(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
     ``by``: columns that name folders, so that a filter on them reads its folders only.
     """
+    bounded_batches(df.sparkSession)
     path = f"{scratch_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path).select(df.columns)
     out._written_to = path
+    if (tables := _OPEN.get()) is not None:
+        tables.append(out)
     return out
 
 
+@contextlib.contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """At the end of the block, tables that ``written`` made inside are deleted but for those given to the function it yields."""
+    kept: list[DataFrame] = []
+    mine: list[DataFrame] = []
+    token = _OPEN.set(mine)
+    try:
+        yield lambda df: kept.append(df) or df
+    finally:
+        _OPEN.reset(token)
+        discard(*[df for df in mine if not any(df is k for k in kept)])
+        if (outer := _OPEN.get()) is not None:
+            outer.extend(kept)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables of ``written`` that nothing reads any more."""
     for df in tables:

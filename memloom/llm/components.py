@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 #: Links a task handles; small tables needn't be spread over all partitions.
 TASK_LINKS = 20_000
@@ -29,12 +29,13 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while before[0]:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Large star: each node's larger neighbours go to the least of the node and its neighbours.
-        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
-        large = stored(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        low = stored(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
+        large = stored(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         # Small star: each node and its smaller neighbours go to the least of these.
         least = stored(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(least.select("u", F.col("m").alias("v")))
-        links = stored(small.distinct())
+        old, links = [links, low, large, least], stored(small.distinct())
+        discard(*old)
         after = _mark(links)
         if after == before:
             break

@@ -10,19 +10,20 @@ Nodes are worked on in this order:
 
 1. every class of a node is compared with the node's pivot (its least class), and links are confirmed on full sets;
 2. nodes whose classes are now in one component are finished;
-3. small nodes (``LEAF`` classes at most, in pairs of chunks of ``CHUNK``) compare the classes of different components
-   exhaustively, minwise values first, then full sets;
+3. small nodes (``LEAF`` classes at most) compare the classes of different components exhaustively, minwise values first,
+   then full sets, in pairs of chunks that hold at most about ``CHUNK`` classes and ``CHUNK_SHINGLES`` shingles;
 4. the classes of larger nodes meet again by an exact prefix filter, whatever node they came from: shingles are ordered
    by the number of these classes that hold them, rarest first, and two sets that reach the threshold share one of the
    first n - ceil(threshold * n) + 1 shingles of each.  Classes that share such a shingle are compared as in 3.  Branching
    on from a large node instead would lose pairs, as the chance of a common path falls with every level.
 
 So work grows with the square of a group only for at most ``LEAF`` classes of a node, and for classes that share even
-one of their rarest shingles without being in one component.
+one of their rarest shingles without being in one component.  A class is named by 128 bits of its set's hash; shingles
+are 64-bit hashes, whose few collisions move a similarity by one part in the set's size.
 
 Defined cases: null or wordless texts have an empty set, link with nothing and are kept; texts with fewer words than a
 shingle count as one shingle; repeated rows share a class; rows with the same id but other texts are compared like any
-others; a null id never is the least id of a group that has another; empty tables give no rows; other columns are
+others; ids may be of any type; a null id never is the least id of a group that has another; empty tables give no rows; other columns are
 ignored.
 """
 
@@ -35,10 +36,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import scratch, table, written
 from .components import components
 
-COORDS, TREES, DEPTH, LEAF, CHUNK = 128, 10, 4, 4096, 1024
+COORDS, TREES, DEPTH, LEAF, CHUNK, CHUNK_SHINGLES = 128, 10, 4, 4096, 1024, 4_000_000
+#: Rows of a group from which its pairs are looked at as a matrix; pairs looked at together in smaller groups.
+WIDE, PAIRS = 64, 500_000
 #: Bits of the map that picks the rows whose sets are needed: a fixed size; more rows than bits only weaken the filter.
 MAP_BITS = 26
 WORD_TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -79,13 +82,15 @@ def minwise(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def class_of(s: np.ndarray) -> int:
-    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64)))
+def class_of(s: np.ndarray) -> tuple[int, int]:
+    """128 bits that name a set, as two signed numbers."""
+    h = xxhash.xxh3_128_digest(s.tobytes())
+    return int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)
 
 
-def slots(c: np.ndarray, i: np.ndarray) -> np.ndarray:
-    """Bits of the map for (class, id); nulls of the id count as -1."""
-    return (mix(c.astype(np.int64).view(np.uint64) ^ mix(i.astype(np.int64).view(np.uint64))) >> U(64 - MAP_BITS)).astype(np.int64)
+def slots(h: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Bits of the map for (hash of the set, hash of the id)."""
+    return (mix(h.astype(np.int64).view(np.uint64) ^ mix(row.astype(np.int64).view(np.uint64))) >> U(64 - MAP_BITS)).astype(np.int64)
 
 
 def descend(path: np.ndarray, row: np.ndarray, sig: np.ndarray, threshold: float, levels: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,30 +109,32 @@ def descend(path: np.ndarray, row: np.ndarray, sig: np.ndarray, threshold: float
 
 
 def classes_of(docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
-    """(key, n, c, sig) of each row; c and sig are null for an empty set."""
+    """(key, n, h, g, sig) of each row; h, g (the class) and sig are null for an empty set."""
 
     def run(batches):
         for pdf in batches:
             rows = []
-            for i, t in zip(pdf["key"], pdf["text"]):
+            for t in pdf["text"]:
                 s = shingles(t, k)
-                rows.append((i, len(s), class_of(s), minwise(s).tobytes()) if len(s) else (i, 0, None, None))
+                rows.append((len(s), *class_of(s), minwise(s).tobytes()) if len(s) else (0, None, None, None))
+            n, h, g, sig = zip(*rows, strict=True) if rows else ((), (), (), ())
             # Nullable integers: a column of floats would round the hashes.
-            yield pd.DataFrame({"key": pdf["key"].values, "n": [r[1] for r in rows], "c": pd.array([r[2] for r in rows], dtype="Int64"), "sig": [r[3] for r in rows]})
+            yield pd.DataFrame({"key": pdf["key"].values, "n": n, "h": pd.array(h, dtype="Int64"), "g": pd.array(g, dtype="Int64"), "sig": sig})
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(run, f"key {kind}, n long, c long, sig binary")
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(run, f"key {kind}, n long, h long, g long, sig binary")
 
 
 def sets_of(docs: DataFrame, k: int, key: str, text: str, wanted: DataFrame) -> DataFrame:
-    """(c, s): the sets of the classes in ``wanted`` (c, rep), read from their representatives only."""
+    """(c, s): the sets of the classes in ``wanted`` (c, h, g, rep), read from their representatives only."""
+    wanted = written(wanted.select("c", "h", "g", F.xxhash64("rep").alias("row")))
 
     def bits(batches):
         for pdf in batches:
-            b = slots(pdf["c"].to_numpy(), pdf["rep"].fillna(-1).to_numpy())
+            b = slots(pdf["h"].to_numpy(), pdf["row"].to_numpy())
             yield pd.DataFrame({"w": b >> 6, "m": np.left_shift(np.int64(1), b & 63)})
 
-    parts = wanted.mapInPandas(bits, "w long, m long").groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()
+    parts = wanted.select("h", "row").mapInPandas(bits, "w long, m long").groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()
     chosen = np.zeros(2 ** (MAP_BITS - 6), dtype=np.int64)
     chosen[parts["w"].to_numpy(dtype=np.int64)] = parts["m"].to_numpy(dtype=np.int64)
     sent = docs.sparkSession.sparkContext.broadcast(chosen)
@@ -135,37 +142,56 @@ def sets_of(docs: DataFrame, k: int, key: str, text: str, wanted: DataFrame) ->
     def run(batches):
         for pdf in batches:
             rows = []
-            for i, t in zip(pdf["key"].fillna(-1), pdf["text"]):
+            for row, t in zip(pdf["row"], pdf["text"]):
                 s = shingles(t, k)
                 if len(s):
-                    c = class_of(s)
-                    b = int(slots(np.array([c]), np.array([i]))[0])
+                    h, g = class_of(s)
+                    b = int(slots(np.array([h]), np.array([row]))[0])
                     if (int(sent.value[b >> 6]) >> (b & 63)) & 1:
-                        rows.append((c, s.tobytes()))
-            yield pd.DataFrame(rows, columns=["c", "s"])
+                        rows.append((h, g, s.tobytes()))
+            yield pd.DataFrame(rows, columns=["h", "g", "s"])
 
-    found = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(run, "c long, s binary")
-    return written(found.dropDuplicates(["c"]))
+    found = docs.select(F.xxhash64(key).alias("row"), F.col(text).alias("text")).mapInPandas(run, "h long, g long, s binary")
+    return written(found.dropDuplicates(["h", "g"]).join(wanted, ["h", "g"]).select("c", "s"))
 
 
-def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
+def front_of(nodes: DataFrame) -> DataFrame:
+    """(node, c, size, n, mass, pivot) of the nodes (node, c, size) with at least two classes; mass: shingles of all."""
+    nodes = written(nodes)
+    stats = written(nodes.groupBy("node").agg(F.count("*").alias("n"), F.sum("size").alias("mass"), F.min("c").alias("pivot")).where("n > 1"))
+    return written(nodes.join(stats, "node"))
+
+
+def chunks() -> F.Column:
+    """Chunks of a node."""
+    return F.ceil(F.greatest(F.col("n") / CHUNK, F.col("mass") / CHUNK_SHINGLES))
+
+
+def pivot_links(front: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links between a node's pivot and its other classes, confirmed on full sets.
+
+    The pivot's set goes once to each chunk of its partners, which then pass by one at a time.
+    """
     percent = round(threshold * 10_000)
+    pairs = written(front.where("c != pivot").select("pivot", "c", "size").distinct())
+    many = written(pairs.groupBy("pivot").agg(F.count("*").alias("n"), F.sum("size").alias("mass")).withColumn("k", chunks()).select("pivot", "k"))
+    partners = pairs.join(many, "pivot").select("pivot", F.pmod(F.xxhash64("c"), "k").alias("i"), F.lit(1).alias("late"), "c")
+    pivots = many.select("pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("i"), F.lit(0).alias("late"), F.col("pivot").alias("c"))
+    dealt = partners.unionByName(pivots).join(sets, "c").select("pivot", "i", "late", "c", "s")
 
     def run(batches):
+        of, one = None, None
         for pdf in batches:
-            keep = [reaches(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64), percent) for x, y in zip(pdf["x"], pdf["y"])]
-            yield pdf.loc[np.array(keep, dtype=bool), ["a", "b"]]
-
-    one, other = sets.select(F.col("c").alias("a"), F.col("s").alias("x")), sets.select(F.col("c").alias("b"), F.col("s").alias("y"))
-    return written(pairs.join(one, "a").join(other, "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long"))
-
+            found = []
+            for p, i, late, c, s in zip(*(pdf[x] for x in ("pivot", "i", "late", "c", "s")), strict=True):
+                s = np.frombuffer(s, dtype=np.uint64)
+                if not late:
+                    of, one = (p, i), s
+                elif of == (p, i) and reaches(one, s, percent):
+                    found.append((p, c))
+            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-def front_of(nodes: DataFrame) -> DataFrame:
-    """(node, c, n, pivot) of the nodes with at least two classes."""
-    nodes = written(nodes)
-    stats = written(nodes.groupBy("node").agg(F.count("*").alias("n"), F.min("c").alias("pivot")).where("n > 1"))
-    return written(nodes.join(stats, "node"))
+    return written(dealt.repartition("pivot", "i").sortWithinPartitions("pivot", "i", "late").mapInPandas(run, "a long, b long"))
 
 
 def labelled(front: DataFrame, links: DataFrame) -> DataFrame:
@@ -177,19 +203,19 @@ def labelled(front: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def by_node(rows: DataFrame, work, schema: str) -> DataFrame:
-    """``work`` on the rows of each (node, i, j); a group has two chunks at most, so it fits in a task."""
+    """``work`` on whole groups (node, i, j), many at a time; a group has two chunks at most, so it fits in a task."""
 
     def run(batches):
         rest = None
         for pdf in batches:
             pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-            ids = pdf[["node", "i", "j"]].to_numpy()
-            if not len(ids):
+            if not len(pdf):
                 continue
-            cuts = [0, *(np.flatnonzero((ids[1:] != ids[:-1]).any(1)) + 1).tolist(), len(ids)]
-            for lo, hi in zip(cuts[:-2], cuts[1:-1], strict=True):
-                yield work(pdf.iloc[lo:hi])
-            rest = pdf.iloc[cuts[-2] :]
+            ids = pdf[["node", "i", "j"]].to_numpy()
+            last = int(np.flatnonzero((ids == ids[-1]).all(1))[0])  # the last group may go on
+            if last:
+                yield work(pdf.iloc[:last])
+            rest = pdf.iloc[last:]
         if rest is not None and len(rest):
             yield work(rest)
 
@@ -197,26 +223,52 @@ def by_node(rows: DataFrame, work, schema: str) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
 
 
+def agreeing(low: np.ndarray, sig: np.ndarray, i: np.ndarray, j: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that agree on six of the first sixteen values (by their last bytes), and on ``least`` of all."""
+    some = np.count_nonzero(low[i] == low[j], axis=1) >= 6
+    i, j = i[some], j[some]
+    ok = np.zeros(len(i), dtype=bool)
+    for lo in range(0, len(i), 10_000):
+        ok[lo : lo + 10_000] = np.count_nonzero(sig[i[lo : lo + 10_000]] == sig[j[lo : lo + 10_000]], axis=1) >= least
+    return i[ok], j[ok]
+
+
 def likely(rows: pd.DataFrame, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of different components whose minwise values agree as often as a linked pair's can.
+    """Index pairs within the groups (node, i, j), of different components, whose minwise values agree as often as a linked pair's can.
 
     A linked pair agrees on ``threshold`` of the coordinates on average; 4 standard deviations below that are allowed.
+    Before that, six of the first sixteen values must agree: a pair at the threshold misses that about once in 100,000
+    (0.8) or less.
     """
     least = COORDS * threshold - 4 * (COORDS * threshold * (1 - threshold)) ** 0.5
-    label, chunk = rows["label"].to_numpy(), rows["chunk"].to_numpy()
-    may = np.triu(label[:, None] != label[None, :], 1)
-    if rows["i"].iat[0] != rows["j"].iat[0]:
-        may &= chunk[:, None] != chunk[None, :]
+    ids = rows[["node", "i", "j"]].to_numpy()
+    label, chunk, cross = rows["label"].to_numpy(), rows["chunk"].to_numpy(), ids[:, 1] != ids[:, 2]
     sig = np.frombuffer(b"".join(rows["sig"]), dtype=np.uint32).reshape(len(rows), COORDS)
-    # Six of the first sixteen values first: a pair at the threshold misses that about once in 100,000 (0.8) or less.
-    agree = np.zeros(may.shape, dtype=np.uint8)
-    for k in range(16):
-        agree += sig[:, k, None] == sig[None, :, k]
-    i, j = np.nonzero(may & (agree >= 6))
-    ok = np.zeros(len(i), dtype=bool)
-    for lo in range(0, len(i), 10_000):
-        ok[lo : lo + 10_000] = (sig[i[lo : lo + 10_000]] == sig[j[lo : lo + 10_000]]).sum(1) >= least
-    return i[ok], j[ok]
+    low = np.ascontiguousarray(sig[:, :16].astype(np.uint8))
+    edges = np.concatenate([[0], np.flatnonzero((ids[1:] != ids[:-1]).any(1)) + 1, [len(ids)]])
+    sizes, out = np.diff(edges), []
+    # Small groups: the pairs of each row with the rows behind it in its group, many groups at once.
+    behind = np.repeat(edges[1:], sizes) - np.arange(len(ids)) - 1
+    behind[np.repeat(sizes > WIDE, sizes)] = 0
+    total, lo = np.cumsum(behind), 0
+    while lo < len(ids):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + PAIRS, side="right")))
+        k = behind[lo:hi]
+        i = np.repeat(np.arange(lo, hi), k)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(k) - k, k)
+        may = (label[i] != label[j]) & (~cross[i] | (chunk[i] != chunk[j]))
+        out.append(agreeing(low, sig, i[may], j[may], least))
+        lo = hi
+    for lo, hi in zip(edges[:-1][sizes > WIDE], edges[1:][sizes > WIDE], strict=True):
+        may = np.triu(label[lo:hi, None] != label[None, lo:hi], 1)
+        if cross[lo]:
+            may &= chunk[lo:hi, None] != chunk[None, lo:hi]
+        agree = np.zeros(may.shape, dtype=np.uint8)
+        for x in np.ascontiguousarray(low[lo:hi].T):
+            agree += x[:, None] == x[None, :]
+        i, j = np.nonzero(may & (agree >= 6))
+        out.append(agreeing(low, sig, i + lo, j + lo, least))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def reaches(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -228,8 +280,8 @@ def reaches(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 10_000 * both >= percent * (len(x) + len(y) - both)
 
 
-def confirmed(s: list[np.ndarray], i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs that reach the threshold, from products of 0/1 matrices over the shingles that several sets share."""
+def confirmed(s: list[np.ndarray], i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs reach the threshold, from products of 0/1 matrices over the shingles that several sets share."""
     sizes = np.array([len(x) for x in s])
     terms, at, df = np.unique(np.concatenate(s), return_inverse=True, return_counts=True)
     of = np.repeat(np.arange(len(s)), sizes)
@@ -243,12 +295,11 @@ def confirmed(s: list[np.ndarray], i: np.ndarray, j: np.ndarray, percent: int) -
         grid[of[m], place[at[m]] - lo] = 1
         both += grid @ grid.T
     both = both[i, j].astype(np.int64)
-    ok = 10_000 * both >= percent * (sizes[i] + sizes[j] - both)
-    return i[ok], j[ok]
+    return 10_000 * both >= percent * (sizes[i] + sizes[j] - both)
 
 
 def prefix_front(front: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(node, c, n, pivot): the classes of ``front`` that share a shingle (node) of their prefixes; no linked pair is missed."""
+    """The classes of ``front`` that share a shingle (node) of their prefixes, as from ``front_of``; no linked pair is missed."""
     percent = round(threshold * 10_000)
 
     def spread(batches):
@@ -263,23 +314,24 @@ def prefix_front(front: DataFrame, sets: DataFrame, threshold: float) -> DataFra
     df = written(each.groupBy("node").agg(F.count("*").alias("df")).where("df > 1"))
     shared, of = written(each.join(df, "node")), W.partitionBy("c")
     first = F.col("size") - F.ceil(F.col("size") * percent / 10_000) + 1 - (F.col("size") - F.count("*").over(of))
-    return front_of(shared.withColumn("first", first).withColumn("place", F.row_number().over(of.orderBy("df", "node"))).where("place <= first").select("node", "c"))
+    met = shared.withColumn("first", first).withColumn("place", F.row_number().over(of.orderBy("df", "node"))).where("place <= first")
+    return front_of(met.select("node", "c", "size"))
 
 
 def active(front: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """(node, i, j, chunk, c, label): the classes of ``front`` that have a likely partner in their node, by minwise values alone.
+    """(node, i, j, chunk, c, size, label): the classes of ``front`` that have a likely partner in their node, by minwise values alone.
 
-    A node of more than CHUNK classes is dealt out as pairs of chunks, so no task holds a large node.
+    A node of several chunks is dealt out as pairs of chunks, so no task holds a large node.
     """
-    rows = front.withColumn("k", F.ceil(F.col("n") / CHUNK)).withColumn("chunk", F.pmod(F.xxhash64("c"), "k"))
-    dealt = rows.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))).select("node", F.least("chunk", "o").alias("i"), F.greatest("chunk", "o").alias("j"), "chunk", "c", "label")
+    rows = front.withColumn("k", chunks()).withColumn("chunk", F.pmod(F.xxhash64("c"), "k"))
+    dealt = rows.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))).select("node", F.least("chunk", "o").alias("i"), F.greatest("chunk", "o").alias("j"), "chunk", "c", "size", "label")
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = likely(pdf, threshold)
         return pdf.iloc[np.unique(np.concatenate([i, j]))].drop(columns="sig")
 
-    full = dealt.join(classes.select("c", "sig"), "c").select("node", "i", "j", "chunk", "c", "label", "sig")
-    return written(by_node(full, pick, "node long, i long, j long, chunk long, c long, label long"))
+    full = dealt.join(classes.select("c", "sig"), "c").select("node", "i", "j", "chunk", "c", "size", "label", "sig")
+    return written(by_node(full, pick, "node long, i long, j long, chunk long, c long, size long, label long"))
 
 
 def leaf_links(front: DataFrame, classes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -291,7 +343,7 @@ def leaf_links(front: DataFrame, classes: DataFrame, sets: DataFrame, threshold:
 
     def confirm(pdf: pd.DataFrame) -> pd.DataFrame:
         c, root = pdf["c"].to_numpy(), {x: x for x in pdf["label"]}
-        label, found = pdf["label"].to_numpy(), []
+        label, raw, found = pdf["label"].to_numpy(), pdf["s"].to_numpy(), []
 
         def find(x):
             while root[x] != x:
@@ -299,29 +351,35 @@ def leaf_links(front: DataFrame, classes: DataFrame, sets: DataFrame, threshold:
                 x = root[x]
             return x
 
-        s = [np.frombuffer(b, dtype=np.uint64) for b in pdf["s"]]
         first, second = likely(pdf, threshold)
-        many = len(first) > 2000
-        if many:
-            first, second = confirmed(s, first, second, percent)
-        for i, j in zip(first.tolist(), second.tolist(), strict=True):
-            p, q = find(label[i]), find(label[j])
-            if p != q and (many or reaches(s[i], s[j], percent)):
-                root[p] = q
-                found.append((min(c[i], c[j]), max(c[i], c[j])))
+        by = np.argsort(first, kind="stable")
+        first, second = first[by], second[by]
+        ids = pdf[["node", "i", "j"]].to_numpy()
+        edges = np.concatenate([[0], np.flatnonzero((ids[1:] != ids[:-1]).any(1)) + 1, [len(ids)]])
+        cuts = np.searchsorted(first, edges)
+        for n in np.flatnonzero(np.diff(cuts)):
+            i, j = first[cuts[n] : cuts[n + 1]], second[cuts[n] : cuts[n + 1]]
+            s = {x: np.frombuffer(raw[x], dtype=np.uint64) for x in np.unique(np.concatenate([i, j])).tolist()}
+            many = len(i) > 2000
+            if many:
+                place = {x: k for k, x in enumerate(s)}
+                at = lambda x: np.array([place[y] for y in x.tolist()])  # noqa: B023, E731
+                ok = confirmed(list(s.values()), at(i), at(j), percent)
+                i, j = i[ok], j[ok]
+            for a, b in zip(i.tolist(), j.tolist(), strict=True):
+                p, q = find(label[a]), find(label[b])
+                if p != q and (many or reaches(s[a], s[b], percent)):
+                    root[p] = q
+                    found.append((min(c[a], c[b]), max(c[a], c[b])))
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    full = active(front, classes, threshold).join(classes.select("c", "sig"), "c").join(sets, "c").select("node", "i", "j", "chunk", "c", "label", "sig", "s")
+    near = active(front, classes, threshold).join(classes.select("c", "sig"), "c")
+    full = near.join(sets, "c").select("node", "i", "j", "chunk", "c", "label", "sig", "s")
     return written(by_node(full, confirm, "a long, b long").distinct())
 
 
-def pivot_pairs(front: DataFrame) -> DataFrame:
-    return front.where("c != pivot").select(F.col("pivot").alias("a"), F.col("c").alias("b")).distinct()
-
-
-def links_between(docs: DataFrame, rows: DataFrame, *, k: int, threshold: float, key: str, text: str) -> DataFrame:
-    """Links (a, b) between classes that join all linked classes into components; ``rows`` as from ``classes_of``."""
-    classes = written(rows.where("c is not null").groupBy("c").agg(F.min("key").alias("rep"), F.first("sig").alias("sig")))
+def links_between(docs: DataFrame, classes: DataFrame, *, k: int, threshold: float, key: str, text: str) -> DataFrame:
+    """Links (a, b) between classes (c, h, g, rep, size, sig) that join all linked classes into components."""
 
     def branch(batches):
         roots = mix(np.arange(1, TREES + 1, dtype=np.uint64))
@@ -330,14 +388,14 @@ def links_between(docs: DataFrame, rows: DataFrame, *, k: int, threshold: float,
                 continue
             sig = np.frombuffer(b"".join(pdf["sig"]), dtype=np.uint32).reshape(len(pdf), COORDS)
             path, row = descend(np.tile(roots, len(pdf)), np.repeat(np.arange(len(pdf)), TREES), sig, threshold, DEPTH)
-            yield pd.DataFrame({"node": path.view(np.int64), "c": pdf["c"].to_numpy()[row]})
+            yield pd.DataFrame({"node": path.view(np.int64), "c": pdf["c"].to_numpy()[row], "size": pdf["size"].to_numpy()[row]})
 
-    front = front_of(classes.select("c", "sig").mapInPandas(branch, "node long, c long"))
+    front = front_of(classes.select("c", "size", "sig").mapInPandas(branch, "node long, c long, size long"))
     # Classes that merely met by chance go before any set is read.
-    near = active(front.where(F.col("n") <= LEAF).withColumn("label", F.col("c")), classes, threshold).select("node", "c").distinct()
-    front = front_of(near.unionByName(front.where(F.col("n") > LEAF).select("node", "c")))
-    sets = sets_of(docs, k, key, text, front.select("c").distinct().join(classes.select("c", F.col("rep").cast("long")), "c"))
-    links = similar(written(pivot_pairs(front)), sets, threshold)
+    near = active(front.where(F.col("n") <= LEAF).withColumn("label", F.col("c")), classes, threshold).select("node", "c", "size").distinct()
+    front = front_of(near.unionByName(front.where(F.col("n") > LEAF).select("node", "c", "size")))
+    sets = sets_of(docs, k, key, text, front.select("c").distinct().join(classes, "c"))
+    links = pivot_links(front, sets, threshold)
     front = labelled(front, links)
     links = links.unionByName(leaf_links(front.where(F.col("n") <= LEAF), classes, sets, threshold))
     large = front.where(F.col("n") > LEAF)
@@ -350,15 +408,18 @@ def links_between(docs: DataFrame, rows: DataFrame, *, k: int, threshold: float,
 def near_duplicates(docs: DataFrame, *, k: int = 5, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id, kept) for every row of ``docs``."""
     rows = written(classes_of(docs, k, key, text))
-    links = links_between(docs, rows, k=k, threshold=threshold, key=key, text=text)
-    label = components(links).select(F.col("id").alias("c"), F.col("component_id").alias("label"))
-    reps = rows.where("c is not null").groupBy("c").agg(F.min("key").alias("rep"))
-    reps = written(reps.join(label, "c", "left").withColumn("label", F.coalesce("label", "c")))
-    least = reps.groupBy("label").agg(F.min("rep").alias("component_id"))
-    of = written(reps.join(least, "label").select("c", "component_id"))
-    out = rows.select("key", "n", "c").join(of, "c", "left")
+    with scratch() as keep:
+        each = rows.where("h is not null").groupBy("h", "g").agg(F.min("key").alias("rep"), F.first("n").alias("size"), F.first("sig").alias("sig"))
+        # A number stands for the class's 128 bits.
+        classes = written(each.withColumn("c", F.monotonically_increasing_id()))
+        links = links_between(docs, classes, k=k, threshold=threshold, key=key, text=text)
+        label = components(links).select(F.col("id").alias("c"), F.col("component_id").alias("label"))
+        reps = written(classes.select("c", "h", "g", "rep").join(label, "c", "left").withColumn("label", F.coalesce("label", "c")))
+        least = reps.groupBy("label").agg(F.min("rep").alias("component_id"))
+        of = keep(written(reps.join(least, "label").select("h", "g", "component_id")))
+    out = rows.select("key", "n", "h", "g").join(of, ["h", "g"], "left")
     # A group whose ids are all null has no least id: its rows stand alone.
-    component = F.when(F.col("c").isNull() | F.col("component_id").isNull(), F.col("key")).otherwise(F.col("component_id"))
+    component = F.when(F.col("h").isNull() | F.col("component_id").isNull(), F.col("key")).otherwise(F.col("component_id"))
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("key") == component, F.lit(True)).alias("kept"))
 
 

@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import types as T
 
 from memloom.llm import neardup
@@ -79,6 +81,64 @@ def test_pairs_at_the_threshold_in_large_nodes(spark, monkeypatch):
     assert len(got) == 400 and [r.doc_id for r in got if r.component_id != r.doc_id // 2 * 2] == []
 
 
+def planted(n, r):
+    """Pairs of random sets of similarity 0.8 to 0.9, and the 64-bit hashes of their members."""
+    out = []
+    for _ in range(n):
+        size = r.integers(40, 400)
+        own = int(round(size * (1 - (s := r.uniform(0.8, 0.9))) / (1 + s)))
+        x = r.integers(0, 2**64, size + own, dtype=np.uint64)
+        out.append((np.unique(x[:size]), np.unique(x[own:])))
+    return out
+
+
+def test_recall_of_the_trees_at_and_above_the_threshold():
+    """The whole way of a pair before its sets are compared: a common node in some tree, and minwise values that may be linked."""
+    r, n = np.random.default_rng(7), 4000
+    pairs = planted(n, r)
+    sim = np.array([len(np.intersect1d(a, b)) / len(np.union1d(a, b)) for a, b in pairs])
+    x, y = (np.array([neardup.minwise(p[k]) for p in pairs]) for k in (0, 1))
+    roots = neardup.mix(np.arange(1, neardup.TREES + 1, dtype=np.uint64))
+    met = np.zeros(n, dtype=bool)
+    for lo in range(0, n, 500):
+        nodes = [neardup.descend(np.tile(roots, 500), np.repeat(np.arange(500), neardup.TREES), s[lo : lo + 500], 0.8, neardup.DEPTH) for s in (x, y)]
+        both = set(zip(*(v.tolist() for v in nodes[0]), strict=True)) & set(zip(*(v.tolist() for v in nodes[1]), strict=True))
+        met[[lo + k for _, k in both]] = True
+    rows = pd.DataFrame({"node": np.repeat(np.arange(n), 2), "i": 0, "j": 0, "chunk": 0, "label": np.arange(2 * n), "sig": [s[i].tobytes() for i in range(n) for s in (x, y)]})
+    i, j = neardup.likely(rows, 0.8)
+    may = np.zeros(n, dtype=bool)
+    may[i // 2] = True
+    assert (j == i + 1).all()
+    at = sim >= 0.8
+    assert at.sum() > 1000 and (met & may)[at].mean() >= 0.995
+
+
+def test_likely_pairs_are_the_same_in_small_and_large_groups(monkeypatch):
+    r = np.random.default_rng(3)
+    base = np.array([neardup.minwise(np.unique(r.integers(0, 2**64, 50, dtype=np.uint64))) for _ in range(40)])
+    sig = base[r.integers(0, 40, 600)]
+    sig[r.random(sig.shape) < 0.1] = 7
+    rows = pd.DataFrame({"node": np.sort(r.integers(0, 9, 600)), "i": 0, "j": r.integers(0, 2), "chunk": r.integers(0, 2, 600), "label": r.integers(0, 400, 600), "sig": [s.tobytes() for s in sig]})
+    want = []
+    for a in range(600):
+        for b in range(a + 1, 600):
+            one, other = rows.iloc[a], rows.iloc[b]
+            if one.node == other.node and one.label != other.label and (one.i == one.j or one.chunk != other.chunk) and (sig[a] == sig[b]).sum() >= 128 * 0.8 - 4 * (128 * 0.16) ** 0.5:
+                want.append((a, b))
+    for wide, pairs in ((1000, 500_000), (1000, 50), (0, 500_000), (64, 500_000)):
+        monkeypatch.setattr(neardup, "WIDE", wide)
+        monkeypatch.setattr(neardup, "PAIRS", pairs)
+        assert set(zip(*(x.tolist() for x in neardup.likely(rows, 0.8)), strict=True)) == set(want) and len(want) > 100
+
+
+def test_large_sets_and_ids_of_any_type(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "CHUNK_SHINGLES", 300)  # a few sets a chunk
+    docs = [(f"id{i:03}" if i else None, t) for i, (_, t) in enumerate(corpus())]
+    kind = T.StructType([T.StructField("doc_id", T.StringType()), T.StructField("text", T.StringType())])
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in neardup.near_duplicates(spark.createDataFrame(docs[1:], kind), k=5, threshold=0.8).collect()}
+    assert got == {(i, n): c for i, n, c, _ in brute(docs[1:], 5, 80)}
+
+
 def test_empty_table(spark):
     assert neardup.near_duplicates(rows(spark, [])).collect() == []
 
