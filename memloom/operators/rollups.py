@@ -116,12 +116,14 @@ def _nullable(df: DataFrame) -> set[str]:
 def build(rows: DataFrame, *, order: str = "id") -> DataFrame:
     """One rollup a window: session_id, window_index, first, last, n, children, directives, date range, stems, and the digest of its turns."""
     t = turns(rows, order=order)
+    if "project" not in t.columns:
+        t = t.withColumn("project", F.lit(None).cast("string"))
     listed = lambda c: F.array_sort(F.collect_list(c))
     label = F.col("date_label").isNotNull()
     windows = t.groupBy("session_id", "window_index").agg(
         F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n"), listed("id").alias("children"), listed(F.when(F.col("directive"), F.col("id"))).alias("directives"),
         F.min_by("date_label", F.when(label, F.col("id"))).alias("first_date"), F.max_by("date_label", F.when(label, F.col("id"))).alias("last_date"),
-        F.bit_xor(F.xxhash64("id", "body")).alias("digest"),
+        F.bit_xor(F.xxhash64("id", "body")).alias("digest"), F.min("project").alias("project"),
     )
     stems = window_stems(t).select(F.col("session_id").alias("s"), F.col("window_index").alias("w"), "stems")
     out = windows.join(stems, F.col("session_id").eqNullSafe(F.col("s")) & (F.col("window_index") == F.col("w")), "left").drop("s", "w")

@@ -40,3 +40,42 @@ def append_to(stream: DataFrame, path: str, checkpoint: str):
         batch.write.mode("overwrite").parquet(f"{path}/batch={n}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
+def index_rows(stream: DataFrame, path: str, checkpoint: str, *, key: str = "id", text: str = "content"):
+    """Keep an inverted index beside an append log: each micro-batch adds the postings of its rows (term, id, tf, dl).
+
+    The batch id names the folder, so a repeated batch overwrites itself.
+    """
+    from ..operators import search
+
+    def write(batch: DataFrame, n: int) -> None:
+        search.postings(batch, key=key, text=text).write.mode("overwrite").parquet(f"{path}/batch={n}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
+def refresh_rollups(stream: DataFrame, rows: str, path: str, checkpoint: str):
+    """Keep session rollups up to date: a micro-batch is appended to ``rows``, and the projects it touches are built again.
+
+    Whole projects, since where a run of turns ends depends on the turns of other sessions between.  Rollups are stored a
+    batch; the newest batch of a project holds (``current_rollups``).
+    """
+    from ..functions import text as texts
+    from ..operators import rollups
+
+    def write(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        named = batch.withColumn("session_id", texts.session(F.coalesce("content", F.lit(""))))
+        named.write.mode("overwrite").parquet(f"{rows}/batch={n}")
+        touched = named.select(F.col("project").alias("p")).distinct()
+        every = spark.read.parquet(rows).where(F.col("batch") <= n).drop("batch").join(touched, F.col("project").eqNullSafe(F.col("p")), "left_semi")
+        rollups.build(every).write.mode("overwrite").parquet(f"{path}/batch={n}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
+def current_rollups(stored: DataFrame) -> DataFrame:
+    """The rollups of each project's newest batch."""
+    newest = stored.groupBy(F.col("project").alias("p")).agg(F.max("batch").alias("b"))
+    return stored.join(newest, F.col("project").eqNullSafe(F.col("p")) & (F.col("batch") == F.col("b"))).drop("p", "b", "batch")
