@@ -425,3 +425,14 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, threshold: float = 0.8, key:
 
 def op8_chosen_path(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, threshold=0.85)
+
+
+SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, sh FROM (SELECT r, array_to_string(w[i:i + 2], ' ') AS sh FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0))),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS common FROM s a JOIN s b ON a.sh = b.sh AND a.r < b.r GROUP BY ALL),
+k AS (SELECT a, b FROM p JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * common >= 85 * (x.n + y.n - common)), l AS (SELECT a, b FROM k UNION ALL SELECT b, a FROM k),
+g AS (SELECT r AS a, r AS b FROM d UNION SELECT g.a, l.b FROM g JOIN l ON l.a = g.b), c AS (SELECT g.a AS r, min(d.doc_id) AS component_id FROM g JOIN d ON d.r = g.b GROUP BY g.a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, coalesce(doc_id = component_id, true) AS kept FROM d JOIN c USING (r) LEFT JOIN n USING (r)
+"""

@@ -132,3 +132,40 @@ def op4_checked_patterns(spark, sf_dir: str) -> DataFrame:
         F.sha2(joined(F.filter(spans, lambda s: s["kind"].isin(*BASE))), 256).alias("base_sha256"),
         joined(spans).alias("spans"),
     )
+
+
+def _found(kind: str, pattern: str, valid_: str) -> str:
+    """SQL for the spans of one kind: matches and the text between them come from one pattern."""
+    return (
+        f"{kind} AS (SELECT r, '{kind}' AS kind, m, CAST(coalesce(list_sum(list_transform(b[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS lo "
+        f"FROM (SELECT r, f, b, f[i] AS m, i FROM (SELECT r, f, b, unnest(range(1, len(f) + 1)) AS i FROM (SELECT r, regexp_extract_all(t, '{pattern}') AS f, regexp_split_to_array(t, '{pattern}') AS b FROM d WHERE regexp_matches(t, '{pattern}')))) WHERE {valid_})"
+    )
+
+
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: CASE WHEN (length({_DIGITS}) - i) % 2 = 0 THEN CAST({_DIGITS}[i] AS INT) ELSE (CAST({_DIGITS}[i] AS INT) * 2) // 10 + (CAST({_DIGITS}[i] AS INT) * 2) % 10 END)) % 10 = 0"
+_BYTE = "len(list_filter(string_split(m, '.'), lambda p: NOT regexp_matches(regexp_replace(p, '^0+([0-9])', '\\1'), '^([0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$'))) = 0"
+_MOD97 = "list_reduce(list_prepend(0, list_transform(string_split(substr(replace(m, ' ', ''), 5) || left(replace(m, ' ', ''), 4), ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END)), lambda a, x: (a * (CASE WHEN x >= 10 THEN 100 ELSE 10 END) + x) % 97) = 1"
+_IBAN = r"^([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?:[^A-Za-z0-9]|$)"
+
+#: The contract's own patterns; the method's two kinds by candidate starts and by whole runs, as this SQL has no look-around.
+SQL = (
+    "WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents), "
+    + ", ".join(
+        [
+            _found("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+            _found("ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", _BYTE),
+            _found("card", r"[0-9](?:[\x20-]?[0-9])+", f"length({_DIGITS}) BETWEEN 13 AND 19 AND {_LUHN}"),
+            _found("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 9 AND 15"),
+            _found("ssn", "[0-9-]+", "regexp_full_match(m, '[0-9]{3}-[0-9]{2}-[0-9]{4}')"),
+        ]
+    )
+    + f""", q AS (SELECT r, i, regexp_extract(substr(t, i, 48), '{_IBAN}', 1) AS m FROM (SELECT r, t, unnest(range(1, length(t) + 1)) AS i FROM d WHERE regexp_matches(t, '[A-Z]{{2}}[0-9]{{2}} ?[A-Z0-9]{{4}}'))
+  WHERE regexp_matches(substr(t, i, 4), '^[A-Z]{{2}}[0-9]{{2}}') AND NOT regexp_matches(substr(t, greatest(i - 1, 1), CASE WHEN i > 1 THEN 1 ELSE 0 END), '[A-Za-z0-9]')),
+iban AS (SELECT r, 'iban' AS kind, m, i - 1 AS lo FROM q WHERE m <> '' AND {_MOD97}),
+near AS (SELECT ssn.* FROM ssn JOIN d USING (r) WHERE regexp_matches(substr(t, CAST(greatest(lo - 40, 0) AS INT) + 1, CAST(lo - greatest(lo - 40, 0) AS INT)) || ' ' || substr(t, CAST(lo AS INT) + length(m) + 1, 40), '(?i)(^|[^A-Za-z])(ssn|social security)([^A-Za-z]|$)')),
+a AS (SELECT *, 1 AS o FROM email UNION ALL SELECT *, 2 FROM ip UNION ALL SELECT *, 3 FROM card UNION ALL SELECT *, 4 FROM phone UNION ALL SELECT *, 5 FROM iban UNION ALL SELECT *, 6 FROM near),
+s AS (SELECT r, count(*) FILTER (o = 1) AS n_email, count(*) FILTER (o = 2) AS n_ip, count(*) FILTER (o = 3) AS n_card, count(*) FILTER (o = 4) AS n_phone,
+  string_agg(kind || ':' || lo || ':' || (lo + length(m)), ',' ORDER BY o, lo) FILTER (o <= 4) AS base, string_agg(kind || ':' || lo || ':' || (lo + length(m)), ',' ORDER BY o, lo) AS spans FROM a GROUP BY r)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN s USING (r)"""
+)

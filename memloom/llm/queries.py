@@ -39,4 +39,11 @@ QUERIES = {
     "op9_aho_corasick": decontam.op9_aho_corasick,
     "op10_cap_filters": capfilter.op10_cap_filters,
 }
-SQL: dict[str, str] = {"op2_perspective_rotation": chat.SQL, "op7_merkle_audit": warc.SQL, "op9_aho_corasick": decontam.SQL}
+SQL: dict[str, str] = {
+    "op2_perspective_rotation": chat.SQL,
+    "op4_checked_patterns": pii.SQL,
+    "op7_merkle_audit": warc.SQL,
+    "op8_chosen_path": neardup.SQL,
+    "op9_aho_corasick": decontam.SQL,
+    "op10_cap_filters": capfilter.SQL,
+}
