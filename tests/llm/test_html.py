@@ -1,5 +1,6 @@
 import random
 import time
+from html.parser import HTMLParser
 
 import numpy as np
 from pyspark.sql import types as T
@@ -97,3 +98,48 @@ def test_defined_cases(spark):
     assert got[:2] == [(1, text, len(text))] * 2 and [g[0] for g in got[2:]] == [2, 3, 4, 5]
     assert got[2][1:] == got[3][1:] == got[4][1:] == ("", 0)
     assert html.extract(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+class Articles(HTMLParser):
+    """The blocks inside ``article``, read by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.parts, self.out = 0, [], []
+
+    def end_block(self):
+        if text := " ".join("".join(self.parts).split()):
+            self.out.append(text)
+        self.parts = []
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        if tag in ("p", "h1", "h2", "article"):
+            self.end_block()
+        if tag == "br":
+            self.parts.append(" ")
+
+    def handle_endtag(self, tag):
+        if tag in ("p", "h1", "h2", "article"):
+            self.end_block()
+        self.inside -= tag == "article"
+
+    def handle_data(self, data):
+        if self.inside:
+            self.parts.append(data)
+
+
+def test_pages_like_the_tables_equal_the_standard_parser(spark):
+    r = random.Random(6)
+    say = lambda n: " ".join("".join(r.choice("aeiounrst") for _ in range(r.randint(1, 9))) + r.choice(["", ",", "&amp;", " &eacute;"]) for _ in range(n)) + "."
+    pages = []
+    for i in range(120):
+        title = say(6)
+        menu = "".join(f'<li><a href="/{k}">{say(1)}</a></li>' for k in range(6))
+        body = "".join(r.choice([f"<p>{say(r.randint(1, 120))}</p>", f"<p><b>{say(4)}<br>", f"<h2>{say(3)}</h2>"]) for _ in range(r.randint(1, 12)))
+        pages.append((i, "u", f'<!DOCTYPE html><html><head><title>{title}</title><style>p{{margin:0}}</style><script>var t="</p>";track({i});</script></head><body><nav><ul>{menu}</ul></nav><!-- ad {i} --><div class="ad">{say(9)}</div><article><h1>{title}</h1>{body}</article><footer>&copy; {i} {say(3)}</footer></body></html>', None))
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(pages, SCHEMA)).collect()}
+    for i, _, page, _ in pages:
+        reader = Articles()
+        reader.feed(page)
+        assert got[i] == "\n\n".join(reader.out)
