@@ -13,6 +13,8 @@ PROSE_NAMES = r"^(readme|licen[sc]e|copying|notice|authors|contributors|changelo
 PROSE_FAMILIES = r"^(readme|licen[sc]e|copying|notice|authors|contributors|changelog|changes|history|news|security|code_of_conduct|contributing)([-.].+)?$"
 CODE_ENDS = r"\.[a-z][a-z0-9]*$"
 IGNORED_FOLDERS = [".git", "node_modules", ".agent", "dist", "build", "coverage", "__pycache__", ".venv", "venv", ".next", "benchmarks"]
+#: Names that stand for no project of their own.
+GENERAL = ["", "default"]
 OWN_FOLDERS = r"(?i)^(src|bin|tests|benchmarks|db|docs|templates|scripts)/"
 
 
@@ -72,7 +74,7 @@ def other_projects(text: Column, project: str) -> Column:
 
 def affinity(path: Column, text: Column, project: str) -> Column:
     """3 for rows of the project's own files, 2 for rows that name it, 0 for rows of other projects, else 1."""
-    if project in ("", "default", "homelab") or project.lower().startswith(("test_", "smoke_")):
+    if project in GENERAL or project.lower().startswith(("test_", "smoke_")):
         return F.lit(1)
     p = F.regexp_replace(slashed(F.coalesce(path, F.lit(""))), r"^\./", "")
     sibling = F.lower(F.regexp_extract(p, r"(?i)^projects/([^/]+)/", 1))
@@ -82,7 +84,7 @@ def affinity(path: Column, text: Column, project: str) -> Column:
 
 def in_scope(path: Column, text: Column, project: str) -> Column:
     """Whether a row may speak about the project."""
-    if project in ("", "default", "homelab"):
+    if project in GENERAL:
         return F.lit(True)
     sibling = F.lower(F.regexp_extract(F.regexp_replace(slashed(F.coalesce(path, F.lit(""))), r"^\./", ""), r"(?i)^projects/([^/]+)/", 1))
     low = F.lower(F.coalesce(text, F.lit("")))
