@@ -198,14 +198,15 @@ def blocks_of(docs: DataFrame, kind: str) -> DataFrame:
     return docs.mapInPandas(run, f"block long, key {kind}, held_out boolean, ids binary, s binary, w binary, i int, form int, c long")
 
 
-def train(texts: DataFrame, rounds: int) -> dict[str, np.ndarray]:
-    """Parameters from ``texts`` (block, i, s)."""
+def train(texts: DataFrame, rounds: int, blocks: int) -> dict[str, np.ndarray]:
+    """Parameters from ``texts`` (block, i, s) of some ``blocks`` blocks."""
     spark, model = texts.sparkSession, start()
     columns = [f"g{k}" for k in range(STATES)]
     # Block and number make a row's hash, so copies of a text spread over the shares.
     share, at, rows_of = F.pmod(F.xxhash64("block", "i"), F.lit(sum(SHARES))), 0, []
     for width in SHARES:
-        rows_of.append(texts.where((share >= at) & (share < at + width)))
+        # A share is read by as many tasks as it needs, so that few partial sums come of it.
+        rows_of.append(texts.where((share >= at) & (share < at + width)).coalesce(max(2, 4 * blocks * width // sum(SHARES))))
         at += width
     for symbols in [*rows_of, *[texts] * rounds]:
         sent = spark.sparkContext.broadcast(model)
@@ -250,7 +251,8 @@ def score(docs: DataFrame, *, rounds: int = 2, key: str = "doc_id", text: str =
     in_form, kinds = np.zeros(FORMS + 1), np.zeros(FORMS + 1)
     in_form[forms["s"].astype(int)], kinds[forms["s"].astype(int)] = forms["c"], forms["v"]
     total, distinct = int(in_form.sum()), int(kinds.sum())
-    model = train(texts.where("not held_out").select("block", "i", "s"), rounds)
+    blocks = read.agg(F.count_distinct("block")).first()[0]
+    model = train(texts.where("not held_out").select("block", "i", "s"), rounds, blocks)
     sent = spark.sparkContext.broadcast((model, np.log10(in_form + 0.1 * (kinds + 1))))
     whole = math.log10(total + 0.1 * (distinct + 1))
 
@@ -270,7 +272,7 @@ def score(docs: DataFrame, *, rounds: int = 2, key: str = "doc_id", text: str =
 
     answered = words.join(counts, "w", "left").select("block", "i", "form", F.coalesce("total", F.lit(0)).alias("total"))
     # Twice as many partitions as blocks, so that few of them hold several.
-    tasks = 2 * read.agg(F.count_distinct("block")).first()[0] + 1
+    tasks = 2 * blocks + 1
     mine = texts.select(F.col("block").alias("b"), "key", "held_out", "ids").repartition(tasks, "b").groupBy("b").cogroup(answered.repartition(tasks, "block").groupBy("block"))
     scored = mine.applyInPandas(run, f"key {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return scored.withColumnRenamed("key", key)
