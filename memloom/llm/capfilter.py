@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, table, written
+from .common import scratch, table, written
 from .components import components
 
 LEAST, BUCKET, CHUNK = 4, 128, 512
@@ -147,6 +147,24 @@ def filtered(classes: DataFrame, words: int, threshold: float, width: str) -> Da
     return classes.mapInPandas(run, "f long, c long, m long, v binary, fs binary")
 
 
+def met_before(fs: np.ndarray, f: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the rows of each pair share a direction before ``f``: they were counted there."""
+    mine = np.unique(np.concatenate([i, j]))
+    lists = [np.frombuffer(b, dtype="<i8") for b in fs[mine]]
+    flat, of = np.concatenate(lists), np.repeat(np.arange(len(mine)), [len(x) for x in lists])
+    flat, of = flat[flat < f], of[flat < f]
+    _, at, count = np.unique(flat, return_inverse=True, return_counts=True)
+    # One bit for each direction that several rows have.
+    bit = (np.cumsum(count > 1) - 1)[at]
+    of, bit = of[(count > 1)[at]], bit[(count > 1)[at]]
+    bits = np.zeros((len(mine), int(bit.max(initial=0)) // 64 + 1), dtype=np.uint64)
+    np.bitwise_or.at(bits, (of, bit // 64), np.uint64(1) << (bit % 64).astype(np.uint64))
+    i, j, out = np.searchsorted(mine, i), np.searchsorted(mine, j), np.zeros(len(i), dtype=bool)
+    for k in range(0, len(i), 20_000):
+        out[k : k + 20_000] = (bits[i[k : k + 20_000]] & bits[j[k : k + 20_000]]).any(1)
+    return out
+
+
 def compare(rows: dict[str, np.ndarray], lo: int, hi: int, cross: bool, threshold: float, kind: np.dtype) -> tuple[np.ndarray, ...] | None:
     """(c, n, root) of one direction's rows ``lo`` to ``hi``: new partners, and the least class linked here; None without links."""
     x = unit(np.frombuffer(b"".join(rows["v"][lo:hi]), dtype=kind).reshape(hi - lo, -1))
@@ -166,16 +184,7 @@ def compare(rows: dict[str, np.ndarray], lo: int, hi: int, cross: bool, threshol
     if not len(i):
         return None
     c, m, f = rows["c"][lo:hi], rows["m"][lo:hi], rows["f"][lo]
-    fs = [np.frombuffer(b, dtype="<i8") for b in rows["fs"][lo:hi]]
-    grid = np.full((len(fs), max(map(len, fs))), -1, dtype=np.int64)
-    for k, row in enumerate(fs):
-        grid[k, : len(row)] = row
-    grid[grid >= f] = -1  # only earlier directions matter: a pair that shares one was counted there
-    first = np.ones(len(i), dtype=bool)
-    for k in range(0, len(i), 20_000):
-        a, b = grid[i[k : k + 20_000]], grid[j[k : k + 20_000]]
-        for col in range(grid.shape[1]):
-            first[k : k + 20_000] &= ~((a[:, col : col + 1] == b) & (b >= 0)).any(1)
+    first = ~met_before(rows["fs"][lo:hi], f, i, j)
     n = np.bincount(i[first], weights=m[j[first]], minlength=len(c)) + np.bincount(j[first], weights=m[i[first]], minlength=len(c))
     root = c.copy()
     while True:
@@ -198,47 +207,47 @@ def near_vectors(vectors: DataFrame, *, threshold: float = 0.95, key: str = "vec
     # Two hashes of 64 bits name a class; a number of 64 bits stands for it in all joins but the last.
     hashes = {"h": F.xxhash64("v"), "g": F.xxhash64(F.lit(1), "v")}
     rows = vectors.select(F.col(key).alias("key"), F.when(sound, v).alias("v")).withColumns({k: F.when(F.col("v").isNotNull(), x) for k, x in hashes.items()})
-    classes = rows.where("v is not null").groupBy("h", "g").agg(F.count("*").alias("m"), F.min("key").alias("rep"), F.first("v").alias("v"))
-    classes = written(classes.withColumn("c", F.monotonically_increasing_id()))
-    # Directions in proportion to the classes, as words ** 2.
-    words = int(max(8, 2 ** round(math.log2(max(1, classes.count()) * LEAST / BUCKET) / 2)))
-    caps = written(filtered(classes.select("c", "m", "v"), words, threshold, width))
-    sizes = written(caps.groupBy("f").count().where("count > 1").withColumn("k", F.ceil(F.col("count") / CHUNK)).select("f", "k"))
-    chunked = caps.join(sizes, "f").withColumn("chunk", F.pmod(F.xxhash64("c"), "k"))
-    # Chunk i meets every other chunk once; a direction of one chunk is compared as it is.
-    dealt = chunked.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))).select(
-        "f", F.least("chunk", "o").alias("i"), F.greatest("chunk", "o").alias("j"), "chunk", "c", "m", "v", "fs"
-    )
-
-    def run(batches):
-        rest = None
-        for pdf in batches:
-            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-            if not len(pdf):
-                continue
-            rest, done = None, []
-            rows = {k: pdf[k].to_numpy() for k in pdf.columns}
-            ids = np.stack([rows[k] for k in "fij"], axis=1)
-            cuts = [0, *(np.flatnonzero((ids[1:] != ids[:-1]).any(1)) + 1).tolist()]
-            for lo, hi in zip(cuts, cuts[1:], strict=False):
-                done.append(compare(rows, lo, hi, ids[lo, 1] != ids[lo, 2], threshold, kind) if hi - lo > 1 else None)
-            rest = pdf.iloc[cuts[-1] :]
-            yield from result(done)
-        if rest is not None and len(rest) > 1:
-            rows = {k: rest[k].to_numpy() for k in rest.columns}
-            yield from result([compare(rows, 0, len(rest), rows["i"][0] != rows["j"][0], threshold, kind)])
-
-    def result(done):
-        if done := [x for x in done if x]:
-            yield pd.DataFrame({k: np.concatenate([x[n] for x in done]) for n, k in enumerate(("c", "n", "root"))})
-
-    found = written(dealt.repartition(F.col("f"), F.col("i"), F.col("j")).sortWithinPartitions("f", "i", "j").mapInPandas(run, "c long, n long, root long"))
-    discard(caps, sizes)
-    label = components(found.select(F.col("c").alias("a"), F.col("root").alias("b")).distinct()).select(F.col("id").alias("c"), F.col("component_id").alias("label"))
-    partners = found.groupBy("c").agg(F.sum("n").alias("n"))
-    known = written(classes.select("c", "h", "g", "m", "rep").join(partners, "c", "left").join(label, "c", "left").withColumn("label", F.coalesce("label", "c")))
-    least = known.groupBy("label").agg(F.min("rep").alias("component_id"))
-    known = written(known.join(least, "label").select("h", "g", (F.col("m") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component_id"))
+    with scratch() as keep:
+        classes = rows.where("v is not null").groupBy("h", "g").agg(F.count("*").alias("m"), F.min("key").alias("rep"), F.first("v").alias("v"))
+        classes = written(classes.withColumn("c", F.monotonically_increasing_id()))
+        # Directions in proportion to the classes, as words ** 2.
+        words = int(max(8, 2 ** round(math.log2(max(1, classes.count()) * LEAST / BUCKET) / 2)))
+        caps = written(filtered(classes.select("c", "m", "v"), words, threshold, width))
+        sizes = written(caps.groupBy("f").count().where("count > 1").withColumn("k", F.ceil(F.col("count") / CHUNK)).select("f", "k"))
+        chunked = caps.join(sizes, "f").withColumn("chunk", F.pmod(F.xxhash64("c"), "k"))
+        # Chunk i meets every other chunk once; a direction of one chunk is compared as it is.
+        dealt = chunked.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))).select(
+            "f", F.least("chunk", "o").alias("i"), F.greatest("chunk", "o").alias("j"), "chunk", "c", "m", "v", "fs"
+        )
+
+        def run(batches):
+            rest = None
+            for pdf in batches:
+                pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+                if not len(pdf):
+                    continue
+                rest, done = None, []
+                rows = {k: pdf[k].to_numpy() for k in pdf.columns}
+                ids = np.stack([rows[k] for k in "fij"], axis=1)
+                cuts = [0, *(np.flatnonzero((ids[1:] != ids[:-1]).any(1)) + 1).tolist()]
+                for lo, hi in zip(cuts, cuts[1:], strict=False):
+                    done.append(compare(rows, lo, hi, ids[lo, 1] != ids[lo, 2], threshold, kind) if hi - lo > 1 else None)
+                rest = pdf.iloc[cuts[-1] :]
+                yield from result(done)
+            if rest is not None and len(rest) > 1:
+                rows = {k: rest[k].to_numpy() for k in rest.columns}
+                yield from result([compare(rows, 0, len(rest), rows["i"][0] != rows["j"][0], threshold, kind)])
+
+        def result(done):
+            if done := [x for x in done if x]:
+                yield pd.DataFrame({k: np.concatenate([x[n] for x in done]) for n, k in enumerate(("c", "n", "root"))})
+
+        found = written(dealt.repartition(F.col("f"), F.col("i"), F.col("j")).sortWithinPartitions("f", "i", "j").mapInPandas(run, "c long, n long, root long"))
+        label = components(found.select(F.col("c").alias("a"), F.col("root").alias("b")).distinct()).select(F.col("id").alias("c"), F.col("component_id").alias("label"))
+        partners = found.groupBy("c").agg(F.sum("n").alias("n"))
+        known = written(classes.select("c", "h", "g", "m", "rep").join(partners, "c", "left").join(label, "c", "left").withColumn("label", F.coalesce("label", "c")))
+        least = known.groupBy("label").agg(F.min("rep").alias("component_id"))
+        known = keep(written(known.join(least, "label").select("h", "g", (F.col("m") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component_id")))
     out = rows.select("key", "h", "g").join(known, ["h", "g"], "left")
     component = F.coalesce("component_id", "key")
     return out.select(F.col("key").alias(key), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("key") == component, F.lit(True)).alias("kept"))
@@ -246,3 +255,13 @@ def near_vectors(vectors: DataFrame, *, threshold: float = 0.95, key: str = "vec
 
 def op10_cap_filters(spark, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+SQL = r"""
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.r AS a, b.r AS b FROM ok a JOIN ok b ON a.r <> b.r AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+w AS (SELECT r AS a, r AS b FROM v UNION SELECT w.a, l.b FROM w JOIN l ON l.a = w.b),
+c AS (SELECT w.a AS r, min(v.vec_id) AS component_id FROM w JOIN v ON v.r = w.b GROUP BY w.a), n AS (SELECT a AS r, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, coalesce(vec_id = component_id, true) AS kept FROM v JOIN c USING (r) LEFT JOIN n USING (r)
+"""
