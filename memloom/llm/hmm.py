@@ -68,41 +68,34 @@ def expected(model: dict, segments: np.ndarray, opening: np.ndarray) -> dict[str
 
     ``opening``: segments that begin a document; their context is none and is passed over.
     """
-    emit = np.vstack([model["emit"].T, np.ones(STATES)]).astype(np.float32)  # symbol -1 is certain
-    move = model["move"].astype(np.float32)
-    n, first = len(segments), model["first"].astype(np.float32)
-    steady = np.linalg.matrix_power(model["move"], 256)[0].astype(np.float32)
-    a = steady * emit[segments[:, 0]]
-    alpha = np.empty((SEGMENT + 1, n, STATES), dtype=np.float32)
+    # States are rows and segments columns; the symbol after an end is one more form, which every state emits with certainty.
+    emit = np.hstack([model["emit"], np.ones((STATES, 1))]).astype(np.float32)
+    move, first = model["move"].astype(np.float32), model["first"].astype(np.float32)[:, None]
+    symbols = np.ascontiguousarray(np.where(segments < 0, FORMS + 1, segments).T)
+    a = np.linalg.matrix_power(model["move"], 256)[0].astype(np.float32)[:, None] * emit[:, symbols[0]]
+    alpha = np.empty((SEGMENT + 1, STATES, len(segments)), dtype=np.float32)
     for t in range(SEGMENT + 1):
         if t:
-            a = a @ move
+            a = move.T @ a
             if t == 1:
-                a[opening] = first
-            a *= emit[segments[:, t]]
-        a /= a.sum(1, keepdims=True)
+                a[:, opening] = first
+            a *= emit[:, symbols[t]]
+        a /= a.sum(0)
         alpha[t] = a
-    out = {"first": np.zeros(STATES), "move": np.zeros((STATES, STATES)), "emit": np.zeros((FORMS + 1, STATES))}
-    beta = np.ones((n, STATES), dtype=np.float32)
+    moves, beta = np.zeros((STATES, STATES)), np.ones((STATES, len(segments)), dtype=np.float32)
     for t in range(SEGMENT, 0, -1):
-        live = segments[:, t] >= 0
-        gamma = alpha[t] * beta
-        gamma /= gamma.sum(1, keepdims=True)
-        gamma[~live] = 0
-        for k in range(STATES):
-            out["emit"][:, k] += np.bincount(segments[live, t], weights=gamma[live, k], minlength=FORMS + 1)
-        inner = live
-        if t == 1:
-            out["first"] += gamma[opening].sum(0)
-            inner = live & ~opening
-        ahead = emit[segments[:, t]] * beta
-        back = ahead @ move.T
-        scale = (alpha[t - 1] * back).sum(1, keepdims=True)
-        weight = np.where(inner[:, None], alpha[t - 1] / scale, 0)
-        out["move"] += (weight.T @ ahead) * model["move"]
-        beta = back / back.sum(1, keepdims=True)
-        beta[~live] = 1
-    return out
+        ahead = emit[:, symbols[t]] * beta
+        back = move @ ahead
+        weight = alpha[t - 1] / (alpha[t - 1] * back).sum(0)
+        weight *= (symbols[t] <= FORMS) & ~opening if t == 1 else symbols[t] <= FORMS
+        moves += weight @ ahead.T
+        gamma = alpha[t]  # from here on the state's probability given the whole segment
+        gamma *= beta
+        gamma /= gamma.sum(0)
+        beta = back / back.sum(0)
+    flat = symbols[1:].ravel()
+    counts = [np.bincount(flat, weights=alpha[1:, k].ravel(), minlength=FORMS + 2)[: FORMS + 1] for k in range(STATES)]
+    return {"first": alpha[1][:, opening].sum(1, dtype=np.float64), "move": moves * model["move"], "emit": np.stack(counts, axis=1)}
 
 
 def better(counts: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
