@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 _OWN: list[str] = []
 _OPEN: contextvars.ContextVar[list[DataFrame] | None] = contextvars.ContextVar("open", default=None)
 #: Bytes of rows that go to a Python worker at once, unless the session says otherwise: long texts and sets make small batches.
-BATCH_BYTES = 32_000_000
+BATCH_BYTES = 16_000_000
 
 
 def bounded_batches(spark: SparkSession) -> None:

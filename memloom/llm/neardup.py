@@ -41,7 +41,7 @@ from .components import components
 
 COORDS, TREES, DEPTH, LEAF, CHUNK, CHUNK_SHINGLES = 128, 10, 4, 4096, 1024, 4_000_000
 #: Rows of a group from which its pairs are looked at as a matrix; pairs looked at together in smaller groups.
-WIDE, PAIRS = 64, 500_000
+WIDE, PAIRS = 64, 100_000
 #: Bits of the map that picks the rows whose sets are needed: a fixed size; more rows than bits only weaken the filter.
 MAP_BITS = 26
 WORD_TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))

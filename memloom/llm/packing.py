@@ -21,8 +21,8 @@ from pyspark.sql import types as T
 
 from .common import written
 
-#: Words a worker remembers with their ids, in each of two generations (about 80 MB each); frequent words move to the new one.
-CACHE_WORDS = 400_000
+#: Words a worker remembers with their ids, in each of two generations (about 40 MB each); frequent words move to the new one.
+CACHE_WORDS = 200_000
 #: Tokens kept in one stored row; longer documents take several rows, so that no row is unbounded.
 SLAB_TOKENS = 16 * 2048
 #: Words encoded by one call of the tokenizer.
