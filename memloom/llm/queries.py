@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import capfilter, chat, decontam, hmm, html, langid, neardup, pii, warc
+from . import capfilter, chat, decontam, divergence, filters, hmm, html, langid, neardup, pii, tokencount, warc
 from .common import table
 
 
@@ -38,6 +38,9 @@ QUERIES = {
     "op8_chosen_path": neardup.op8_chosen_path,
     "op9_aho_corasick": decontam.op9_aho_corasick,
     "op10_cap_filters": capfilter.op10_cap_filters,
+    "op11_incidence_product": filters.op11_incidence_product,
+    "op12_count_histograms": divergence.op12_count_histograms,
+    "op13_prefix_counts": tokencount.op13_prefix_counts,
 }
 SQL: dict[str, str] = {
     "op2_perspective_rotation": chat.SQL,
@@ -46,4 +49,6 @@ SQL: dict[str, str] = {
     "op8_chosen_path": neardup.SQL,
     "op9_aho_corasick": decontam.SQL,
     "op10_cap_filters": capfilter.SQL,
+    "op11_incidence_product": filters.SQL,
+    "op12_count_histograms": divergence.SQL,
 }
