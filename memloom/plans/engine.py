@@ -15,7 +15,8 @@ from pyspark.sql import types as T
 
 from ..functions import paths, text, words
 from ..operators import candidates, conflicts, fusion, lineage, nuggets, ranking, relevance, report, scoring, search
-from ..sources import imports
+from ..operators.index import TermIndex
+from ..sources import imports, staging
 
 LOG = T.StructType(
     [T.StructField(n, T.LongType()) for n in ("id", "seq")] + [T.StructField(n, T.StringType()) for n in ("op", "category", "content")] + [T.StructField("target", T.LongType())]
@@ -27,7 +28,7 @@ OPS = ["update", "supersede", "invalidate", "delete", "touch"]
 class Engine:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.log_path, self.feedback_path, self.nugget_path = spark, f"{folder}/log", f"{folder}/feedback", f"{folder}/nuggets"
-        self.scratch = f"{folder}/scratch"
+        self.scratch, self.index = f"{folder}/scratch", TermIndex(spark, f"{folder}/index")
 
     def _read(self, path: str, schema) -> DataFrame:
         try:
@@ -39,25 +40,29 @@ class Engine:
 
     def _staged(self, df: DataFrame) -> DataFrame:
         """Candidates of a batch of questions, written and read back: later steps start from a table of k rows a question."""
-        path = f"{self.scratch}/{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        self._last = uuid.uuid4().hex
+        return staging.staged(df, f"{self.scratch}/{self._last}")
 
     def _log(self) -> DataFrame:
-        return self._read(self.log_path, LOG)
+        return self._read(self.log_path, T.StructType([*LOG.fields, T.StructField("batch", T.StringType())])).drop("batch")
 
-    def _append(self, changes: DataFrame) -> None:
-        imports.evolved(changes, LOG).write.mode("append").partitionBy("project").parquet(self.log_path)
+    def _append(self, changes: DataFrame, batch: str | None) -> None:
+        imports.evolved(changes, LOG).write.mode("overwrite").partitionBy("project").parquet(f"{self.log_path}/batch={batch or uuid.uuid4().hex}")
 
-    def remember(self, rows: DataFrame) -> DataFrame:
+    def clear(self) -> None:
+        """Delete the results of earlier retrievals."""
+        staging.removed(self.spark, self.scratch)
+
+    def remember(self, rows: DataFrame, *, batch: str | None = None) -> DataFrame:
         """Append rows (id, seq, category, content, project[, tags, embedding, created_at]).
 
+        A batch with a name can be given again: it takes its own place.
         Returned are the rows that are refused: (id, secret, reason), for a secret in content, tags or project, or for no content.
         """
         every = F.concat_ws("\n", F.coalesce("content", F.lit("")), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("project", "reason") if c in rows.columns], *[F.array_join("tags", "\n") for c in ("tags",) if c in rows.columns])
         checked = rows.withColumn("secret", words.secret(every))
         checked = checked.withColumn("why", F.when(F.coalesce(F.trim("content"), F.lit("")) == "", "no content").when(F.col("secret").isNotNull(), "secret"))
-        self._append(checked.where("why is null").withColumn("op", F.lit("insert")).withColumn("category", words.category(F.col("category"))))
+        self._append(checked.where("why is null").withColumn("op", F.lit("insert")).withColumn("category", words.category(F.col("category"))), batch)
         return checked.where("why is not null").select("id", "secret", F.col("why").alias("reason"))
 
     def near_duplicates(self, rows: DataFrame, *, newest: int = 300, least: float = 0.82) -> DataFrame:
@@ -73,7 +78,7 @@ class Engine:
         shared = both.groupBy("id", "duplicate_of", "n", "m").agg(F.count("*").alias("c"))
         return shared.where(F.col("c") >= least * (F.col("n") + F.col("m") - F.col("c"))).groupBy("id").agg(F.max("duplicate_of").alias("duplicate_of"))
 
-    def revise(self, changes: DataFrame) -> None:
+    def revise(self, changes: DataFrame, *, batch: str | None = None) -> None:
         """Append changes (id, seq, op, ...): update, touch, supersede (target: the new row), invalidate (with a reason) or delete.
 
         Unknown operations, invalidations without a reason, secrets, and ids or targets that no row has are errors.
@@ -87,10 +92,22 @@ class Engine:
         named = changes.select("id").unionByName(changes.where("op = 'supersede'").select(F.col("target").alias("id"))).distinct()
         if lost := named.join(known, "id", "left_anti").limit(5).collect():
             raise ValueError(f"no such rows: {[r.id for r in lost]}")
-        self._append(changes.withColumn("op", checked.otherwise(F.col("op"))))
+        self._append(changes.withColumn("op", checked.otherwise(F.col("op"))), batch)
+
+    def synced(self) -> TermIndex:
+        """The stored index, after the rows that the log changed since: rows with another number of log entries than the index has seen."""
+        log, index = self._log(), self.index
+        known = index.current().select("id", F.col("seen").alias("before"))
+        touched = log.groupBy("id").agg(F.count("*").alias("seen")).join(known, "id", "left").where("before IS NULL OR before != seen").select("id", "seen")
+        if not touched.isEmpty():
+            now = touched.join(self._fold(log.join(touched.select("id"), "id", "left_semi")), "id", "left").withColumn("gone", F.coalesce(F.col("status") != "ACTIVE", F.lit(True)))
+            index.apply(now, max(index.batches(), default=0) + 1, part="project", deleted="gone", seen="seen")
+        return index
 
     def state(self, project: str | None = None) -> DataFrame:
-        log = self._log() if project is None else self._log().where(F.col("project") == project)
+        return self._fold(self._log() if project is None else self._log().where(F.col("project") == project))
+
+    def _fold(self, log: DataFrame) -> DataFrame:
         last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c)
         kept = log.groupBy("id").agg(F.first("project", ignorenulls=True).alias("project"), *[last(c) for c in ("category", "tags", "embedding", "created_at", "reason")])
         return lineage.current(log).join(kept, "id")
@@ -98,13 +115,14 @@ class Engine:
     def retrieve(self, queries: DataFrame, *, project: str | None = None, k: int = 300, budget: int = 8000, now: Column | None = None) -> DataFrame:
         """(query_id, id, rank, score, content, used, epistemic_status) for a batch of questions (query_id, query[, embedding]).
 
-        Candidates are the best rows by words and by vectors; scores go through overlap, meaning, boosts and the fusion of four
+        Candidates are the best rows by words, from the stored index, and by vectors; scores go through overlap, meaning, boosts and the fusion of four
         arms; near-duplicates go (rows in a conflict stay), and the rest is packed in order into the token budget.
         """
         queries = queries.withColumn("query", text.clean_query(F.col("query")))
         active = self.state(project).where("status = 'ACTIVE'").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
         with_vectors = "embedding" in queries.columns
-        sources = [search.bm25(active, queries, k=k).select("query_id", "id")]
+        began = set(staging.folders(self.spark, self.scratch))
+        sources = [self.synced().bm25(queries, k=k, part=project).select("query_id", "id")]
         if with_vectors:
             sources.append(search.nearest(active, queries.select(F.col("query_id").alias("id"), "embedding"), k=k).select("query_id", "id"))
         found = self._staged(candidates.union(sources).drop("sources")).join(active.select("id", "category", "content", "tags", "created_at", "embedding"), "id")
@@ -128,7 +146,10 @@ class Engine:
         top = packed.groupBy("query_id").agg(F.max("score").alias("top"))
         status = F.when(F.col("id").isNull() | (F.col("top") < 0.50), "NO_KNOWN_SUPPORT").when(F.col("n_conflicts") > 0, "CONFLICTED").otherwise("SUPPORTED")
         out = queries.select("query_id").join(packed, "query_id", "left").join(top, "query_id", "left").join(open_, "query_id", "left")
-        return out.withColumn("epistemic_status", status).drop("n_conflicts", "top", "n_tokens")
+        result = self._staged(out.withColumn("epistemic_status", status).drop("n_conflicts", "top", "n_tokens"))
+        for name in set(staging.folders(self.spark, self.scratch)) - began - {self._last}:
+            staging.removed(self.spark, f"{self.scratch}/{name}")
+        return result
 
     def set_nuggets(self, changes: DataFrame) -> DataFrame:
         """Append changes (key, seq, op, value, kind) of nuggets; refused ones are returned with their reason."""

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors, words
-from ..operators import diffs, episodes, lineage, ranking, search
+from ..operators import diffs, episodes, index, lineage, ranking, search
+from ..sources import staging
 from ..sources.tables import memories, table, turns
 
 
@@ -63,6 +64,20 @@ def bm25_top10(spark, sf_dir):
     return found.withColumn("score", F.round("score", 4))
 
 
+@query(BM25 + "SELECT item_id AS query_id, doc_id AS id, round(score, 4) AS score, rank FROM r WHERE rank <= 10")
+def indexed_bm25(spark, sf_dir):
+    """The same search by a stored index that went through inserts, updates, deletions and a fold of its batches."""
+    rows = memories(spark, sf_dir).select("id", "content")
+    built = index.TermIndex(spark, staging.new_path(spark, "index"))
+    other = F.reverse(F.coalesce("content", F.lit("")))
+    guests = rows.where("id % 11 = 0").select((-1 - F.col("id")).alias("id"), "content")
+    built.apply(rows.where("id % 5 != 0").withColumn("content", F.when(F.col("id") % 7 == 3, other).otherwise(F.coalesce("content", F.lit("")))).unionByName(guests), 0)
+    built.apply(rows.where("id % 5 = 0 OR id % 7 = 3").withColumn("content", F.coalesce("content", F.lit(""))), 1)
+    built.compact()
+    built.apply(guests.withColumn("gone", F.lit(True)), 2, deleted="gone")
+    return built.bm25(table(spark, sf_dir, "benchmark"), k=10, query_key="item_id", query_text="text").withColumn("score", F.round("score", 4))
+
+
 @query(
     f"""WITH q AS (SELECT DISTINCT unnest(s[1:14]) AS term FROM (SELECT list_filter(s, lambda x, i: list_position(s, x) = i) AS s FROM (SELECT {STEMMED} AS s FROM benchmark))),
 p AS (SELECT w, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({STEMMED}) AS w FROM documents) GROUP BY w)

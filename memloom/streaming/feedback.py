@@ -42,17 +42,12 @@ def append_to(stream: DataFrame, path: str, checkpoint: str):
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
-def index_rows(stream: DataFrame, path: str, checkpoint: str, *, key: str = "id", text: str = "content"):
-    """Keep an inverted index beside an append log: each micro-batch adds the postings of its rows (term, id, tf, dl).
+def index_rows(stream: DataFrame, index, checkpoint: str, **names):
+    """Keep a stored index (``operators.index.TermIndex``) beside an append log: each micro-batch is one batch of changes.
 
-    The batch id names the folder, so a repeated batch overwrites itself.
+    The batch id makes a repeated micro-batch count once; ``names`` say which columns hold the key, text, part and deletions.
     """
-    from ..operators import search
-
-    def write(batch: DataFrame, n: int) -> None:
-        search.postings(batch, key=key, text=text).write.mode("overwrite").parquet(f"{path}/batch={n}")
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return stream.writeStream.foreachBatch(lambda batch, n: index.apply(batch, n, **names) and None).option("checkpointLocation", checkpoint)
 
 
 def refresh_rollups(stream: DataFrame, rows: str, path: str, checkpoint: str):

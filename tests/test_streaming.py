@@ -1,3 +1,4 @@
+from memloom.operators.index import TermIndex
 from memloom.streaming import feedback
 
 
@@ -25,11 +26,13 @@ def test_index_and_rollups_follow_the_log(spark, tmp_path):
     kind = "id long, project string, category string, content string"
     say = lambda i, s: (i, "p", "lesson", f"[Session {s}] USER: words about topic{s} and parsers | ASSISTANT: ok")
     spark.createDataFrame([say(i, 1 + i // 3) for i in range(6)], kind).coalesce(1).write.parquet(f"{tmp_path}/in")
+    index = TermIndex(spark, f"{tmp_path}/index", buckets=4)
     for _ in range(2):
         stream = spark.readStream.schema(kind).parquet(f"{tmp_path}/in")
-        feedback.index_rows(stream, f"{tmp_path}/index", f"{tmp_path}/c1").trigger(availableNow=True).start().awaitTermination(90)
+        feedback.index_rows(stream, index, f"{tmp_path}/c1").trigger(availableNow=True).start().awaitTermination(90)
         feedback.refresh_rollups(stream, f"{tmp_path}/rows", f"{tmp_path}/rollups", f"{tmp_path}/c2").trigger(availableNow=True).start().awaitTermination(90)
         spark.createDataFrame([say(10, 2)], kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/index").where("term = 'topic2'").collect()) == [3, 4, 5, 10]
+    asked = spark.createDataFrame([(1, "topic2")], "query_id long, query string")
+    assert sorted(r.id for r in index.matches(asked).collect()) == [3, 4, 5, 10]
     now = feedback.current_rollups(spark.read.parquet(f"{tmp_path}/rollups")).collect()
     assert {r.session_id: r.children for r in now} == {1: [0, 1, 2], 2: [3, 4, 5, 10]}
