@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -57,6 +58,17 @@ def written(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return out
 
 
+def row_keyed(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a key for each row that every reading gives again: its file and its place there, in the order of the file.
+
+    A table that doesn't come straight from files is written first.
+    """
+    try:
+        return docs.withColumn(name, F.concat_ws("-", F.substring(F.sha2("_metadata.file_path", 256), 1, 24), F.lpad("_metadata.row_index", 15, "0")))
+    except AnalysisException:
+        return written(docs.withColumn(name, F.lpad(F.monotonically_increasing_id().cast("string"), 19, "0")))
+
+
 @contextlib.contextmanager
 def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
     """At the end of the block, tables that ``written`` made inside are deleted but for those given to the function it yields."""
