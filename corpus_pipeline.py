@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memloom.llm import decontam, langid, neardup, packing, pii
-from memloom.llm.common import fresh, table, written
+from memloom.llm.common import discard, fresh, row_keyed, scratch, table, written
 from memloom.llm.queries import tokenizer_path
 
 
@@ -33,15 +33,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One row of each group of near-duplicates stays: the one with the least id; five-word shingles, similarity 0.8.
 
     Groups are groups of rows: copies under one id, or under none, are copies, and a row that merely shares its id with
-    one that goes stays.  Null ids come last, and rows of one id are taken in the order of the table.  Rows without words
-    link with nothing and stay.
+    one that goes stays.  Null ids come last, and of rows of one id in one file the first is taken.  Rows without words
+    link with nothing and stay.  Keys of rows are written, never the rows again.
     """
     row = fresh(docs, "row")
-    rows = written(docs.withColumn(row, F.monotonically_increasing_id()))
-    judged = neardup.near_duplicates(rows, k=5, threshold=0.8, key=row)
-    group = written(judged.select(F.col(row).alias("r"), "component_id").join(rows.select(F.col(row).alias("r"), F.col("doc_id").alias("id")), "r"))
-    stays = group.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "r")).alias("least")).select(F.col("least.r").alias("stays"))
-    return rows.join(stays, F.col(row) == F.col("stays"), "left_semi").select(docs.columns)
+    rows = row_keyed(docs, row)
+    with scratch() as keep:
+        judged = neardup.near_duplicates(rows, k=5, threshold=0.8, key=row)
+        # Groups of one row need no choice between rows.
+        group = judged.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1")
+        several = judged.join(group.select("component_id"), "component_id").select(F.col(row).alias("r"), "component_id")
+        several = written(several.join(rows.select(F.col(row).alias("r"), F.col("doc_id").alias("id")), "r"))
+        stays = several.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "r")).alias("least")).select(F.col("least.r").alias("r"))
+        goes = keep(written(several.select("r").join(stays, "r", "left_anti").withColumnRenamed("r", "goes")))
+    return rows.join(goes, F.col(row) == F.col("goes"), "left_anti").select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,9 +81,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages on the documents table; what a stage read is deleted once the next copy is written."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        with scratch() as keep:
+            docs = keep(written(stage(spark, docs, sf_dir)))
+        discard(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
