@@ -1,4 +1,4 @@
-"""Contradictions and state changes between the rows of a pool, and consolidation of near-equal rows.
+"""Contradictions and state changes between the rows of a pool.
 
 Pools are the bounded candidate lists of queries (their k is a feature of the search), so pairs are formed within a pool
 by an equi-join on (pool, stem), never over a table.
@@ -141,37 +141,3 @@ def updates(pool: DataFrame, queries: DataFrame | None = None, *, by: str = "que
 def consolidated(close: DataFrame) -> DataFrame:
     """(id, superseded_by) from pairs (older, newer) of close rows: the newest of the older partners wins."""
     return close.groupBy(F.col("newer").alias("id")).agg(F.max("older").alias("superseded_by"))
-
-
-def consolidation(rows: DataFrame, *, distance: float = 0.15, bits: int = 8, tables: int = 64) -> DataFrame:
-    """(id, superseded_by): rows (id, embedding) whose cosine distance to a smaller id is at most ``distance`` go to the largest such id.
-
-    Rows meet by the signs of random projections, in ``tables`` independent tables, so a pair at the threshold is missed
-    about once in three million; equal vectors meet as one group, whose rows go to the one before them.
-    """
-    import numpy as np
-    import pandas as pd
-
-    sound = rows.where(vectors.valid(F.col("embedding"))).select("id", "embedding")
-    groups = sound.groupBy("embedding").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    twins = groups.where(F.size("ids") > 1).select(F.explode(F.transform(F.sequence(F.lit(1), F.size("ids") - 1), lambda i: F.struct(F.get("ids", i).alias("newer"), F.get("ids", i - 1).alias("older")))).alias("p")).select("p.newer", "p.older")
-    one = groups.select(F.get("ids", F.lit(0)).alias("first"), "ids", "embedding")
-
-    def signs(batches):
-        for pdf in batches:
-            sizes = pdf["v"].map(len)
-            for dim in sorted(set(sizes)):
-                mine = pdf[sizes == dim]
-                planes = np.random.default_rng([7, dim]).normal(size=(dim, tables * bits))
-                up = (np.stack(mine["v"].tolist()).astype(np.float64) @ planes > 0).reshape(len(mine), tables, bits)
-                key = (up @ (1 << np.arange(bits))).ravel() + (dim << bits)
-                yield pd.DataFrame({"first": np.repeat(mine["first"].to_numpy(), tables), "t": np.tile(np.arange(tables), len(mine)), "k": key})
-
-    keys = one.select("first", F.col("embedding").alias("v")).mapInPandas(signs, "first long, t int, k long")
-    met = keys.join(keys.select(F.col("first").alias("other"), "t", "k"), ["t", "k"]).where("first < other").select("first", "other").distinct()
-    x, y = one.select("first", "ids", F.col("embedding").alias("x")), one.select(F.col("first").alias("other"), F.col("ids").alias("others"), F.col("embedding").alias("y"))
-    near = met.join(x, "first").join(y, "other").where(1 - vectors.cosine(F.col("x"), F.col("y")) <= distance)
-    # Every row goes to the largest smaller id among the rows of the groups near to it.
-    ways = near.select(F.col("ids").alias("a"), F.col("others").alias("b")).unionByName(near.select(F.col("others").alias("a"), F.col("ids").alias("b")))
-    apart = ways.select(F.explode("a").alias("newer"), "b").select("newer", F.array_max(F.filter("b", lambda i: i < F.col("newer"))).alias("older")).where("older is not null")
-    return consolidated(twins.unionByName(apart))

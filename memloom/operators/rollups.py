@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text, vectors, words
-from . import search
+from . import ordered, search
 
 #: Rows below which a store has no rollups; rows of a window; stems and characters of a rollup.
 LEAST_ROWS, WINDOW, STEMS, SUMMARY = 240, 64, 16, 420
@@ -29,14 +29,17 @@ def turns(rows: DataFrame, *, order: str = "id", content: str = "content") -> Da
     rows = rows.withColumn("body", body).withColumn("user_clause", F.when(user != "", user).otherwise(body)).withColumn("date_label", text.date_label(t))
     rule = F.col("category") == "invariant" if "category" in rows.columns else F.lit(False)
     rows = rows.withColumn("directive", F.coalesce(rule | ((user != "") & text.directive(user)), F.lit(False))).withColumn("transition", text.transition(F.col("user_clause")))
-    by = W.partitionBy("session_id").orderBy(order)
-    rows = rows.withColumn("position", F.row_number().over(by) - 1)
+    rows = ordered.running(rows, ["session_id"], [order]).withColumnRenamed("place", "position")
     # A session's rows that stand together in the whole order have one difference of the two numbers.
-    whole = F.row_number().over(W.partitionBy("project").orderBy(order)) if "project" in rows.columns else F.col(order)
-    rows = rows.withColumn("run", whole - F.col("position"))
-    inside = F.row_number().over(W.partitionBy("session_id", "run").orderBy(order)) - 1
-    rows = rows.withColumn("__part", F.floor(inside / WINDOW))
-    return rows.withColumn("window_index", F.dense_rank().over(W.partitionBy("session_id").orderBy("run", "__part")) - 1).drop("__part")
+    if "project" in rows.columns:
+        rows = ordered.running(rows, ["project"], [order]).withColumn("run", F.col("place") + 1 - F.col("position")).drop("place")
+    else:
+        rows = rows.withColumn("run", F.col(order) - F.col("position"))
+    # One line a run: where it starts in its session, and how many windows the session's runs before it fill.
+    runs = rows.groupBy("session_id", "run").agg(F.min("position").alias("start"), F.ceil(F.count("*") / WINDOW).cast("long").alias("windows"))
+    runs = ordered.running(runs, ["session_id"], ["run"], sums={"earlier": "windows"}).select(F.col("session_id").alias("__s"), F.col("run").alias("__r"), "start", "earlier")
+    rows = rows.join(runs, F.col("session_id").eqNullSafe(F.col("__s")) & (F.col("run") == F.col("__r")))
+    return rows.withColumn("window_index", F.col("earlier") + F.floor((F.col("position") - F.col("start")) / WINDOW)).drop("__s", "__r", "start", "earlier")
 
 
 def salience() -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import paths, text, words
-from ..operators import candidates, conflicts, fusion, lineage, nuggets, ranking, relevance, report, scoring, search
+from ..operators import candidates, conflicts, consolidate, fusion, lineage, nuggets, ranking, relevance, report, scoring, search
 from ..operators.index import TermIndex
 from ..sources import imports, staging
 
@@ -161,7 +161,7 @@ class Engine:
 
     def consolidate(self, project: str | None = None, *, distance: float = 0.15) -> DataFrame:
         """(id, superseded_by): active rows that nearly equal rows before them; give them to ``revise`` to apply them."""
-        return conflicts.consolidation(self.state(project).where("status = 'ACTIVE'"), distance=distance)
+        return consolidate.consolidation(self.state(project).where("status = 'ACTIVE'"), distance=distance)
 
     def compiled(self, project: str, *, tokens: int = 2400) -> DataFrame:
         """(project, text, level): the project's state as Markdown."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths, text, vectors, words
-from ..operators import anchoring, blame, candidates, conflicts, diffs, episodes, fusion, graph, lineage, nuggets, ranking, relevance, report, rollups, rules, scoring, search
+from ..operators import anchoring, blame, candidates, conflicts, consolidate, diffs, episodes, fusion, graph, lineage, nuggets, ranking, relevance, report, rollups, rules, scoring, search
 from ..sources import imports, tables
 from ..sources.tables import memories, table, turns
 from . import fixtures as fx
@@ -280,7 +280,7 @@ def found_updates(spark, sf_dir):
 SELECT b.id, max(a.id) AS superseded_by FROM e a JOIN e b ON a.id < b.id AND 1 - list_cosine_similarity(a.v, b.v) <= 0.15 GROUP BY b.id"""
 )
 def consolidated_rows(spark, sf_dir):
-    return conflicts.consolidation(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"))
+    return consolidate.consolidation(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"))
 
 
 # Ranking.

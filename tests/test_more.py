@@ -1,7 +1,7 @@
 import random
 
 from memloom.functions import text
-from memloom.operators import candidates, conflicts, rollups
+from memloom.operators import candidates, conflicts, consolidate, rollups
 from memloom.plans.engine import Engine
 from memloom.sources import imports
 from pyspark.sql import functions as F
@@ -51,7 +51,7 @@ def test_consolidation_equals_brute_force(spark):
     cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
     sound = [(i, v) for i, v in rows if v and max(v) - min(v) > 1e-9]
     want = {j: max(i for i, a in sound if i < j and 1 - cos(a, b) <= 0.15) for j, b in sound if any(i < j and 1 - cos(a, b) <= 0.15 for i, a in sound)}
-    got = {x.id: x.superseded_by for x in conflicts.consolidation(spark.createDataFrame(rows, "id long, embedding array<double>")).collect()}
+    got = {x.id: x.superseded_by for x in consolidate.consolidation(spark.createDataFrame(rows, "id long, embedding array<double>")).collect()}
     assert got == want and len(want) > 50
 
 
