@@ -35,7 +35,6 @@ PIECE, LANES = 2048, 4096
 SEPARATOR, UNKNOWN = 0, 1
 #: A text without any match is ``und``.
 LETTER = r"\p{L}"
-_MODELS: dict = {}
 
 
 def suffix_automaton(strings: list[list[int]]) -> list[dict[int, int]]:
@@ -225,8 +224,8 @@ class CrossParser:
 
 
 def labelled_passages(labelled: DataFrame, passages: int, passage_chars: int, *, key: str, text: str, lang: str) -> dict[str, list[str]]:
-    """At most ``passages`` passages a language, picked by the hash of the key; two steps keep a hot language off one task."""
-    h = F.xxhash64(F.col(key))
+    """At most ``passages`` passages a language, picked by the hash of key and passage; two steps keep a hot language off one task."""
+    h = F.xxhash64(F.col(key), F.substring(text, 1, passage_chars))
     rows = (
         labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(LETTER))
         .select(F.col(lang).alias("lang"), h.alias("h"), F.pmod(h, F.lit(64)).alias("b"), F.substring(text, 1, passage_chars).alias("p"))
@@ -244,17 +243,16 @@ def labelled_passages(labelled: DataFrame, passages: int, passage_chars: int, *,
 
 
 def identify(docs: DataFrame, passages: dict[str, list[str]], *, text: str = "text", into: str = "language") -> DataFrame:
-    """``docs`` with a struct column ``into``: lang, score (1 - best rate / second-best rate, 0 to 1)."""
-    name = str(hash(tuple((k, tuple(v)) for k, v in sorted(passages.items()))))
-    sent = docs.sparkSession.sparkContext.broadcast(passages)
+    """``docs`` with a struct column ``into``: lang, score (1 - best rate / second-best rate, 0 to 1).
+
+    The automata are built once, of a sample of fixed size a language; tasks get their packed tables.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(CrossParser(passages))
 
     @F.pandas_udf("lang string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        if name not in _MODELS:
-            _MODELS.clear()
-            _MODELS[name] = CrossParser(sent.value)
         for texts in batches:
-            lang, score = _MODELS[name].predict(texts.tolist())
+            lang, score = sent.value.predict(texts.tolist())
             yield pd.DataFrame({"lang": lang, "score": score})
 
     return added(docs, into, predict(F.col(text)))

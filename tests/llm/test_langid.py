@@ -82,3 +82,11 @@ def test_sample_is_bounded(spark):
     p = langid.labelled_passages(spark.createDataFrame(rows, SCHEMA), 64, 600, key="doc_id", text="text", lang="lang")
     assert len(p["en"]) == 64 and max(map(len, p["en"])) <= 600
     assert np.isfinite(langid.CrossParser(p).bits).all()
+
+
+def test_rows_of_one_key_or_none_teach_as_many_passages(spark):
+    for key in (None, 7):
+        rows = [(key, f"{lang}word{i} and more of text {i}", lang, None) for i in range(200) for lang in ("en", "fr")]
+        docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+        p = langid.labelled_passages(docs, 64, 600, key="doc_id", text="text", lang="lang")
+        assert {k: len(v) for k, v in p.items()} == {"en": 64, "fr": 64}
