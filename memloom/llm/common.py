@@ -19,11 +19,11 @@ _OPEN: contextvars.ContextVar[list[DataFrame] | None] = contextvars.ContextVar("
 BATCH_BYTES = 16_000_000
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Bound the bytes of Arrow batches, not their rows alone, unless the session sets a bound of its own."""
+def bounded_batches(spark: SparkSession, most: int | None = None) -> None:
+    """Bound the bytes of Arrow batches, not their rows alone: ``most``, or BATCH_BYTES unless the session sets a bound of its own."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(name, "2147483647")) >= 2**31 - 1:
-        spark.conf.set(name, str(BATCH_BYTES))
+    if int(spark.conf.get(name, "2147483647")) > (most or 2**31 - 2):
+        spark.conf.set(name, str(most or BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

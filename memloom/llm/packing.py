@@ -21,8 +21,9 @@ from pyspark.sql import types as T
 
 from .common import written
 
-#: Words a worker remembers with their ids, in each of two generations (about 40 MB each); frequent words move to the new one.
-CACHE_WORDS = 200_000
+#: Words a worker remembers with their ids, in each of two generations (about 20 MB each), and their bytes at most; frequent words move
+#: to the new one, longer words are forgotten after each use.
+CACHE_WORDS, CACHE_BYTES = 100_000, 64
 #: Tokens kept in one stored row; longer documents take several rows, so that no row is unbounded.
 SLAB_TOKENS = 16 * 2048
 #: Words encoded by one call of the tokenizer.
@@ -107,7 +108,11 @@ class Encoder:
                 fresh.append(w)
         self._learn(fresh)
         get = self.new.__getitem__
-        return [b"".join(map(get, words)) for words in lists]
+        out = [b"".join(map(get, words)) for words in lists]
+        for w in fresh:
+            if len(w) > CACHE_BYTES:
+                del self.new[w]
+        return out
 
 
 def encoder(path: str, by_word: bool) -> Encoder:
