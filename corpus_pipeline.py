@@ -14,15 +14,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memloom.llm import decontam, langid, neardup, packing, pii
-from memloom.llm.common import discard, fresh, row_keyed, scratch, table, written
+from memloom.llm.common import bounded_batches, discard, fresh, row_keyed, scratch, table, written
 from memloom.llm.queries import tokenizer_path
 
+#: Bytes of rows that go to a Python worker at once: executors keep the memory of all stages they have run.
+BATCH_BYTES = 4_000_000
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without text or without any letter go; ``lang`` becomes the language found.
 
     Where no document is labelled there is nothing to learn: every document with a letter stays, its ``lang`` null.
     """
+    bounded_batches(spark, BATCH_BYTES)
     found = fresh(docs, "language")
     judged = langid.fit_and_identify(docs, into=found).where((F.col(found)["lang"] != "und") | F.col("text").rlike(langid.LETTER))
     lang = F.when(F.col(found)["lang"] != "und", F.col(found)["lang"]).otherwise(F.col("lang"))
@@ -36,6 +40,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     one that goes stays.  Null ids come last, and of rows of one id in one file the first is taken.  Rows without words
     link with nothing and stay.  Keys of rows are written, never the rows again.
     """
+    bounded_batches(spark, BATCH_BYTES)
     row = fresh(docs, "row")
     rows = row_keyed(docs, row)
     with scratch() as keep:
@@ -51,6 +56,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with at least 5 % of their words inside benchmark windows go; those without words stay."""
+    bounded_batches(spark, BATCH_BYTES)
     found = fresh(docs, "overlap")
     judged = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"), into=found)
     return judged.where(~F.col(found)["contaminated"]).select(docs.columns)
@@ -68,6 +74,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the token windows, with the ids' checksum; one set of pieces a row."""
+    bounded_batches(spark, BATCH_BYTES)
     return packing.pack_digest(docs, tokenizer_path())
 
 
