@@ -41,8 +41,10 @@ def scored(rules: DataFrame, texts: DataFrame, weights: DataFrame | None = None,
     # A name meets the texts that hold its longest run of word signs; the exact check follows.
     core = lambda s: F.reduce(F.split(s, "[^a-z0-9_]+"), F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
     names = r.select("id", F.explode("symbols").alias("symbol")).withColumn("core", core(F.col("symbol")))
-    tokens = texts.select("query_id", low.alias("low"), F.explode(F.array_distinct(F.split(low, "[^a-z0-9_]+"))).alias("core")).where("core != ''")
-    by_name = names.join(tokens, "core").where(text.holds_symbol(F.col("low"), F.col("symbol"))).groupBy("query_id", "id").agg(F.count_distinct("symbol").alias("n_symbols"))
+    cores = texts.select("query_id", F.explode(F.array_distinct(F.split(low, "[^a-z0-9_]+"))).alias("core")).where("core != ''")
+    near = names.join(cores, "core").groupBy("query_id", "id").agg(F.collect_set("symbol").alias("near"))  # at most a rule's own names
+    held = near.join(texts.select("query_id", low.alias("low")), "query_id").withColumn("n_symbols", F.size(F.filter("near", lambda s: text.holds_symbol(F.col("low"), s))))
+    by_name = held.where("n_symbols > 0").select("query_id", "id", F.col("n_symbols").cast("long").alias("n_symbols"))
     n = r.agg(F.count("*").alias("n"))
     each = r.select("id", F.explode("stems").alias("stem"))
     idf = each.groupBy("stem").agg(F.count("*").alias("df")).join(F.broadcast(n)).select("stem", F.log1p(F.col("n") / (1 + F.col("df"))).alias("idf"))

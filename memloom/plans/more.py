@@ -21,6 +21,54 @@ def sql_values(fixture: str) -> str:
     return fixture.replace("STRING", "VARCHAR")
 
 
+# Tables whose rows carry the cue words of the fixtures: each row of a given table takes the fixture's line that its id names.
+# Signs beyond ASCII become blanks, as word boundaries at other letters differ between the two engines.
+ASCII = "regexp_replace(coalesce(text, ''), '[^ -~]+', ' ', 'g')"
+ASKED = f"(SELECT conv_id * 10000 + turn AS query_id, query || ' ' || left({ASCII}, 120) AS query FROM conversations JOIN {sql_values(fx.QUESTIONS).replace('q(query_id', 'q(k')} ON k = (conv_id + turn) % 9 + 1)"
+SPOKEN = f"(SELECT conv_id * 10000 + turn AS id, category, content || ' ' || {ASCII} AS content FROM conversations JOIN {sql_values(fx.TURNS).replace('t(id', 't(k')} ON k = (conv_id + turn) % 9 + 1)"
+PLACED = f"(SELECT page_id AS id, CASE WHEN page_id % 2 = 0 THEN path ELSE 'p' || page_id || '/' || path END AS path FROM pages JOIN {sql_values(fx.PATHS).replace('p(id', 'p(k')} ON k = page_id % 18 + 1)"
+CHANGED = """(SELECT user_id * 100 + event_id % 7 AS id, event_id AS seq, CASE WHEN event_id % 13 = 0 THEN 'delete' WHEN event_id % 11 = 0 THEN 'supersede' WHEN event_id % 9 = 0 THEN 'invalidate' WHEN event_id % 2 = 0 THEN 'update' ELSE 'insert' END AS op,
+CASE WHEN event_id % 13 <> 0 AND event_id % 11 <> 0 AND event_id % 9 <> 0 THEN event_type || ' ' || event_id END AS content, CASE WHEN event_id % 13 <> 0 AND event_id % 11 = 0 THEN user_id * 100 END AS target FROM events)"""
+NOTED = """(SELECT CASE WHEN event_id % 19 = 0 THEN '' ELSE 'key ' || user_id || ' ' || event_type END AS key, event_id AS seq, CASE WHEN event_id % 5 = 0 THEN 'forget' ELSE 'set' END AS op, CASE WHEN event_id % 5 <> 0 THEN 'value ' || event_id END AS value,
+CASE WHEN event_id % 5 <> 0 THEN CASE event_id % 4 WHEN 0 THEN 'project' WHEN 1 THEN 'user' WHEN 2 THEN 'agent' ELSE 'nonsense' END END AS kind FROM events)"""
+BLAMED = f"(SELECT doc_id % 40 AS f, doc_id // 40 + 1 AS line, CASE WHEN doc_id % 7 = 3 THEN repeat('0', 40) ELSE md5(CAST(doc_id // 160 AS VARCHAR)) || '00000000' END AS sha, CASE WHEN doc_id % 7 = 3 THEN 'Not Committed Yet' ELSE CASE (doc_id // 160) % 4 WHEN 0 THEN 'feat: ' WHEN 1 THEN 'docs(x): ' WHEN 2 THEN 'chore: ' ELSE 'plain ' END || source || ' (#' || doc_id // 160 || ')' END AS summary FROM documents)"
+
+
+def ascii_text(c: str = "text"):
+    return F.regexp_replace(F.coalesce(F.col(c), F.lit("")), "[^ -~]+", " ")
+
+
+def asked(spark, sf_dir) -> DataFrame:
+    t = table(spark, sf_dir, "conversations").withColumn("k", ((F.col("conv_id") + F.col("turn")) % 9 + 1).cast("int"))
+    q = values(spark, fx.QUESTIONS).withColumnRenamed("query_id", "k")
+    return t.join(q, "k").select((F.col("conv_id") * 10_000 + F.col("turn")).alias("query_id"), F.concat("query", F.lit(" "), F.substring(ascii_text(), 1, 120)).alias("query"))
+
+
+def spoken(spark, sf_dir) -> DataFrame:
+    t = table(spark, sf_dir, "conversations").withColumn("k", ((F.col("conv_id") + F.col("turn")) % 9 + 1).cast("int"))
+    told = values(spark, fx.TURNS).withColumnRenamed("id", "k")
+    return t.join(told, "k").select((F.col("conv_id") * 10_000 + F.col("turn")).alias("id"), "category", F.concat("content", F.lit(" "), ascii_text()).alias("content"))
+
+
+def placed(spark, sf_dir) -> DataFrame:
+    p = table(spark, sf_dir, "pages").withColumn("k", (F.col("page_id") % 18 + 1).cast("int")).join(values(spark, fx.PATHS).withColumnRenamed("id", "k"), "k")
+    return p.select(F.col("page_id").alias("id"), F.when(F.col("page_id") % 2 == 0, F.col("path")).otherwise(F.concat(F.lit("p"), "page_id", F.lit("/"), "path")).alias("path"))
+
+
+def changed(spark, sf_dir) -> DataFrame:
+    e, i, u = table(spark, sf_dir, "events"), F.col("event_id"), F.col("user_id")
+    op = F.when(i % 13 == 0, "delete").when(i % 11 == 0, "supersede").when(i % 9 == 0, "invalidate").when(i % 2 == 0, "update").otherwise("insert")
+    return e.select((u * 100 + i % 7).alias("id"), i.alias("seq"), op.alias("op"), F.when(op.isin("update", "insert"), F.concat_ws(" ", "event_type", i.cast("string"))).alias("content"), F.when(op == "supersede", u * 100).alias("target"))
+
+
+def noted(spark, sf_dir) -> DataFrame:
+    e, i = table(spark, sf_dir, "events"), F.col("event_id")
+    kind = F.when(i % 4 == 0, "project").when(i % 4 == 1, "user").when(i % 4 == 2, "agent").otherwise("nonsense")
+    told = i % 5 != 0
+    key = F.when(i % 19 == 0, "").otherwise(F.concat_ws(" ", F.lit("key"), F.col("user_id").cast("string"), "event_type"))
+    return e.select(key.alias("key"), i.alias("seq"), F.when(told, "set").otherwise("forget").alias("op"), F.when(told, F.concat(F.lit("value "), i)).alias("value"), F.when(told, kind).alias("kind"))
+
+
 def lists(words_: list[str]) -> str:
     return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words_) + "]"
 
@@ -84,15 +132,16 @@ def evolved_rows(spark, sf_dir):
 
 
 @query(
-    """WITH l AS (SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN 'r' || doc_id END AS remote_id, lang AS content, doc_id % 3 <> 0 AS synced FROM documents WHERE doc_id < 200),
-r AS (SELECT 'r' || doc_id AS remote_id, 'new ' || lang AS content, doc_id FROM documents WHERE doc_id >= 100 AND doc_id < 300 ORDER BY doc_id DESC LIMIT 500),
+    """WITH l AS (SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN 'r' || doc_id END AS remote_id, source || ' ' || lang AS content, doc_id % 3 <> 0 AS synced FROM documents WHERE lang <> 'fr'),
+r AS (SELECT 'r' || doc_id AS remote_id, 'new ' || source || ' ' || lang AS content, doc_id FROM documents WHERE lang <> 'es' ORDER BY doc_id DESC LIMIT 500),
 k AS (SELECT l.id, l.remote_id, CASE WHEN r.content IS NOT NULL AND l.synced THEN r.content ELSE l.content END AS content FROM l LEFT JOIN r USING (remote_id))
 SELECT * FROM k UNION ALL SELECT NULL, remote_id, content FROM r WHERE remote_id NOT IN (SELECT remote_id FROM l WHERE remote_id IS NOT NULL) AND content NOT IN (SELECT content FROM l WHERE content IS NOT NULL)"""
 )
 def pulled_rows(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    own = d.where("doc_id < 200").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("r"), "doc_id")).alias("remote_id"), F.col("lang").alias("content"), F.lit("ACTIVE").alias("status"), (F.col("doc_id") % 3 != 0).alias("synced"))
-    remote = d.where("doc_id >= 100 and doc_id < 300").select(F.concat(F.lit("r"), "doc_id").alias("remote_id"), F.concat(F.lit("new "), "lang").alias("content"), F.lit("ACTIVE").alias("status"), F.col("doc_id").alias("created_at"))
+    """The local copy lacks one language and the remote copy another."""
+    d, i = table(spark, sf_dir, "documents"), F.col("doc_id")
+    own = d.where("lang != 'fr'").select(i.alias("id"), F.when(i % 2 == 0, F.concat(F.lit("r"), i)).alias("remote_id"), F.concat_ws(" ", "source", "lang").alias("content"), F.lit("ACTIVE").alias("status"), (i % 3 != 0).alias("synced"))
+    remote = d.where("lang != 'es'").select(F.concat(F.lit("r"), i).alias("remote_id"), F.concat_ws(" ", F.lit("new"), "source", "lang").alias("content"), F.lit("ACTIVE").alias("status"), i.alias("created_at"))
     return imports.pulled(own, remote).select("id", "remote_id", "content")
 
 
@@ -127,19 +176,19 @@ for _p in text.FILLERS:
     CLEANED = f"regexp_replace({CLEANED}, '{_p}', '', 'gi')"
 
 
-@query(f"WITH c AS (SELECT query_id, query, trim(regexp_replace({CLEANED}, '\\s+', ' ', 'g')) AS clean FROM {sql_values(fx.QUESTIONS)}) SELECT query_id, CASE WHEN clean = '' THEN query ELSE clean END AS clean FROM c")
+@query(f"WITH c AS (SELECT query_id, query, trim(regexp_replace({CLEANED}, '\\s+', ' ', 'g')) AS clean FROM {ASKED}) SELECT query_id, CASE WHEN clean = '' THEN query ELSE clean END AS clean FROM c")
 def cleaned_questions(spark, sf_dir):
-    return values(spark, fx.QUESTIONS).select("query_id", text.clean_query(F.col("query")).alias("clean"))
+    return asked(spark, sf_dir).select("query_id", text.clean_query(F.col("query")).alias("clean"))
 
 
 @query(
-    f"""WITH q AS (SELECT query_id, list_filter(regexp_split_to_array(lower(query), '[^a-z0-9_.-]+'), lambda w: length(w) >= 3 AND NOT list_contains({lists(words.STOP_WORDS)}, w) AND NOT list_contains({lists(words.META_WORDS)}, w)) AS w FROM {sql_values(fx.QUESTIONS)} WHERE query IS NOT NULL),
+    f"""WITH q AS (SELECT query_id, list_filter(regexp_split_to_array(lower(query), '[^a-z0-9_.-]+'), lambda w: length(w) >= 3 AND NOT list_contains({lists(words.STOP_WORDS)}, w) AND NOT list_contains({lists(words.META_WORDS)}, w)) AS w FROM {ASKED} WHERE query IS NOT NULL),
 s AS (SELECT query_id, w FROM q UNION ALL SELECT query_id, list_transform(w, lambda x: {stem_sql("x")}) FROM q),
 p AS (SELECT query_id, w[i] || ' ' || w[i + 1] AS phrase FROM (SELECT query_id, w, unnest(range(1, len(w))) AS i FROM s) UNION SELECT query_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FROM (SELECT query_id, w, unnest(range(1, len(w) - 1)) AS i FROM s))
 SELECT query_id, phrase FROM p"""
 )
 def query_phrases(spark, sf_dir):
-    return values(spark, fx.QUESTIONS).select("query_id", F.explode(text.phrases(F.col("query"))).alias("phrase"))
+    return asked(spark, sf_dir).select("query_id", F.explode(text.phrases(F.col("query"))).alias("phrase"))
 
 
 STRIPPED = "coalesce(content, '')"
@@ -151,23 +200,22 @@ STRIPPED = f"trim(regexp_replace({STRIPPED}, '\\s+', ' ', 'g'))"
 @query(
     f"""SELECT id, try_cast(coalesce(nullif(regexp_extract(content, '(?i)^\\[[^\\]]*\\bSession[\\s_-]*(\\d+)\\b[^\\]]*\\]', 1), ''), nullif(regexp_extract(content, '(?i)\\[[^\\]]*\\bSession[\\s_-]*(\\d+)\\b[^\\]]*\\]', 1), '')) AS BIGINT) AS session_id,
 try_cast(nullif(regexp_extract(content, '(?i)\\bTurn\\s*#\\s*(\\d+)', 1), '') AS BIGINT) AS turn, CASE WHEN NOT regexp_matches(coalesce(trim(regexp_extract(regexp_extract(content, '^\\[([^\\]]+)\\]', 1), '(?i)\\bDate:\\s*([^|\\]]+)', 1)), ''), '(?i)^session\\s+\\d+$') THEN nullif(trim(regexp_extract(regexp_extract(content, '^\\[([^\\]]+)\\]', 1), '(?i)\\bDate:\\s*([^|\\]]+)', 1)), '') END AS date_label,
-{STRIPPED} AS body, coalesce(regexp_matches(content, '(?i){text.DIRECTIVE.replace("'", "''")}'), false) AS directive, coalesce(regexp_matches(content, '(?i){text.TRANSITION.replace("'", "''")}'), false) AS transition FROM {sql_values(fx.TURNS)}"""
+{STRIPPED} AS body, coalesce(regexp_matches(content, '(?i){text.DIRECTIVE.replace("'", "''")}'), false) AS directive, coalesce(regexp_matches(content, '(?i){text.TRANSITION.replace("'", "''")}'), false) AS transition FROM {SPOKEN}"""
 )
 def dialogue_headers(spark, sf_dir):
-    t = values(spark, fx.TURNS)
+    t = spoken(spark, sf_dir)
     c, no = F.col("content"), F.lit(False)
     return t.select("id", text.session(c).alias("session_id"), text.turn_span(c)["first"].alias("turn"), text.date_label(c).alias("date_label"), text.strip_citations(c).alias("body"), F.coalesce(text.directive(c), no).alias("directive"), F.coalesce(text.transition(c), no).alias("transition"))
 
 
 @query(
-    f"""WITH c AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+    f"""WITH c AS (SELECT doc_id, {ASCII} AS t FROM documents),
 m AS (SELECT doc_id, list_concat(list_concat(list_filter(list_transform(regexp_extract_all(t, '{text.TAG_PATTERNS[0]}'), lambda w: lower(w)), lambda w: length(w) >= 3), list_transform(regexp_extract_all(t, '{text.TAG_PATTERNS[1]}'), lambda w: lower(w))), regexp_extract_all(lower(t), '{text.TAG_PATTERNS[2]}')) AS a FROM c),
 f AS (SELECT doc_id, list_filter(a, lambda w: NOT list_contains({lists(text.TAG_STOP_WORDS)}, w)) AS a FROM m)
-SELECT doc_id AS id, array_to_string(list_filter(a, lambda x, i: list_position(a, x) = i)[1:5], ' ') AS tags FROM f WHERE regexp_full_match((SELECT t FROM c WHERE c.doc_id = f.doc_id LIMIT 1), '[\\x00-\\x7F]*')"""
+SELECT doc_id AS id, array_to_string(list_filter(a, lambda x, i: list_position(a, x) = i)[1:5], ' ') AS tags FROM f"""
 )
 def heuristic_tags(spark, sf_dir):
-    """ASCII texts: word boundaries of other letters differ between the two engines."""
-    d = memories(spark, sf_dir).where(F.coalesce("content", F.lit("")).rlike(r"^[\x00-\x7F]*$"))
+    d = memories(spark, sf_dir).withColumn("content", ascii_text("content"))
     return d.select("id", F.array_join(text.heuristic_tags(F.col("content")), " ").alias("tags"))
 
 
@@ -185,24 +233,24 @@ def chunk_windows(spark, sf_dir):
     """SELECT id, sensitive, prose, clean FROM (SELECT id, path, coalesce(list_contains(['credentials.json', 'id_ed25519', 'id_ecdsa', 'id_dsa', '.env'], b) OR (starts_with(b, '.env.') AND NOT regexp_matches(b, '\\.(example|sample|template|schema|dist)$')) OR starts_with(b, 'id_rsa') OR suffix(b, '.pem') OR suffix(b, '.key'), true) AS sensitive,
 coalesce(regexp_matches(b, '\\.(md|mdx|markdown|txt|rst|adoc)$') OR b IN ('package-lock.json', 'uv.lock') OR suffix(b, '.lock') OR regexp_matches(b, '^(readme|licen[sc]e|changelog)$') OR (regexp_matches(b, '^(readme|licen[sc]e|changelog)([-.].+)?$') AND NOT regexp_matches(b, '\\.[a-z][a-z0-9]*$')), true) AS prose,
 CASE WHEN path NOT IN ('/dev/null') AND NOT regexp_matches('/' || r || '/', '/(\\.|\\.\\.|)/') THEN r END AS clean FROM (SELECT *, lower(split_part(path, '/', -1)) AS b, regexp_replace(regexp_replace(regexp_replace(path, '^[ab]/', ''), '^(\\./)+', ''), '^/+', '') AS r FROM """
-    + sql_values(fx.PATHS)
+    + PLACED
     + "))"
 )
 def path_checks(spark, sf_dir):
-    p = values(spark, fx.PATHS)
+    p = placed(spark, sf_dir)
     return p.select("id", paths.sensitive(F.col("path")).alias("sensitive"), paths.prose_or_generated(F.col("path")).alias("prose"), paths.relative(F.col("path")).alias("clean"))
 
 
 @query(
     """WITH p AS (SELECT id, coalesce(path, '') AS path, CASE WHEN id % 3 = 0 THEN 'about Loom and projects/other' WHEN id % 3 = 1 THEN 'see projects/other/x' ELSE 'nothing' END AS t FROM """
-    + sql_values(fx.PATHS)
+    + PLACED
     + """), s AS (SELECT *, lower(regexp_extract(regexp_replace(path, '^\\./', ''), '(?i)^projects/([^/]+)/', 1)) AS sib FROM p)
 SELECT id, CASE WHEN sib <> '' THEN CASE WHEN sib = 'loom' THEN 3 ELSE 0 END WHEN regexp_matches(regexp_replace(path, '^\\./', ''), '(?i)^(src|bin|tests|benchmarks|db|docs|templates|scripts)/') THEN 3 WHEN contains(lower(t), 'loom') THEN 2 WHEN contains(t, 'projects/other') THEN 0 ELSE 1 END AS affinity,
 NOT (sib <> '' AND sib <> 'loom') AND (contains(lower(t), 'loom') OR NOT contains(t, 'projects/other')) AS in_scope FROM s"""
 )
 def project_affinity(spark, sf_dir):
     t = F.when(F.col("id") % 3 == 0, "about Loom and projects/other").when(F.col("id") % 3 == 1, "see projects/other/x").otherwise("nothing")
-    return values(spark, fx.PATHS).withColumn("t", t).select("id", paths.affinity(F.col("path"), F.col("t"), "loom").cast("int").alias("affinity"), paths.in_scope(F.col("path"), F.col("t"), "loom").alias("in_scope"))
+    return placed(spark, sf_dir).withColumn("t", t).select("id", paths.affinity(F.col("path"), F.col("t"), "loom").cast("int").alias("affinity"), paths.in_scope(F.col("path"), F.col("t"), "loom").alias("in_scope"))
 
 
 @query(
@@ -258,21 +306,11 @@ def lineage_histories(spark, sf_dir):
 
 
 @query(
-    f"""WITH c AS (SELECT * FROM {sql_values(fx.CHANGES)}), l AS (SELECT id, max_by(op, seq) AS op FROM c GROUP BY id)
+    f"""WITH c AS (SELECT * FROM {CHANGED}), l AS (SELECT id, max_by(op, seq) AS op FROM c GROUP BY id)
 SELECT l.id, (SELECT max_by(content, seq) FROM c WHERE c.id = l.id AND op IN ('insert', 'update')) AS content, CASE op WHEN 'supersede' THEN 'SUPERSEDED' WHEN 'invalidate' THEN 'INVALIDATED' ELSE 'ACTIVE' END AS status, (SELECT max_by(target, seq) FROM c WHERE c.id = l.id AND op = 'supersede') AS superseded_by FROM l WHERE op <> 'delete'"""
 )
 def folded_state(spark, sf_dir):
-    return lineage.current(values(spark, fx.CHANGES))
-
-
-@query("SELECT * FROM (VALUES (1, 1, 2, 'polarity_contradiction'), (1, 3, 4, 'value_contradiction'), (2, 7, 8, 'polarity_contradiction')) AS t(query_id, older, newer, conflict_type)")
-def found_conflicts(spark, sf_dir):
-    return conflicts.conflicts(values(spark, fx.RULES)).select("query_id", "older", "newer", "conflict_type")
-
-
-@query("SELECT * FROM (VALUES (1, 4, 3)) AS t(query_id, newer, older)")
-def found_updates(spark, sf_dir):
-    return conflicts.updates(values(spark, fx.RULES)).select("query_id", "newer", "older")
+    return lineage.current(changed(spark, sf_dir))
 
 
 @query(
@@ -395,12 +433,12 @@ def suppressed_pools(spark, sf_dir):
 
 
 @query(
-    f"""WITH q AS (SELECT query_id, unnest(a) AS term FROM (SELECT query_id, list_distinct(a) AS a FROM (SELECT query_id, {minus("a", words.GENERIC_WORDS)} AS a FROM (SELECT query_id, {minus("a", words.META_WORDS)} AS a FROM (SELECT query_id, {minus("a", words.TEMPORAL_CUES)} AS a FROM (SELECT query_id, {TERMS.replace("text", "query")} AS a FROM {sql_values(fx.QUESTIONS)} WHERE query IS NOT NULL)))))),
-h AS (SELECT DISTINCT unnest({STEMMED.replace("text", "content")}) AS s FROM {sql_values(fx.TURNS)})
+    f"""WITH q AS (SELECT query_id, unnest(a) AS term FROM (SELECT query_id, list_distinct(a) AS a FROM (SELECT query_id, {minus("a", words.GENERIC_WORDS)} AS a FROM (SELECT query_id, {minus("a", words.META_WORDS)} AS a FROM (SELECT query_id, {minus("a", words.TEMPORAL_CUES)} AS a FROM (SELECT query_id, {TERMS.replace("text", "query")} AS a FROM {ASKED} WHERE query IS NOT NULL)))))),
+h AS (SELECT DISTINCT unnest({STEMMED.replace("text", "content")}) AS s FROM {SPOKEN})
 SELECT query_id, term FROM q WHERE {stem_sql("term")} NOT IN (SELECT s FROM h)"""
 )
 def unattested_terms(spark, sf_dir):
-    return candidates.unattested(values(spark, fx.QUESTIONS).where("query is not null"), values(spark, fx.TURNS))
+    return candidates.unattested(asked(spark, sf_dir).where("query is not null"), spoken(spark, sf_dir))
 
 
 # Rollups, vectors, nuggets, reports.
@@ -467,18 +505,9 @@ def hashed_vectors(spark, sf_dir):
     return v.select("id", F.get("v", F.lit(0)).alias("first"), F.get("v", F.lit(7)).alias("last"))
 
 
-@query(f"SELECT key, max_by(value, seq) AS value, max_by(kind, seq) AS kind FROM {sql_values(fx.NUGGETS)} WHERE key <> '' AND (op = 'forget' OR kind IN ('project', 'user', 'agent')) GROUP BY key HAVING max_by(op, seq) <> 'forget'")
+@query(f"SELECT key, max_by(value, seq) AS value, max_by(kind, seq) AS kind FROM {NOTED} WHERE key <> '' AND (op = 'forget' OR kind IN ('project', 'user', 'agent')) GROUP BY key HAVING max_by(op, seq) <> 'forget'")
 def current_nuggets(spark, sf_dir):
-    return nuggets.current(values(spark, fx.NUGGETS))
-
-
-@query(
-    f"""WITH n AS (SELECT * FROM (VALUES ('color', 'the export queue is green'), ('owner', 'maria owns the parser')) AS n(key, value)), q AS (SELECT * FROM (VALUES (1, 'export queue is green'), (2, 'which parser tests fail on unicode export input'), (3, '*'), (4, 'nothing known')) AS q(query_id, query))
-SELECT query_id, key, score FROM (VALUES (1, 'color', 0.88), (3, 'color', 0.85), (3, 'owner', 0.85)) AS t(query_id, key, score)"""
-)
-def scored_nuggets(spark, sf_dir):
-    q = spark.createDataFrame([(1, "export queue is green"), (2, "which parser tests fail on unicode export input"), (3, "*"), (4, "nothing known")], "query_id int, query string")
-    return nuggets.scored(nuggets.current(values(spark, fx.NUGGETS)), q)
+    return nuggets.current(noted(spark, sf_dir))
 
 
 @query(
@@ -539,45 +568,22 @@ def pattern_findings(spark, sf_dir):
     return rules.pattern_findings(a, [("one", "1"), ("two", "2"), ("three", "3")])
 
 
-PORCELAIN = f"(SELECT 'src/queue.py' AS file, string_agg(sha || ' ' || line || ' ' || line || chr(10) || 'author x' || chr(10) || 'summary ' || summary, chr(10) ORDER BY line) AS porcelain FROM {sql_values(fx.BLAME)})"
-
-
-@query(f"SELECT 'src/queue.py' AS file, sha, line, summary, regexp_matches(summary, '(?i)^(style|docs|chore|ci|build|test)(\\([^)]*\\))?!?:\\s') AS mechanical, regexp_extract(summary, '\\(#(\\d+)\\)\\s*$', 1) AS prs FROM {sql_values(fx.BLAME)} WHERE NOT regexp_matches(sha, '^0+$')")
+@query(f"SELECT 'src/' || f || '.py' AS file, sha, line, summary, regexp_matches(summary, '(?i)^(style|docs|chore|ci|build|test)(\\([^)]*\\))?!?:\\s') AS mechanical, regexp_extract(summary, '\\(#(\\d+)\\)\\s*$', 1) AS prs FROM {BLAMED} WHERE NOT regexp_matches(sha, '^0+$')")
 def blamed_lines(spark, sf_dir):
-    return blamed(spark).withColumn("prs", F.array_join("prs", ","))
+    return blamed(spark, sf_dir).withColumn("prs", F.array_join("prs", ","))
 
 
-def blamed(spark) -> DataFrame:
-    lines = values(spark, fx.BLAME).withColumn("t", F.concat_ws("\n", F.concat_ws(" ", "sha", "line", "line"), F.lit("author x"), F.concat(F.lit("summary "), "summary")))
+def blamed(spark, sf_dir) -> DataFrame:
+    """Files of porcelain text: the lines of file f are the documents whose id leaves f, of one commit for each 160 documents."""
+    i = F.col("doc_id")
+    commit, gone = F.floor(i / 160), i % 7 == 3
+    kind = F.when(commit % 4 == 0, "feat: ").when(commit % 4 == 1, "docs(x): ").when(commit % 4 == 2, "chore: ").otherwise("plain ")
+    sha = F.when(gone, F.lit("0" * 40)).otherwise(F.concat(F.md5(commit.cast("string")), F.lit("00000000")))
+    summary = F.when(gone, "Not Committed Yet").otherwise(F.concat(kind, F.col("source"), F.lit(" (#"), commit, F.lit(")")))
+    lines = table(spark, sf_dir, "documents").select((i % 40).alias("f"), (F.floor(i / 40) + 1).alias("line"), sha.alias("sha"), summary.alias("summary"))
+    lines = lines.withColumn("t", F.concat_ws("\n", F.concat_ws(" ", "sha", "line", "line"), F.lit("author x"), F.concat(F.lit("summary "), "summary")))
     one = lines.groupBy("f").agg(F.array_sort(F.collect_list(F.struct("line", "t"))).alias("a"))
-    return blame.blamed(one.select(F.lit("src/queue.py").alias("file"), F.array_join(F.transform("a", lambda x: x["t"]), "\n").alias("porcelain")))
-
-
-@query("SELECT * FROM (VALUES (1, 'Blame src/queue.py#L10-L11,L15 @ aaaaaaa'), (2, 'Blame src/queue.py#L10-L11,L15 @ aaaaaaa'), (3, 'Blame src/queue.py#L12-L14')) AS t(id, citation)")
-def attributed_memories(spark, sf_dir):
-    rows = [(1, "ACTIVE", "limits set in commit aaaaaaa111", None, None, None, None, None), (2, "ACTIVE", "limits", None, None, None, None, "#12"), (3, "ACTIVE", "span", "queue.py", 12, 14, None, None), (4, "SUPERSEDED", "commit aaaaaaa1111", None, None, None, None, None), (5, "ACTIVE", "typo", None, None, None, None, "13"), (6, "ACTIVE", "far", "queue.py", 90, 95, None, None)]
-    m = spark.createDataFrame(rows, "id int, status string, content string, file string, start_line long, end_line long, commit string, pr string")
-    h = spark.createDataFrame([("src/queue.py", 10, 20)], "file string, first long, last long")
-    return blame.attributed(m, blamed(spark), h)
-
-
-@query(
-    """SELECT * FROM (VALUES (1, 'We cap the queue because unbounded writers broke the exporter.'), (2, NULL), (3, 'Retries are now bounded, so that a dead worker frees its slot.')) AS t(id, why)"""
-)
-def commit_reasons(spark, sf_dir):
-    rows = [(1, "feat: queue limits", "We cap the queue because unbounded writers broke the exporter.\n\nSigned-off-by: x"), (2, "build: bump", "Bumps [lib] from 1.0 to 2.0 because it is old and nobody likes it."), (3, "fix: retries", "Fixes #12\n\n- Retries are now bounded, so that a dead worker frees its slot.\n- Why not?")]
-    return spark.createDataFrame(rows, "id int, subject string, body string").select("id", blame.rationale("subject", "body").alias("why"))
-
-
-@query(
-    """SELECT * FROM (VALUES (1, 1, 1), (2, 2, 0)) AS t(query_id, id, symbols)"""
-)
-def relevant_rules(spark, sf_dir):
-    r = [(1, "blocker", "Never call `flush_all` inside the exporter"), (2, "invariant", "ledger snapshots precede replication checkpoints"), (3, "decision", "palette stays monochrome"), (4, "bug", "ledger snapshots")]
-    q = [(1, "we now call flush_all() when done"), (2, "replication of ledger snapshots and checkpoints precede nothing")]
-    w = [(4, 0.1), (1, 0.8)]
-    got = relevance.scored(spark.createDataFrame(r, "id int, category string, content string"), spark.createDataFrame(q, "query_id int, query string"), spark.createDataFrame(w, "id int, weight double"))
-    return got.select("query_id", "id", "symbols")
+    return blame.blamed(one.select(F.concat(F.lit("src/"), "f", F.lit(".py")).alias("file"), F.array_join(F.transform("a", lambda x: x["t"]), "\n").alias("porcelain")))
 
 
 @query(
