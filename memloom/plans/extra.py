@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import condense as condensing
 from ..functions import text, words
-from ..operators import blame, code, conflicts, grounding, nuggets, payload, reasons, relevance, snippets
-from ..functions.condense import condensed
+from ..operators import blame, code, conflicts, grounding, nuggets, payload, reasons, relevance, search, snippets
 from ..sources.tables import table
 from .more import ASCII, BLAMED, TERMS, ascii_text, blamed, lists, minus
 from .queries import QUERIES, SQL, STEMMED, query, stem_sql  # noqa: F401
@@ -255,3 +255,115 @@ def stripped_scripts(spark, sf_dir):
 @query(f"WITH s AS (SELECT id, {SOURCE} AS t FROM {SCRIPTS}) SELECT id, length(regexp_extract(t, '(?s)^(.*)fetch\\(a\\)', 1)) - length(replace(regexp_extract(t, '(?s)^(.*)fetch\\(a\\)', 1), chr(10), '')) + 1 AS line FROM s WHERE regexp_matches(t, 'useEffect\\(\\(\\) => \\{{\\n fetch\\(')")
 def effects_with_calls(spark, sf_dir):
     return code.calls_inside(scripts(spark, sf_dir))
+
+
+# Answers.
+
+_BLOCK = "(?s)```([\\w-]*)\\n(.*?)```"
+#: Turns that both sides take up, with dates, headings, lists and code.
+DIALOGUE = f"""(SELECT conv_id * 10000 + turn AS id, CASE conv_id % 4 WHEN 0 THEN 240 WHEN 1 THEN 420 WHEN 2 THEN 680 ELSE 0 END AS most, '[Session ' || conv_id || ' | Turn #' || turn || '] USER: ' || CASE WHEN conv_id % 3 = 0 THEN '- **Plan** March 12 (draft)' || chr(10) ELSE '' END || {LINES} || CASE WHEN conv_id % 3 = 0 THEN chr(10) || '* May 5 review' ELSE '' END
+|| ' | ASSISTANT: ' || CASE WHEN turn % 2 = 0 THEN '# Heading **one**' || chr(10) || '- Point one' || chr(10) || '2. point two' || chr(10) ELSE '' END || {LINES} || chr(10) || '```py' || chr(10) || 'def f():' || chr(10) || ' x = 1' || chr(10) || '```' || chr(10) || 'Due December 3' AS content FROM conversations)"""
+
+
+def dialogue(spark, sf_dir) -> DataFrame:
+    t, c = table(spark, sf_dir, "conversations"), F.col("conv_id")
+    say = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    lines = F.regexp_replace(F.coalesce("text", F.lit("")), "[^ -~\n]+", " ")
+    dated = c % 3 == 0
+    head = F.when(F.col("turn") % 2 == 0, "# Heading **one**\n- Point one\n2. point two\n").otherwise("")
+    content = say("[Session ", c, " | Turn #", F.col("turn"), "] USER: ", F.when(dated, "- **Plan** March 12 (draft)\n").otherwise(""), lines, F.when(dated, "\n* May 5 review").otherwise(""), " | ASSISTANT: ", head, lines, "\n```py\ndef f():\n x = 1\n```\nDue December 3")
+    most = F.when(c % 4 == 0, 240).when(c % 4 == 1, 420).when(c % 4 == 2, 680).otherwise(0)
+    return t.select((c * 10_000 + F.col("turn")).alias("id"), most.alias("most"), content.alias("content"))
+
+
+def signed(x: str, most: int) -> str:
+    lines = f"list_filter(list_transform(string_split(regexp_extract_all({x}, '{_BLOCK}', 2)[i], chr(10)), lambda y: trim(y)), lambda y: regexp_matches(y, '{condensing.SIGNATURE}'))[1:{most}]"
+    label = f"CASE WHEN regexp_extract_all({x}, '{_BLOCK}', 1)[i] <> '' THEN regexp_extract_all({x}, '{_BLOCK}', 1)[i] || ' code' ELSE 'code' END"
+    told = f"CASE WHEN i > len(regexp_extract_all({x}, '{_BLOCK}')) THEN '' WHEN len({lines}) > 0 THEN '[' || {label} || ': ' || array_to_string({lines}, '; ') || ']' ELSE '[' || {label} || ' block]' END"
+    return f"array_to_string(list_transform(range(1, len(regexp_split_to_array({x}, '{_BLOCK}')) + 1), lambda i: regexp_split_to_array({x}, '{_BLOCK}')[i] || {told}), '')"
+
+
+_CLEAN = "content"
+for _p in text.BOILERPLATE:
+    _CLEAN = f"regexp_replace({_CLEAN}, '{_p}', '', 'g')"
+_FIRST = f"(regexp_matches(y, '{condensing.DATE}') OR regexp_matches(y, '{condensing.HEADING}'))"
+_LISTED = f"regexp_matches(y, '{condensing.LISTED}')"
+
+
+@query(
+    f"""WITH c AS (SELECT id, most, {_CLEAN} AS t FROM {DIALOGUE}), s AS (SELECT *, regexp_extract(t, '{condensing.TURN}', 1) AS prefix, regexp_extract(t, '{condensing.TURN}', 2) AS u, regexp_extract(t, '{condensing.TURN}', 3) AS a FROM c),
+b AS (SELECT *, CAST(floor(greatest(80, most - length(prefix) - 15) * CASE WHEN most <= 260 THEN 0.68 ELSE 0.62 END) AS INT) AS ub, greatest(80, most - length(prefix) - 15) AS room FROM s),
+d AS (SELECT *, greatest(30, room - ub) AS ab, CASE WHEN most <= 360 THEN regexp_replace(u, '(?s)```.*?```', ' ', 'g') ELSE {signed('u', 5)} END AS said, list_filter(list_transform(string_split({signed('a', 4)}, chr(10)), lambda y: trim(y)), lambda y: y <> '') AS l FROM b),
+e AS (SELECT *, trim(regexp_replace(said, '\\s+', ' ', 'g')) AS flat, list_filter(list_transform(string_split(said, chr(10)), lambda y: regexp_replace(regexp_replace(regexp_replace(trim(y), '^[-*]\\s*', ''), '\\*\\*', '', 'g'), '\\s*\\([^)]*\\)', '', 'g')), lambda y: regexp_matches(y, '{condensing.DATE}')) AS dates,
+  list_concat(list_concat(list_filter(l, lambda y: {_FIRST})[1:14], list_filter(l, lambda y: NOT {_FIRST} AND {_LISTED})[1:12]), list_filter(l, lambda y: NOT {_FIRST} AND NOT {_LISTED})[1:3]) AS kept FROM d),
+f AS (SELECT *, array_to_string(dates, ' | ') AS dated, CAST(floor(ub * 0.78) AS INT) AS h, CAST(floor(ub * 0.18) AS INT) AS z FROM e)
+SELECT id, CASE WHEN most <= 0 OR length(t) <= most THEN t ELSE prefix || CASE WHEN length(flat) <= ub THEN flat WHEN len(dates) >= 2 AND ub >= 220 THEN CASE WHEN ub - length(dated) - 3 >= 16 THEN left(flat, ub - length(dated) - 3) || ' | ' || dated ELSE right(dated, ub) END ELSE left(flat, h) || ' ... ' || right(flat, z) END
+  || ' | ASSISTANT: ' || left(trim(regexp_replace(array_to_string(list_transform(kept, lambda y: regexp_replace(regexp_replace(y, '^#{{1,6}}\\s*', ''), '\\*\\*', '', 'g')), ' | '), '\\s{{2,}}', ' ', 'g')), ab) END AS content FROM f"""
+)
+def condensed_turns(spark, sf_dir):
+    return dialogue(spark, sf_dir).select("id", condensing.condensed(F.col("content"), F.col("most")).alias("content"))
+
+
+#: Questions of a few of a benchmark item's words and one that no turn holds, with a cosine of their own.
+TELLING = f"(SELECT item_id AS query_id, list_concat(list_filter(a, lambda w, i: list_position(a, w) = i AND NOT list_contains({lists(words.STOP_WORDS)}, w))[1:4], ['zyx' || item_id]) AS terms, 0.30 + item_id % 5 / 20.0 AS raw FROM (SELECT item_id, regexp_extract_all(lower({ASCII}), '[a-z]{{4,}}') AS a FROM benchmark))"
+
+
+@query(
+    f"""WITH t AS (SELECT conv_id * 10000 + turn AS id, conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, conv_id * 10000 + turn) AS k, {ASCII} AS text FROM conversations), w AS (SELECT id, conv_id, turn, k, list_distinct({STEMMED}) AS s FROM t), n AS (SELECT count(*) AS n FROM t),
+q AS (SELECT query_id, raw, list_distinct(list_transform(terms, lambda x: x)) AS u, terms, list_transform(terms, lambda x: {stem_sql('x')}) AS st FROM {TELLING}), qs AS (SELECT *, list_distinct(st) AS ds FROM q),
+h AS (SELECT query_id, id, conv_id, turn, k, list_intersect(ds, s) AS got FROM qs, w),
+v AS (SELECT query_id, id, got, list_distinct(list_concat(list_concat(got, CASE WHEN turn - lag(turn) OVER o <= 1 THEN lag(got) OVER o ELSE [] END), CASE WHEN lead(turn) OVER o - turn <= 1 THEN lead(got) OVER o ELSE [] END)) AS win FROM h WINDOW o AS (PARTITION BY query_id, conv_id ORDER BY k)),
+j AS (SELECT query_id, max(len(win)) AS k FROM v GROUP BY query_id), df AS (SELECT query_id, stem, count(*) AS df FROM (SELECT query_id, unnest(got) AS stem FROM h) GROUP BY ALL),
+p AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY len(got) DESC, id) AS rank FROM h WHERE len(got) > 0), pk AS (SELECT * FROM p WHERE rank <= 5), fr AS (SELECT query_id, stem, min(rank) AS rank FROM (SELECT query_id, rank, unnest(got) AS stem FROM pk JOIN h USING (query_id, id)) GROUP BY ALL),
+e AS (SELECT query_id, term, {stem_sql('term')} AS stem, pos FROM (SELECT query_id, unnest(terms) AS term, generate_subscripts(terms, 1) AS pos FROM q)),
+a AS (SELECT e.*, coalesce(df, 0) AS df, rank FROM e LEFT JOIN df USING (query_id, stem) LEFT JOIN fr USING (query_id, stem)),
+pool0 AS (SELECT *, df <= greatest(3, (SELECT n FROM n) * 0.4) AS rare, bool_or(df <= greatest(3, (SELECT n FROM n) * 0.4)) OVER (PARTITION BY query_id) AS any_rare FROM a WHERE df >= 1 AND rank IS NOT NULL), pool AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY df, rank, -length(term), pos) AS o FROM pool0 WHERE rare OR NOT any_rare),
+sh AS (SELECT DISTINCT query_id, x AS stem, y AS other FROM (SELECT query_id, x, unnest(win) AS y FROM (SELECT query_id, win, unnest(win) AS x FROM v))),
+f1 AS (SELECT * FROM pool WHERE o = 1), f2 AS (SELECT query_id, min_by(stem, o) AS stem FROM pool WHERE rank = 1 GROUP BY query_id),
+pr AS (SELECT f1.query_id, CASE WHEN f1.rank > 1 AND f2.stem IS NOT NULL AND f2.stem <> f1.stem AND NOT EXISTS (SELECT 1 FROM sh WHERE sh.query_id = f1.query_id AND sh.stem = f1.stem AND sh.other = f2.stem) THEN f2.stem ELSE f1.stem END AS one FROM f1 LEFT JOIN f2 USING (query_id)),
+se AS (SELECT pr.query_id, min_by(pool.stem, pool.o) AS two FROM pr JOIN pool USING (query_id) JOIN sh ON sh.query_id = pr.query_id AND sh.stem = pr.one AND sh.other = pool.stem WHERE pool.stem <> pr.one GROUP BY pr.query_id),
+pa AS (SELECT pr.query_id, one, CASE WHEN len(ds) >= 3 AND (SELECT count(*) FROM pool WHERE pool.query_id = pr.query_id) >= 2 THEN two END AS two FROM pr JOIN qs USING (query_id) LEFT JOIN se USING (query_id)),
+ul AS (SELECT a.query_id, count(DISTINCT a.stem) AS n FROM a JOIN pa USING (query_id) WHERE length(term) >= 4 AND df >= 1 AND a.stem <> one AND a.stem IS DISTINCT FROM two AND NOT EXISTS (SELECT 1 FROM sh WHERE sh.query_id = a.query_id AND sh.stem = a.stem AND (sh.other = one OR sh.other = two)) GROUP BY ALL),
+g AS (SELECT query_id, count(DISTINCT stem) FILTER (df >= 1 AND rank IS NOT NULL) AS na, count(DISTINCT stem) FILTER (length(term) >= 4 AND df = 0) AS nu FROM a GROUP BY query_id),
+z AS (SELECT qs.query_id, raw, len(ds) AS stems, coalesce(k, 0) / len(ds) AS joint, na, nu, coalesce(ul.n, 0) AS nl, CASE WHEN n.n >= 50 THEN least(3.5, log10(n.n / 25.0)) ELSE 0 END AS sc FROM qs JOIN j USING (query_id) JOIN g USING (query_id) LEFT JOIN ul USING (query_id), n)
+SELECT query_id, round(joint, 4) AS joint, na AS anchors, nu AS unattested, nl AS unlinked, CASE WHEN stems >= 3 AND raw < 0.42 + 0.032 * sc AND ((na = 0 AND joint <= 0.25) OR (nu >= 2 AND joint <= 0.34)) THEN 'UNSUPPORTED' WHEN na >= 1 AND raw < 0.50 + 0.045 * sc AND joint < 0.65 AND (nu >= 1 OR nl >= 1) THEN 'UNATTESTED_ATTRIBUTE' ELSE 'GROUNDED' END AS status FROM z"""
+)
+def attribute_grounding(spark, sf_dir):
+    """Questions against all turns; the five turns that hold most of a question's stems stand for its answer."""
+    t, b = table(spark, sf_dir, "conversations"), table(spark, sf_dir, "benchmark")
+    turn = F.col("turn").cast("long")
+    rows = t.select((F.col("conv_id") * 10_000 + turn).alias("id"), F.col("conv_id").alias("session_id"), turn.alias("first"), turn.alias("last"), ascii_text().alias("content"))
+    own = F.filter(F.array_distinct(F.regexp_extract_all(F.lower(ascii_text()), F.lit("[a-z]{4,}"), F.lit(0))), lambda w: ~w.isin(*words.STOP_WORDS))
+    asked = b.select(F.col("item_id").alias("query_id"), F.concat(F.slice(own, 1, 4), F.array(F.concat(F.lit("zyx"), "item_id"))).alias("terms"), (0.30 + F.col("item_id") % 5 / 20.0).alias("raw"))
+    stems = asked.select("query_id", F.explode(F.array_distinct(F.transform("terms", words.stem))).alias("stem"))
+    hits = rows.select("id", F.explode(words.stems(F.col("content"))).alias("stem")).join(stems, "stem").groupBy("query_id", "id").agg(F.count("*").alias("score"))
+    packed = search.best(hits, "score", 5, "id")
+    got = grounding.grounded(rows, asked, packed)
+    kinds = lambda c: F.size(F.array_distinct(F.transform(c, words.stem))).cast("long").alias(c)
+    return got.select("query_id", "joint", kinds("anchors"), kinds("unattested"), kinds("unlinked"), "status")
+
+
+#: Each source's documents as the entries of an answer; what stands around them has a length of its own.
+HEADS = "(SELECT source, 'what does ' || source || ' hold' AS query, CASE count(*) % 3 WHEN 0 THEN 400 WHEN 1 THEN 900 ELSE 2500 END AS budget, count(*) AS n, repeat('state of it. ', CAST(count(*) % 40 AS INT)) AS state, repeat('then this. ', CAST(count(*) % 20 AS INT)) AS timeline, repeat('a note. ', CAST(count(*) % 30 AS INT)) AS note FROM documents GROUP BY source)"
+
+
+@query(
+    f"""WITH h AS (SELECT * FROM {HEADS}), d AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k, '### [MEMORY] #' || doc_id || ' (Score: 50.0%)' || chr(10) || trim(left({ASCII}, 1 + doc_id % 400)) || chr(10) || chr(10) || '---' || chr(10) AS e FROM documents),
+u AS (SELECT *, sum(CAST(ceil(length(e) / 4.0) AS BIGINT)) OVER (PARTITION BY source ORDER BY doc_id) AS used FROM d), p AS (SELECT u.* FROM u JOIN h USING (source) WHERE used <= budget),
+c AS (SELECT h.*, coalesce(m, 0) AS m, sums FROM h LEFT JOIN (SELECT source, count(*) AS m, list_prepend(0, list(total ORDER BY k)) AS sums FROM (SELECT source, k, sum(length(e)) OVER (PARTITION BY source ORDER BY k) AS total FROM p) GROUP BY source) USING (source)),
+x AS (SELECT *, length(state) + length('# Context for "' || query || '"' || chr(10) || '**Status**: SUPPORTED | **Items**: ' || ' / ' || n || chr(10) || chr(10)) + length(note) AS fixed FROM c),
+t AS (SELECT *, CAST(ceil((fixed + length(CAST(m AS VARCHAR)) + length(timeline) + coalesce(sums[m + 1], 0)) / 4.0) AS BIGINT) > budget AND timeline <> '' AS late FROM x),
+f AS (SELECT *, CASE WHEN late THEN 0 ELSE length(timeline) END AS tl FROM t),
+g AS (SELECT *, CASE WHEN CAST(ceil((fixed + length(CAST(m AS VARCHAR)) + tl + coalesce(sums[m + 1], 0)) / 4.0) AS BIGINT) <= budget OR m <= 1 THEN m ELSE coalesce(list_max(list_filter(range(1, m + 1), lambda i: CAST(ceil((fixed + length(CAST(i AS VARCHAR)) + tl + sums[i + 1]) / 4.0) AS BIGINT) <= budget)), 1) END AS kept FROM f)
+SELECT source, kept AS n_packed, CAST(ceil((fixed + length(CAST(kept AS VARCHAR)) + tl + coalesce(sums[kept + 1], 0)) / 4.0) AS BIGINT) AS tokens, late AS without_timeline, kept < m AS without_entries FROM g"""
+)
+def packed_answers(spark, sf_dir):
+    """Every source as a question, its documents in order as entries; bodies of many lengths."""
+    d = table(spark, sf_dir, "documents")
+    n = F.count("*")
+    heads = d.groupBy("source").agg(n.alias("n_candidates"), F.when(n % 3 == 0, 400).when(n % 3 == 1, 900).otherwise(2500).alias("budget"), (n % 40).cast("int").alias("a"), (n % 20).cast("int").alias("b"), (n % 30).cast("int").alias("c"))
+    heads = heads.select("source", F.concat(F.lit("what does "), "source", F.lit(" hold")).alias("query"), "budget", F.lit("SUPPORTED").alias("epistemic_status"), "n_candidates", F.repeat(F.lit("state of it. "), F.col("a")).alias("state"), F.repeat(F.lit("then this. "), F.col("b")).alias("timeline"), F.repeat(F.lit("a note. "), F.col("c")).alias("status_text"), F.lit(None).cast("string").alias("badge"))
+    body = F.substr(ascii_text(), F.lit(1), (1 + F.col("doc_id") % 400).cast("int"))
+    items = d.select("source", F.col("doc_id").alias("rank"), F.lit("memory").alias("kind"), F.concat(F.lit("#"), "doc_id").alias("title"), body.alias("content"), F.lit(0.5).alias("score")).join(heads.select("source", F.col("budget").cast("long").alias("room")), "source")
+    got = payload.assembled(payload.entries(items, by="source"), heads, by="source")
+    return got.select("source", "n_packed", "tokens", F.array_contains("shed", "timeline").alias("without_timeline"), F.array_contains("shed", "entries").alias("without_entries"))
