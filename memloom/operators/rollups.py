@@ -16,19 +16,24 @@ MARKERS = "user assistant turn date".split()
 EXCLUDED = sorted({*words.STOP_WORDS, *words.TEMPORAL_CUES, *words.GENERIC_WORDS, *words.META_WORDS, *MARKERS})
 
 
-def turns(rows: DataFrame, *, order: str = "id", content: str = "content") -> DataFrame:
-    """``rows`` with session_id, position, run, window_index, body, user_clause, directive, transition and date_label.
-
-    A run is a stretch of turns of one session; runs are cut into windows of WINDOW turns, and a session's windows are
-    numbered through; rows without a session form runs of their own kind.
-    """
+def told(rows: DataFrame, *, content: str = "content") -> DataFrame:
+    """``rows`` with session_id, body, user_clause, date_label, directive and transition."""
     t = F.coalesce(F.col(content), F.lit(""))
     body = text.strip_citations(F.regexp_replace(t, r"^\[[^\]]+\]\s*", ""))
     user = words.user_clause(body)
     rows = rows.withColumn("session_id", text.session(t) if "session_id" not in rows.columns else F.col("session_id"))
     rows = rows.withColumn("body", body).withColumn("user_clause", F.when(user != "", user).otherwise(body)).withColumn("date_label", text.date_label(t))
     rule = F.col("category") == "invariant" if "category" in rows.columns else F.lit(False)
-    rows = rows.withColumn("directive", F.coalesce(rule | ((user != "") & text.directive(user)), F.lit(False))).withColumn("transition", text.transition(F.col("user_clause")))
+    return rows.withColumn("directive", F.coalesce(rule | ((user != "") & text.directive(user)), F.lit(False))).withColumn("transition", text.transition(F.col("user_clause")))
+
+
+def turns(rows: DataFrame, *, order: str = "id", content: str = "content") -> DataFrame:
+    """``rows`` with session_id, position, run, window_index, body, user_clause, directive, transition and date_label.
+
+    A run is a stretch of turns of one session; runs are cut into windows of WINDOW turns, and a session's windows are
+    numbered through; rows without a session form runs of their own kind.
+    """
+    rows = told(rows, content=content)
     rows = ordered.running(rows, ["session_id"], [order]).withColumnRenamed("place", "position")
     # A session's rows that stand together in the whole order have one difference of the two numbers.
     if "project" in rows.columns:
@@ -53,13 +58,20 @@ def informative(clause: Column) -> Column:
     return telling(F.transform(telling(F.split(F.lower(bounded), "[^a-z0-9_]+")), words.stem))
 
 
-def window_stems(turns_: DataFrame, *, most: int = STEMS) -> DataFrame:
-    """(session_id, window_index, stems): the window's best stems by frequency, raised in directives and state changes, times idf over rows."""
+def stem_counts(turns_: DataFrame) -> DataFrame:
+    """(stem, df): rows that hold a telling stem."""
+    return turns_.select(F.explode(F.array_distinct(informative(F.col("user_clause")))).alias("stem")).groupBy("stem").agg(F.count("*").alias("df"))
+
+
+def window_stems(turns_: DataFrame, *, most: int = STEMS, counts: DataFrame | None = None) -> DataFrame:
+    """(session_id, window_index, stems): the window's best stems by frequency, raised in directives and state changes, times idf over rows.
+
+    ``counts`` (stem, df, n) stands for other rows than these alone.
+    """
     boost = F.when(F.col("directive"), 1.35).when(F.col("transition"), 1.25).otherwise(1.0)
     each = turns_.select("session_id", "window_index", "id", (1.5 * boost).alias("w"), F.explode(informative(F.col("user_clause"))).alias("stem"))
-    n = turns_.agg(F.count("*").alias("n"))  # one row
-    df = each.groupBy("stem", "id").agg(F.lit(1).alias("one")).groupBy("stem").agg(F.count("*").alias("df"))
-    idf = df.join(F.broadcast(n)).select("stem", F.log1p(F.col("n") / (1 + F.col("df"))).alias("idf"))
+    df = counts if counts is not None else stem_counts(turns_).join(F.broadcast(turns_.agg(F.count("*").alias("n"))))  # one row
+    idf = df.select("stem", F.log1p(F.col("n") / (1 + F.col("df"))).alias("idf"))
     tf = each.groupBy("session_id", "window_index", "stem").agg(F.sum("w").alias("tf")).join(idf, "stem")
     place = F.row_number().over(W.partitionBy("session_id", "window_index").orderBy(F.desc(F.round(F.col("tf") * F.col("idf"), 9)), "stem"))
     best = tf.withColumn("place", place).where(F.col("place") <= most)
@@ -118,7 +130,11 @@ def _nullable(df: DataFrame) -> set[str]:
 
 def build(rows: DataFrame, *, order: str = "id") -> DataFrame:
     """One rollup a window: session_id, window_index, first, last, n, children, directives, date range, stems, and the digest of its turns."""
-    t = turns(rows, order=order)
+    return of_windows(turns(rows, order=order))
+
+
+def of_windows(t: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """The same from turns that know their windows; ``counts`` as in ``window_stems``."""
     if "project" not in t.columns:
         t = t.withColumn("project", F.lit(None).cast("string"))
     listed = lambda c: F.array_sort(F.collect_list(c))
@@ -128,7 +144,7 @@ def build(rows: DataFrame, *, order: str = "id") -> DataFrame:
         F.min_by("date_label", F.when(label, F.col("id"))).alias("first_date"), F.max_by("date_label", F.when(label, F.col("id"))).alias("last_date"),
         F.bit_xor(F.xxhash64("id", "body")).alias("digest"), F.min("project").alias("project"),
     )
-    stems = window_stems(t).select(F.col("session_id").alias("s"), F.col("window_index").alias("w"), "stems")
+    stems = window_stems(t, counts=counts).select(F.col("session_id").alias("s"), F.col("window_index").alias("w"), "stems")
     out = windows.join(stems, F.col("session_id").eqNullSafe(F.col("s")) & (F.col("window_index") == F.col("w")), "left").drop("s", "w")
     both = F.when(F.col("first_date") == F.col("last_date"), F.col("first_date")).otherwise(F.concat_ws(" -> ", "first_date", "last_date"))
     return out.withColumn("dates", both).drop("first_date", "last_date")
