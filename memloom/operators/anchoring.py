@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from ..functions import paths, text
 
+#: First signs by which a quote without a whole word is looked for.
+SIGNS = 8
+
 
 def plain(t: Column) -> Column:
     return F.regexp_replace(t, "\r\n?", "\n")
@@ -78,8 +81,13 @@ def relocated(rows: DataFrame, files: DataFrame, *, most: int = 5, gram: int = 3
     # Quotes of too few words for a run are looked for by their first whole word.
     word = short.select("id", F.get(inner(runs(F.col("quote"))), F.lit(0)).alias("w"))
     by_word = word.where("w is not null").join(f.select("path", F.explode(F.array_distinct(runs(F.col("text")))).alias("w")), "w").select("id", "path")
-    plain_scan = short.join(word.where("w is null").select("id"), "id", "left_semi").select("id").join(f.select("path"))
-    pairs = by_gram.unionByName(by_word).unionByName(plain_scan).distinct()
+    pairs = by_gram.unionByName(by_word)
+    # Quotes without any whole word, by their first signs; the files' runs of signs are cut only where there are such quotes.
+    bare = short.join(word.where("w is null").select("id"), "id", "left_semi").select("id", F.substring("quote", 1, SIGNS).alias("s"))
+    if not bare.isEmpty():
+        cut = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - SIGNS + 1, F.lit(1))), lambda i: F.substr("text", i, F.lit(SIGNS))))
+        pairs = pairs.unionByName(f.select("path", F.explode(cut).alias("s")).join(bare, "s").select("id", "path"))
+    pairs = pairs.distinct()
     met = pairs.join(q.select("id", "file", "quote"), "id").where(F.col("path") != F.col("file")).join(f.select("path", "text"), "path")
     at = F.expr("instr(text, quote)")
     lines = text.line_range(F.col("text"), at - 1, at - 1 + F.length("quote"))

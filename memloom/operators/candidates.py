@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import paths, words
+from . import ordered as numbers
 
 
 def newest(rows: DataFrame, *, order: str = "created_at", key: str = "id", limit: int = 250) -> DataFrame:
@@ -40,8 +41,14 @@ def stale(rows: DataFrame, now: Column, *, days: int = 30, limit: int = 30) -> D
 
 def by_affinity(rows: DataFrame, project: str, *, file: str = "file", text: str = "content", order: str = "rank") -> DataFrame:
     """``rows`` with affinity and place: rows of the project first, in their order otherwise."""
-    a = rows.withColumn("affinity", paths.affinity(F.col(file), F.col(text), project).cast("int"))
-    return a.withColumn("place", F.row_number().over(W.orderBy(F.desc("affinity"), order)))
+    a = rows.withColumn("affinity", paths.affinity(F.col(file), F.col(text), project).cast("int")).withColumn("__far", -F.col("affinity"))
+    return numbers.running(a, ["__far"], [order]).join(F.broadcast(_before(a)), "__far").withColumn("place", F.col("place") + F.col("__before") + 1).drop("__far", "__before")
+
+
+def _before(a: DataFrame) -> DataFrame:
+    """(__far, __before): rows of nearer affinities; affinities are a handful of values."""
+    n = a.groupBy("__far").agg(F.count("*").alias("n"))
+    return n.select("__far", (F.sum("n").over(W.orderBy("__far")) - F.col("n")).alias("__before"))
 
 
 def merge_chunks(found: DataFrame, remote: DataFrame, *, text: str = "content") -> DataFrame:
@@ -104,8 +111,8 @@ def by_priority(lists: list[DataFrame], *, keys: tuple[str, ...] = ("query_id",
     for i, part in enumerate(lists):
         p = part.select(*keys, F.struct(F.lit(i).alias("list"), F.col("rank").cast("long").alias("rank")).alias("slot"))
         slots = p if slots is None else slots.unionByName(p)
-    first = slots.groupBy(*keys).agg(F.min("slot").alias("slot"))
-    return first.withColumn("place", F.row_number().over(W.partitionBy(keys[0]).orderBy("slot", *keys[1:]))).drop("slot")
+    first = slots.groupBy(*keys).agg(F.min("slot").alias("slot")).select(*keys, F.col("slot.list").alias("__list"), F.col("slot.rank").alias("__rank"))
+    return numbers.running(first, [keys[0]], ["__list", "__rank", *keys[1:]]).withColumn("place", F.col("place") + 1).drop("__list", "__rank")
 
 
 def facet_cover(pools: DataFrame, *, rounds: int = 2, least: float = 0.50) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import words
+from . import ordered
 
 # Sections, their rows and characters in the three passes.
 SECTIONS = {"decision": "Decisions & Priorities", "invariant": "Project Invariants", "blocker": "Known Bugs & Blockers", "bug": "Known Bugs & Blockers", "lesson": "Core Lessons"}
@@ -70,9 +71,9 @@ def means(results: DataFrame, measures: list[str], *, by: str = "category") -> D
 
 def nth_latency(runs: DataFrame, *, by: str, value: str, share: float = 0.95) -> DataFrame:
     """(by, p): the value at place floor(share * n), counted from 0, of each group's sorted values."""
-    w = W.partitionBy(by)
-    t = runs.withColumn("__i", F.row_number().over(w.orderBy(value)) - 1).withColumn("__n", F.count("*").over(w))
-    return t.where(F.col("__i") == F.least(F.floor(F.col("__n") * share), F.col("__n") - 1)).select(by, F.col(value).alias("p"))
+    sizes = runs.groupBy(F.col(by).alias("__by")).agg(F.count("*").alias("__n")).withColumn("__at", F.least(F.floor(F.col("__n") * share), F.col("__n") - 1))
+    placed = ordered.running(runs.select(by, value), [by], [value])
+    return placed.join(sizes, F.col(by).eqNullSafe(F.col("__by")) & (F.col("place") == F.col("__at"))).select(by, F.col(value).alias("p"))
 
 
 def agreement(ratings: DataFrame, a: str, b: str, *, by: str) -> DataFrame:
