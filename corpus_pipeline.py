@@ -45,12 +45,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows = row_keyed(docs, row)
     with scratch() as keep:
         judged = neardup.near_duplicates(rows, k=5, threshold=0.8, key=row)
-        # Groups of one row need no choice between rows.
-        group = judged.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1")
-        several = judged.join(group.select("component_id"), "component_id").select(F.col(row).alias("r"), "component_id")
-        several = written(several.join(rows.select(F.col(row).alias("r"), F.col("doc_id").alias("id")), "r"))
-        stays = several.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "r")).alias("least")).select(F.col("least.r").alias("r"))
-        goes = keep(written(several.select("r").join(stays, "r", "left_anti").withColumnRenamed("r", "goes")))
+        group = written(judged.select(F.col(row).alias("r"), "component_id").join(rows.select(F.col(row).alias("r"), F.col("doc_id").alias("id")), "r"))
+        stays = group.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "r")).alias("least")).select(F.col("least.r").alias("r"))
+        goes = keep(written(group.select("r").join(stays, "r", "left_anti").withColumnRenamed("r", "goes")))
     return rows.join(goes, F.col(row) == F.col("goes"), "left_anti").select(docs.columns)
 
 
