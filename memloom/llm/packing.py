@@ -21,9 +21,9 @@ from pyspark.sql import types as T
 
 from .common import written
 
-#: Words a worker remembers with their ids, in each of two generations (about 20 MB each), and their bytes at most; frequent words move
+#: Words a worker remembers with their ids, in each of two generations (about 40 MB each), and their bytes at most; frequent words move
 #: to the new one, longer words are forgotten after each use.
-CACHE_WORDS, CACHE_BYTES = 100_000, 64
+CACHE_WORDS, CACHE_BYTES = 200_000, 64
 #: Tokens kept in one stored row; longer documents take several rows, so that no row is unbounded.
 SLAB_TOKENS = 16 * 2048
 #: Words encoded by one call of the tokenizer.
@@ -41,14 +41,14 @@ class Encoder:
     whole texts that hold the string of an added token, which the tokenizer reads as that token.
     """
 
-    def __init__(self, path: str, by_word: bool):
+    def __init__(self, path: str, by_word: bool, cache_words: int = CACHE_WORDS):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.by_word = by_word
+        self.by_word, self.cache_words = by_word, cache_words
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         if by_word:
@@ -98,7 +98,7 @@ class Encoder:
             b = t.encode()
             # The tokenizer lower-cases after composing accents: lower-case first only where no combining mark follows a letter.
             lists.append((b if b"\xcc" in b or b"\xcd" in b else b.lower()).split())
-        if len(self.new) > CACHE_WORDS:
+        if len(self.new) > self.cache_words:
             self.old, self.new = self.new, {}
         fresh = []
         for w in set().union(*lists).difference(self.new):
@@ -115,13 +115,15 @@ class Encoder:
         return out
 
 
-def encoder(path: str, by_word: bool) -> Encoder:
-    if (path, by_word) not in _ENCODERS:
-        _ENCODERS[path, by_word] = Encoder(path, by_word)
-    return _ENCODERS[path, by_word]
+def encoder(*key) -> Encoder:
+    """The worker's encoder for (path, by_word, cache_words)."""
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(*key)
+    return _ENCODERS[key]
 
 
-def tokenised(docs: DataFrame, path: str, *, end_id: int, key: str, text: str, by_word: bool) -> DataFrame:
+def tokenised(docs: DataFrame, path: str, *, end_id: int, key: str, text: str, by_word: bool, cache_words: int = CACHE_WORDS) -> DataFrame:
     """(part, at, key, first, n, doc_tokens, ids): ``at`` is the row's first token within its partition, ``first`` within its document."""
     schema = T.StructType(
         [T.StructField("part", T.IntegerType()), T.StructField("at", T.LongType()), T.StructField("key", docs.schema[key].dataType)]
@@ -133,7 +135,7 @@ def tokenised(docs: DataFrame, path: str, *, end_id: int, key: str, text: str, b
     def run(batches):
         from pyspark import TaskContext
 
-        part, at, enc = TaskContext.get().partitionId(), 0, encoder(path, by_word)
+        part, at, enc = TaskContext.get().partitionId(), 0, encoder(path, by_word, cache_words)
         for pdf in batches:
             for lo in range(0, len(pdf), 200):
                 keys = pdf["key"].iloc[lo : lo + 200]
@@ -151,10 +153,10 @@ def tokenised(docs: DataFrame, path: str, *, end_id: int, key: str, text: str, b
 
 
 def pack(
-    docs: DataFrame, tokenizer_path: str, *, length: int = 2048, end_id: int = 1, key: str = "doc_id", text: str = "text", by_word: bool = True
+    docs: DataFrame, tokenizer_path: str, *, length: int = 2048, end_id: int = 1, key: str = "doc_id", text: str = "text", by_word: bool = True, cache_words: int = CACHE_WORDS
 ) -> DataFrame:
     """One row per piece: key, start, length, ids (uint32 bytes), doc_tokens, sequence_id, offset; see the module's text."""
-    tokens = written(tokenised(docs, tokenizer_path, end_id=end_id, key=key, text=text, by_word=by_word))
+    tokens = written(tokenised(docs, tokenizer_path, end_id=end_id, key=key, text=text, by_word=by_word, cache_words=cache_words))
     totals = tokens.groupBy("part").agg(F.sum("n").alias("n"))
     # One row per input partition, whatever the number of documents.
     bases = totals.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("base"))
