@@ -21,9 +21,9 @@ from pyspark.sql import types as T
 
 from .common import written
 
-#: Words a worker remembers with their ids, in each of two generations (about 40 MB each), and their bytes at most; frequent words move
+#: Words a worker remembers with their ids, in each of two generations (about 70 MB each), and their bytes at most; frequent words move
 #: to the new one, longer words are forgotten after each use.
-CACHE_WORDS, CACHE_BYTES = 200_000, 64
+CACHE_WORDS, CACHE_BYTES = 350_000, 64
 #: Tokens kept in one stored row; longer documents take several rows, so that no row is unbounded.
 SLAB_TOKENS = 16 * 2048
 #: Words encoded by one call of the tokenizer.
