@@ -1,9 +1,12 @@
+import math
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from memloom.functions import words
 from memloom.operators import consolidate, ordered, rollups, search
 
 
@@ -81,3 +84,48 @@ def test_windows_of_one_hot_session_and_project(spark):
         want[i] = (s, place[s], window[s])
     assert got == want
     assert "SinglePartition" not in rollups.turns(t.withColumn("project", F.lit("p")))._jdf.queryExecution().toString()
+
+
+def test_rows_meet_questions_in_their_own_task(spark, monkeypatch):
+    monkeypatch.setattr(search, "CELLS", 40)
+    rnd = random.Random(4)
+    words_ = ["flies", "running", "stopped", "boxes", "values", "trees", "glass", "note", "agreed", "x_1", "é", "A"]
+    rows = spark.createDataFrame([(f"d{i}", " ".join(rnd.choices(words_, k=rnd.randint(0, 9))) if i % 17 else None) for i in range(120)], "id string, content string").repartition(5)
+    asked = spark.createDataFrame([(q, " ".join(rnd.choices(words_, k=4))) for q in range(9)] + [(90, None), (91, "nowhere")], "query_id int, query string")
+    found = search.matches(rows, asked)
+    # Pairs of rows and questions are never shuffled.
+    assert "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+    every = {(r.query_id, r.id): (r.score, r.n_terms) for r in found.collect()}
+    want = {}
+    texts = {r.id: [t for t in spark_words(r.content) if len(t) >= 2] for r in rows.collect()}
+    questions = {r.query_id: {words.stem_word(t) for t in spark_words(r.query) if len(t) >= 2} for r in asked.collect()}
+    n, average = len(texts), sum(map(len, texts.values())) / len(texts)
+    held = {i: [words.stem_word(t) for t in ts] for i, ts in texts.items()}
+    df = {s: sum(s in h for h in held.values()) for q in questions.values() for s in q}
+    for q, stems in questions.items():
+        for i, h in held.items():
+            if both := [s for s in stems if s in h]:
+                part = lambda s: max(math.log((n - df[s] + 0.5) / (df[s] + 0.5)), 1e-6) * h.count(s) * 2.2 / (h.count(s) + 1.2 * (0.25 + 0.75 * len(h) / average))  # noqa: B023, E731
+                want[q, i] = (round(sum(map(part, both)), 6), len(both))
+    assert every == want and len(want) > 300
+    for by, newest in (("score", True), ("n_terms", False)):
+        ties = F.desc("id") if newest else "id"
+        best = search.best(found.withColumn("score", F.col(by).cast("double")), "score", 5, ties).select("query_id", "id", "score", "rank")
+        got = search.top(search.prepared(rows, asked), by, 5, newest=newest)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, best.collect()))
+    # Several blocks of questions give the same.
+    monkeypatch.setattr(search, "BLOCK", 3)
+    assert {(r.query_id, r.id): (r.score, r.n_terms) for r in search.matches(rows, asked).collect()} == want
+    assert search.bm25(rows, asked.where("query_id > 89"), k=3).collect() == [] == search.matches(rows, asked.where("query_id = 90")).collect()
+
+
+def spark_words(text):
+    return re.split("[^a-z0-9_]+", (text or "").lower())
+
+
+def test_stems_of_words_are_those_of_the_expression(spark):
+    rnd = random.Random(5)
+    ends = ["ies", "ing", "ed", "es", "s", "tes", "les", "res", "ves", "ss", "us", "is", "e", "ee", "", "sses", "nning", "tted"]
+    ws = ["".join(rnd.choices("abe1_s", k=rnd.randint(0, 5))) + rnd.choice(ends) for _ in range(4000)]
+    got = spark.createDataFrame([(w,) for w in ws], "w string").select("w", words.stem(F.col("w")).alias("s")).collect()
+    assert [r for r in got if words.stem_word(r.w) != r.s] == []
