@@ -1,0 +1,35 @@
+"""Costly expressions are worked out once a row, and results of one row stay those of plain code."""
+
+import hashlib
+
+from pyspark.sql import functions as F
+
+from memloom.functions import vectors
+from memloom.operators import nuggets, relevance
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rule_texts_are_read_once(spark):
+    rules = spark.createDataFrame([(1, "bug", "Never call `flush_all` while exporter threads drain"), (2, "bug", "exporter threads drain slowly")], "id long, category string, content string")
+    texts = spark.createDataFrame([(7, "exporter threads drain flush_all now"), (8, "nothing")], "query_id long, query string")
+    got = relevance.scored(rules.withColumn("content", F.concat("content", F.lit(" MARKED"))), texts)
+    assert "MARKED" not in plan(got)
+    assert sorted((r.query_id, r.id, r.symbols, r.stems) for r in got.collect()) == [(7, 1, 1, 4), (7, 2, 0, 3)]
+
+
+def test_values_of_nuggets_are_worked_out_once(spark):
+    log = spark.createDataFrame([("k", 1, "set", "Some Value", "project")], "key string, seq long, op string, value string, kind string").withColumn("value", F.regexp_replace("value", "MARKED", " "))
+    got = nuggets.current(log)
+    assert plan(got).count("MARKED") == 1 and got.head().value == "Some Value"
+
+
+def test_digests_are_worked_out_once(spark):
+    v = spark.createDataFrame([(1, "a"), (2, ""), (3, None)], "id long, t string").repartition(1).select("id", vectors.hashed(F.col("t"), 5).alias("v"))
+    got = v.select("id", "v")
+    d = hashlib.sha256(b"a").hexdigest()
+    raw = [int(d[i * 4 : i * 4 + 4], 16) / 65535 * 2 - 1 for i in range(5)]
+    want = [round(x / sum(y * y for y in raw) ** 0.5, 6) for x in raw]
+    assert plan(got).count("sha2(") == 1 and {r.id: r.v for r in got.collect()} == {1: want, 2: [0.0] * 5, 3: [0.0] * 5}
