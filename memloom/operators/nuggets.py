@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vectors, words
+from ..sources import staging
 
 # Fixed values.
 KINDS = ["project", "user", "agent"]
@@ -17,6 +18,7 @@ def current(log: DataFrame) -> DataFrame:
 
     Secrets and unknown kinds never become values: see ``refused``.
     """
+    log = staging.once(log)  # values are read by many patterns
     sound = log.where(~refusal(log).isNotNull())
     last = sound.groupBy("key").agg(F.max_by(F.struct("op", "value", "kind"), "seq").alias("r"))
     return last.where("r.op != 'forget'").select("key", "r.value", "r.kind")
