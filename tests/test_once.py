@@ -33,3 +33,9 @@ def test_digests_are_worked_out_once(spark):
     raw = [int(d[i * 4 : i * 4 + 4], 16) / 65535 * 2 - 1 for i in range(5)]
     want = [round(x / sum(y * y for y in raw) ** 0.5, 6) for x in raw]
     assert plan(got).count("sha2(") == 1 and {r.id: r.v for r in got.collect()} == {1: want, 2: [0.0] * 5, 3: [0.0] * 5}
+
+
+def test_rounded_keeps_the_sign_of_zero(spark):
+    rows = [(-1e-7,), (1e-7,), (-0.0,), (0.0,), (-1.23456789,), (None,), (float("nan"),)]
+    got = [str(r[0]) for r in spark.createDataFrame(rows, "x double").repartition(1).select(vectors.rounded(F.col("x"), 5)).collect()]
+    assert sorted(got) == sorted(["-0.0", "0.0", "-0.0", "0.0", "-1.23457", "None", "nan"])
