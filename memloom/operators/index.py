@@ -17,11 +17,11 @@ counts as a row; an index without rows matches nothing.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import words
 from ..sources import staging
 from . import search
 
@@ -70,9 +70,12 @@ class TermIndex:
     def _bucket(self, term: str = "term"):
         return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("long")
 
-    def _dealt(self, df: DataFrame, *, files: int = 1) -> DataFrame:
-        """Rows of a bucket together and in order of the term, so that row groups that lack a term are skipped."""
-        return df.withColumn("bucket", self._bucket()).repartition("bucket", F.pmod(F.xxhash64("term", F.lit(1)), F.lit(files))).sortWithinPartitions("bucket", "term")
+    def _dealt(self, df: DataFrame) -> DataFrame:
+        """Rows of a bucket together and in order of the term, so that row groups that lack a term are skipped.
+
+        A large bucket, or a term that most rows hold, is dealt to several tasks and files of the session's advisory size.
+        """
+        return df.withColumn("bucket", self._bucket()).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term")
 
     # Changes.
 
@@ -86,9 +89,8 @@ class TermIndex:
             F.when(~gone, F.col(text)).alias("text"), (F.col(seen) if seen else F.lit(1)).cast("long").alias("seen"), (F.col(seq) if seq else F.lit(0)).cast("long").alias("seq"),
         )
         last = given.groupBy("id").agg(F.max(F.struct("seq", F.col("text").isNotNull().alias("has"), "text", "part", "seen")).alias("r"))
-        tokens = words.tokens(F.col("r.text"))
-        stems = F.transform(tokens, words.stem)
-        listed = last.select("id", "r.part", F.when(F.col("r.text").isNotNull(), F.size(tokens)).cast("long").alias("dl"), "r.seen", stems.alias("all"))
+        stems = last.select("id", "r.part", "r.seen", search.stem_lists(F.lower("r.text")).alias("all"))
+        listed = stems.select("id", "part", F.when(F.col("all").isNotNull(), F.size("all")).cast("long").alias("dl"), "seen", "all")
         # Terms with their counts once; postings, frequencies and the forward list are read from it.
         work = staging.new_path(self.spark, "index")
         now = staging.staged(listed, work)
@@ -135,25 +137,36 @@ class TermIndex:
 
     # Searches.
 
-    def matches(self, queries: DataFrame, *, part: str | None = None, query_key: str = "query_id", query_text: str = "query") -> DataFrame:
-        """(query_id, id, score, n_terms) as ``search.matches``, from the postings of the asked terms."""
+    def _prepared(self, queries: DataFrame, *, part: str | None = None, query_key: str = "query_id", query_text: str = "query") -> list[search.Prepared]:
+        """Blocks of questions with their terms' postings, gathered by row: a row then meets all questions in one task."""
         mine = (lambda df: df.where(F.col("part") == part)) if part is not None else (lambda df: df)
-        asked = search.query_stems(queries, key=query_key, text=query_text).withColumn("bucket", self._bucket())
-        # At most one value a bucket, and at most LITERALS terms, come to the driver.
-        buckets = [r.bucket for r in asked.select("bucket").distinct().collect()]
-        terms = [r.term for r in asked.select("term").distinct().limit(LITERALS + 1).collect()]
-        wanted = F.col("bucket").isin(buckets)
-        near = lambda df: mine(df).where(wanted & F.col("term").isin(terms) if len(terms) <= LITERALS else wanted)
+        asked = staging.staged(search.query_stems(queries, key=query_key, text=query_text))
         sizes = mine(self._read("sizes")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")).head()
-        n, average = sizes.n, sizes.tokens / max(sizes.n, 1) or 1.0
-        asked = asked.drop("bucket")
-        df = near(self._read("frequencies")).groupBy("term").agg(F.sum("change").alias("df"))
-        weights = asked.join(df, "term").select("query_id", "term", F.greatest(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6)).alias("idf"))
-        live = near(self._read("postings")).join(weights, "term").join(self._read("dead").select("id", F.col("dead").alias("batch")), ["id", "batch"], "left_anti")
-        k1, b = search.K1, search.B
-        score = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(average)))
-        return live.select("query_id", "id", score.alias("part")).groupBy("query_id", "id").agg(F.round(F.sum("part"), 6).alias("score"), F.count("*").alias("n_terms"))
-
-    def bm25(self, queries: DataFrame, *, k: int = 300, **names) -> DataFrame:
+        dead = self._read("dead").select("id", F.col("dead").alias("batch"))
+        out = []
+        for block in search.asked_blocks(asked):
+            # A block's terms, and at most one value a bucket, come to the driver.
+            terms = self.spark.createDataFrame(list(block.terms.items()), "term string, t int")
+            wanted = F.col("bucket").isin([r.bucket for r in terms.select(self._bucket().alias("bucket")).distinct().collect()])
+            wanted = wanted & F.col("term").isin(list(block.terms)) if len(block.terms) <= LITERALS else wanted
+            near = lambda df: mine(df).where(wanted).join(F.broadcast(terms), "term")  # noqa: B023, E731
+            df = np.zeros(len(block.terms))
+            for r in near(self._read("frequencies")).groupBy("t").agg(F.sum("change").alias("df")).collect():
+                df[r.t] = r.df
+            live = near(self._read("postings")).join(dead, ["id", "batch"], "left_anti").groupBy("id").agg(F.max("dl").alias("dl"), F.collect_list(F.struct("t", F.col("tf").cast("int").alias("c"))).alias("a"))  # at most a block's terms
+            counts = live.select("id", "dl", F.transform("a", lambda x: x["t"]).alias("t"), F.transform("a", lambda x: x["c"]).alias("c"))
+            out.append(search.Prepared(block, counts, search.weights(sizes.n, df), sizes.tokens / max(sizes.n, 1) or 1.0, asked))
+        return out
+
+    def _none(self, queries: DataFrame, query_key: str, *values) -> DataFrame:
+        return search.empty(self._read("rows"), queries, "id", query_key, F.lit(0.0).alias("score"), *values)
+
+    def matches(self, queries: DataFrame, *, query_key: str = "query_id", **names) -> DataFrame:
+        """(query_id, id, score, n_terms) as ``search.matches``, from the postings of the asked terms."""
+        blocks = self._prepared(queries, query_key=query_key, **names)
+        return search.every(blocks) if blocks else self._none(queries, query_key, F.lit(0).cast("long").alias("n_terms"))
+
+    def bm25(self, queries: DataFrame, *, k: int = 300, query_key: str = "query_id", **names) -> DataFrame:
         """(query_id, id, score, rank): the ``k`` best live rows of every query; ties go to the larger id."""
-        return search.best(self.matches(queries, **names).drop("n_terms"), "score", k, F.desc("id"))
+        blocks = self._prepared(queries, query_key=query_key, **names)
+        return search.top(blocks, "score", k) if blocks else self._none(queries, query_key, F.lit(0).alias("rank"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from memloom.functions import vectors
 from memloom.operators import nuggets, relevance
+from memloom.operators.index import TermIndex
 
 
 def plan(df):
@@ -39,3 +40,23 @@ def test_rounded_keeps_the_sign_of_zero(spark):
     rows = [(-1e-7,), (1e-7,), (-0.0,), (0.0,), (-1.23456789,), (None,), (float("nan"),)]
     got = [str(r[0]) for r in spark.createDataFrame(rows, "x double").repartition(1).select(vectors.rounded(F.col("x"), 5)).collect()]
     assert sorted(got) == sorted(["-0.0", "0.0", "-0.0", "0.0", "-1.23457", "None", "nan"])
+
+
+def test_large_buckets_of_the_index_are_dealt_out(spark, tmp_path):
+    built = TermIndex(spark, f"{tmp_path}/index", buckets=2)
+    rows = spark.range(3000).select("id", F.concat(F.lit("common word_"), F.col("id") % 900).alias("content")).repartition(6)
+    sizes = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    try:
+        for k, v in sizes.items():
+            spark.conf.set(k, v)
+        built.apply(rows, 0)
+    finally:
+        for k in sizes:
+            spark.conf.unset(k)
+    held = spark.read.parquet(f"{tmp_path}/index/g0/postings").where("term = 'common'")
+    # One term that all rows hold is several tasks' work, and so are the questions that ask it.
+    assert held.count() == 3000 and held.select(F.input_file_name()).distinct().count() > 1
+    asked = spark.createDataFrame([(1, "common word_7")], "query_id long, query string")
+    assert sorted(r.id for r in built.bm25(asked, k=3).collect()) == [907, 1807, 2707]
+    plan_ = built.matches(asked)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query_id" not in plan_ and built.matches(asked).count() == 3000
