@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Rows that a task sorts at once, about.
+TASK_ROWS = 250_000
+
 
 def session_windows(turns: DataFrame, *, session: str = "session_id", order: str = "id", size: int = 64) -> DataFrame:
     """``turns`` with position (in the session), window_index and n_in_window: at most ``size`` turns a window."""
@@ -38,6 +41,10 @@ def smooth(scored: DataFrame, *, session: str = "session_id", order: str = "id",
 
 
 def ranges(lines: DataFrame, *, key: str, line: str = "line") -> DataFrame:
-    """(key, first, last): maximal runs of consecutive line numbers."""
-    d = lines.select(key, line).distinct()
+    """(key, first, last): maximal runs of consecutive line numbers.
+
+    Rows are dealt out once, by key, to one task for about ``TASK_ROWS`` of them, so that a task's memory doesn't grow with the table.
+    """
+    d = lines.select(key, line)
+    d = d.repartition(max(1, -(-d.count() // TASK_ROWS)), key).distinct()
     return d.withColumn("island", F.col(line) - F.row_number().over(W.partitionBy(key).orderBy(line))).groupBy(key, "island").agg(F.min(line).alias("first"), F.max(line).alias("last")).drop("island")

@@ -104,6 +104,17 @@ def test_episodes(spark):
     assert sorted((r.first, r.last) for r in episodes.ranges(lines, key="k").collect()) == [(1, 3), (7, 8), (10, 10)]
 
 
+def test_ranges_are_dealt_out_once_by_the_number_of_rows(spark, monkeypatch):
+    monkeypatch.setattr(episodes, "TASK_ROWS", 100)
+    lines = spark.range(0, 1000, 1, 3).select((F.col("id") % 30).alias("k"), F.col("id").alias("line"))
+    got = episodes.ranges(lines.unionByName(lines.where("line < 90")).unionByName(lines.where("k = 7").select("k", (F.col("line") + 1).alias("line"))), key="k")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "hashpartitioning(k#" in plan and ", 12), REPARTITION_BY_NUM" in plan
+    want = {(i % 30, i, i) for i in range(1000) if i % 30 != 7} | {(7, i, i + 1) for i in range(7, 1000, 30)}
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+    assert episodes.ranges(lines.limit(0), key="k").collect() == []
+
+
 def test_selection(spark):
     pool = spark.createDataFrame([(1, 1, 1, "a", "alpha beta gamma delta"), (1, 2, 2, "a", "Alpha, beta gamma delta!"), (1, 3, 3, "b", "something else"), (1, 4, 4, "b", "x")], "query_id long, id long, rank int, session_id string, content string")
     assert sorted(r.id for r in ranking.suppress(pool).collect()) == [1, 3, 4]
