@@ -38,7 +38,8 @@ def scored(nuggets: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, key, score): nuggets whose words a question has; the whole question inside a nugget scores most, ``*`` takes all."""
     q = F.lower("query")
     asked = queries.select("query_id", q.alias("q"), words.domain_terms(q).alias("terms"))
-    hay = nuggets.withColumn("hay", F.lower(F.concat_ws(" ", "key", "value")))
+    # One row a key, read for stems, for scores and for ``*``: the log behind it is gone through once.
+    hay = staging.staged(nuggets.select("key", F.lower(F.concat_ws(" ", "key", "value")).alias("hay")))
     each = asked.select("query_id", F.explode("terms").alias("term"))
     stems = hay.select("key", F.explode(F.array_distinct(F.concat(words.tokens(F.col("hay")), words.query_terms(F.col("hay"))))).alias("w")).select("key", words.stem(F.col("w")).alias("stem")).distinct()
     hits = each.withColumn("stem", words.stem(F.col("term"))).join(stems, "stem").groupBy("query_id", "key").agg(F.count_distinct("term").alias("hits"))

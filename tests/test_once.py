@@ -27,6 +27,14 @@ def test_values_of_nuggets_are_worked_out_once(spark):
     assert plan(got).count("MARKED") == 1 and got.head().value == "Some Value"
 
 
+def test_the_log_behind_scored_nuggets_is_read_once(spark):
+    log = spark.createDataFrame([("fact one", 1, "set", "Exporter threads", "project"), ("fact two", 2, "set", "Other", "project")], "key string, seq long, op string, value string, kind string").withColumn("value", F.regexp_replace("value", "MARKED", " "))
+    asked = spark.createDataFrame([(1, "exporter threads"), (2, "*")], "query_id long, query string")
+    got = nuggets.scored(nuggets.current(log), asked)
+    assert "MARKED" not in plan(got)
+    assert sorted(map(tuple, got.collect())) == [(1, "fact one", 0.88), (2, "fact one", 0.85), (2, "fact two", 0.85)]
+
+
 def test_digests_are_worked_out_once(spark):
     v = spark.createDataFrame([(1, "a"), (2, ""), (3, None)], "id long, t string").repartition(1).select("id", vectors.hashed(F.col("t"), 5).alias("v"))
     got = v.select("id", "v")
