@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from memloom.functions import vectors
 from memloom.operators import nuggets, relevance
 from memloom.operators.index import TermIndex
+from memloom.plans.more import QUERIES
 
 
 def plan(df):
@@ -35,6 +36,12 @@ def test_the_log_behind_scored_nuggets_is_read_once(spark):
     assert sorted(map(tuple, got.collect())) == [(1, "fact one", 0.88), (2, "fact one", 0.85), (2, "fact two", 0.85)]
 
 
+def test_texts_come_to_the_few_rows_of_hybrid_scores(spark):
+    got = QUERIES["hybrid_scores"](spark, "/root/testdata/sf0.001")
+    # The rest of the plan reads the rows found, not the table.
+    assert [x for x in got.inputFiles() if "documents" in x] == [] and got.count() == 25 * got.select("query_id").distinct().count() > 0
+
+
 def test_digests_are_worked_out_once(spark):
     v = spark.createDataFrame([(1, "a"), (2, ""), (3, None)], "id long, t string").repartition(1).select("id", vectors.hashed(F.col("t"), 5).alias("v"))
     got = v.select("id", "v")
