@@ -318,20 +318,41 @@ def prefix_front(front: DataFrame, sets: DataFrame, threshold: float) -> DataFra
     return front_of(met.select("node", "c", "size"))
 
 
+def grouped(c: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each row a name of its group, the rows that pairs (i, j) join; alike for the same classes ``c``, whatever their order."""
+    root = np.arange(len(c))
+    while len(i):
+        low, old = np.minimum(root[i], root[j]), root.copy()
+        np.minimum.at(root, i, low)
+        np.minimum.at(root, j, low)
+        root = root[root]
+        if (root == old).all():
+            break
+    name = np.zeros(len(c), dtype=np.uint64)
+    np.add.at(name, root, mix(c.astype(np.int64).view(np.uint64)))
+    return mix(name)[root].view(np.int64)
+
+
 def active(front: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     """(node, i, j, chunk, c, size, label): the classes of ``front`` that have a likely partner in their node, by minwise values alone.
 
-    A node of several chunks is dealt out as pairs of chunks, so no task holds a large node.
+    A node of several chunks is dealt out as pairs of chunks, so no task holds a large node.  What is left of a node falls into
+    groups without a likely pair between them, each named by its classes: the groups that several trees find alike are one.
     """
     rows = front.withColumn("k", chunks()).withColumn("chunk", F.pmod(F.xxhash64("c"), "k"))
     dealt = rows.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))).select("node", F.least("chunk", "o").alias("i"), F.greatest("chunk", "o").alias("j"), "chunk", "c", "size", "label")
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = likely(pdf, threshold)
-        return pdf.iloc[np.unique(np.concatenate([i, j]))].drop(columns="sig")
+        out = pdf.assign(name=grouped(pdf["c"].to_numpy(), i, j)).iloc[np.unique(np.concatenate([i, j]))].drop(columns="sig")
+        # Pairs of two chunks stay as they are, so that pairs inside a chunk aren't looked at again.
+        whole = (out["i"] == out["j"]).to_numpy()
+        out["node"] = np.where(whole, out["name"], out["node"])
+        out.loc[whole, ["i", "j", "chunk"]] = 0
+        return out.drop(columns="name")
 
     full = dealt.join(classes.select("c", "sig"), "c").select("node", "i", "j", "chunk", "c", "size", "label", "sig")
-    return written(by_node(full, pick, "node long, i long, j long, chunk long, c long, size long, label long"))
+    return written(by_node(full, pick, "node long, i long, j long, chunk long, c long, size long, label long").distinct())
 
 
 def leaf_links(front: DataFrame, classes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:

@@ -153,3 +153,43 @@ def test_components_of_a_long_chain_and_a_star(spark):
     got = {r.id: r.component_id for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(1000, 1200), 1000)}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_groups_that_several_trees_find_are_one(spark):
+    rng = np.random.default_rng(3)
+    sig = rng.integers(0, 2**32, size=(6, neardup.COORDS), dtype=np.uint32)
+    sig[1], sig[3] = sig[0], sig[2]  # classes 0 and 1, and 2 and 3, are likely pairs; 4 and 5 met by chance
+    classes = spark.createDataFrame([(c, sig[c].tobytes()) for c in range(6)], "c long, sig binary")
+    nodes = {10: [0, 1, 2, 3], 20: [1, 0, 4], 30: [3, 2, 5, 0], 40: [4, 5]}
+    front = spark.createDataFrame([(n, c, 9, len(cs), 9 * len(cs), c) for n, cs in nodes.items() for c in cs], "node long, c long, size long, n long, mass long, label long")
+    got = {}
+    for r in neardup.active(front, classes, 0.85).collect():
+        got.setdefault((r.node, r.i, r.j), []).append(r.c)
+    assert sorted(map(sorted, got.values())) == [[0, 1], [2, 3]]
+
+
+def test_names_of_groups():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 50, 400):
+        c = rng.permutation(10 * n)[:n]
+        i, j = rng.integers(0, n, size=(2, n // 2))
+        root = list(range(n))
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in zip(i.tolist(), j.tolist()):
+            root[find(a)] = find(b)
+        want = {}
+        for x in range(n):
+            want.setdefault(find(x), set()).add(int(c[x]))
+        name = neardup.grouped(c, i, j)
+        got = {}
+        for x in range(n):
+            got.setdefault(name[x], set()).add(int(c[x]))
+        assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+        order = rng.permutation(n)
+        place = np.argsort(order)
+        assert (neardup.grouped(c[order], place[i], place[j]) == name[order]).all()
