@@ -4,10 +4,11 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from memloom.functions import text, vectors, words
-from memloom.operators import nuggets, relevance
+from memloom.operators import candidates, nuggets, relevance, search
 from memloom.operators.index import TermIndex
 from memloom.plans.more import QUERIES
 
@@ -98,3 +99,31 @@ def test_secrets_are_those_of_their_patterns(spark):
     assert [r.a for r in got] == [r.b for r in got] and {r.a for r in got} == {label for label, _ in words.SECRETS} | {None}
     # A pattern is only tried where its sign stands.
     assert plan(rows.select(words.secret(F.col("t")))).count("Contains(") == len(words.SECRETS)
+
+
+def test_hits_of_plurality_sessions_are_found_once(spark):
+    rows = [(1, 5), (1, 5), (1, 6), (2, 5), (2, 6), (3, None), (4, 8), (4, None), (4, None), (None, 5), (5, 1), (5, 1), (5, 2), (5, 2), (5, 3)]
+    hits = spark.createDataFrame(rows, "query_id long, session_id long").where("concat(coalesce(query_id, 0), 'MARKED') != 'x'")
+    got = candidates.plurality_sessions(hits)
+    assert plan(got).count("MARKED") == 1
+    assert sorted(map(tuple, got.collect())) == [(1, 5, 2), (4, 8, 1)]
+
+
+def test_forms_are_all_words_of_a_stem():
+    rnd = random.Random(8)
+    some = {"".join(rnd.choices("aeyst", k=rnd.randrange(1, 6))) + tail for _ in range(4000) for tail in ("", "e", "s", "es", "ed", "ing", "ies", "tes", "tted", "eed", "ees", "sses")}
+    assert all(w in words.forms(words.stem_word(w)) for w in some)
+    assert words.forms("try") >= {"tries", "try", "trys", "trying"} and words.forms("stop") >= {"stop", "stops", "stopped", "stopping"} and "stopes" not in words.forms("sto")
+
+
+def test_asked_terms_of_a_row_are_counted_without_stems(monkeypatch):
+    texts = ["running runs run ran e_1 x", "", "éxporter exporter文exported a b", "tries try\ntrying\x00try"]
+    asked = {"run": 0, "export": 1, "try": 2, "e_1": 3, "exporter": 4}
+    made = []
+    monkeypatch.setattr(words, "stem_word", lambda w, f=words.stem_word: made.append(w) or f(w))
+    few, many = ([pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array((texts * n)[:n])], names=["id", "low"])] for n in (4, 400))
+    (got,) = search._counted(iter(few), asked)
+    assert got.to_pydict() == {"id": [0, 1, 2, 3], "dl": [5, 0, 3, 4], "t": [[0, 3], [], [4, 1], [2]], "c": [[3, 1], [], [1, 1], [4]]}
+    n = len(made)
+    (got,) = search._counted(iter(many), asked)
+    assert got.num_rows == 400 and not {"ran", "xporter"} & set(made) and len(made) == 2 * n
